@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from tallyfold.llm import quality_rules as rules
+from tallyfold.llm.byte_bpe import bpe_decode, bpe_encode
 from tallyfold.llm.jaccard_join import jaccard_join
+from tallyfold.llm.mixing import mix_sources
+from tallyfold.llm.secrets import secret_scan, train
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,5 +21,23 @@ def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join(_table(spark, sf_dir, "documents"), k=5, percent=80)
 
 
-QUERIES = {"op1_ngram_jaccard_join": op1_ngram_jaccard_join}
-SQL: dict[str, str] = {}
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.quality_rules(_table(spark, sf_dir, "documents"))
+
+
+def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    coded = bpe_decode(bpe_encode(_table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN), path)
+    return coded.select("doc_id", (F.length("ids") / 4).cast("bigint").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_sources(_table(spark, sf_dir, "documents"), weights=(3, 1, 2), share=1.5)
+
+
+def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan(_table(spark, sf_dir, "documents"), train(spark)).drop("redacted")
+
+
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op3_quality_rules, op7_byte_bpe, op8_source_mixing, op10_secret_scan)}
+SQL: dict[str, str] = {"op3_quality_rules": rules.SQL}
