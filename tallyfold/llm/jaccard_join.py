@@ -5,10 +5,9 @@ into n2 parts; a signature is the sum of the scrambled features that lie in one
 Two sets that differ in at most k features differ in at most k2 of them in some partition, so at most k2 of its parts
 differ and some choice of the others agrees: similar sets share a signature for certain.
 
-Many texts of one group would make a pair of each two. So the join has two passes. The first takes one signature in
-twelve and ties each document to the least one that shares one of them, one pair a document, which is verified. The second
-takes all signatures, keeps only those under which documents of different groups of the first pass meet, and verifies the
-pairs between groups. Pairs inside a group need no look: their component is known.
+Many texts of one group would make a pair of each two. So of the documents that share a signature each is first tied to the
+least one, one pair a document, and these pairs are verified. Only signatures under which documents of different groups
+then still meet give further pairs, between groups. Pairs inside a group need no look: their component is known.
 """
 
 from __future__ import annotations
@@ -19,15 +18,15 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyfold.llm.components import components
-from tallyfold.llm.scratch import drop, partitions, settle
+from tallyfold.llm.scratch import drop, release, settle
 from tallyfold.llm.textbytes import U, Words, mix, pieces, seeded, shingles
 
 SKETCH = 8  # words of 64 bits
+PAIRS = 256  # pairs of one document that a task verifies
 BLOCK = 1024  # documents of one signature that a task compares with the others
 
 
@@ -47,68 +46,73 @@ def apart(total: int, percent: int) -> int:
 
 
 @lru_cache(maxsize=None)
-def scheme(k: int) -> tuple[int, int, int, np.ndarray]:
-    """n1, n2, k2 and the choices of parts for sets that differ in up to k features. Any values are right; these keep 5 to 7 features a signature."""
-    if k <= 8:
-        n1, k2, n2 = 1, k, k + 2
-    elif k < 24:
-        n1, k2, n2 = k // 3 + 2, 2, 4
-    else:
-        n1, k2, n2 = k // 2 + 2 + -(-k // 50), 1, 3
+def scheme(k: int) -> tuple[int, int, np.ndarray]:
+    """n2, k2 and the choices of parts for sets that differ in up to k features. Any values are right; these keep 3 to 7 features a signature."""
+    k2, n2 = (k, k + 2) if k <= 8 else (1, 2)
     left_out = list(combinations(range(n2), k2))
     chosen = np.ones((len(left_out), n2), U)
     for i, parts in enumerate(left_out):
         chosen[i, list(parts)] = 0
-    return n1, n2, k2, chosen
+    return n2, k2, chosen
 
 
-def signatures(features: np.ndarray, percent: int, sample: bool) -> np.ndarray:
-    """Signatures of one set of distinct scrambled features; a twelfth of them, or one choice, with `sample`."""
+def used(k: np.ndarray | int, k2: int) -> np.ndarray | int:
+    """Partitions that a set emits which differs in at most k features from those it may link with: k // (k2 + 1) of them can be
+    spoilt, one must be left, and some more stand for those where a choice is empty. A similar set emits these or more."""
+    spoilt = k // (k2 + 1)
+    return spoilt + 1 + (spoilt > 0) * (1 + spoilt // 12)
+
+
+def signatures(features: np.ndarray, percent: int) -> np.ndarray:
+    """Signatures of one set of distinct scrambled features."""
     n = len(features)
     first, last = bands(percent)
     band = int(np.searchsorted(first, n, side="right")) - 1
     out = []
     for instance in (band, band + 1):
         top = last[instance]
-        differ = apart(n + min(top, n * 100 // percent), percent)
-        k = max(apart(t, percent) for t in (2 * top, 2 * top - 1))
-        if not n or differ <= 0:
+        partner = min(top, n * 100 // percent)
+        k = max(apart(t, percent) for t in (n + partner, n + partner - 1))
+        if not n or k <= 0:
             continue  # only equal sets can be similar
-        n1, n2, k2, chosen = scheme(k)
+        most = max(apart(t, percent) for t in (2 * top, 2 * top - 1))
+        n2, k2, chosen = scheme(most)
+        n1, m = used(most, k2), used(k, k2)
         g = mix(features ^ U((instance + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1))
         part = (g % U(n1 * n2)).astype(np.int64)
-        sums = np.zeros(n1 * n2, U)
+        near = part < m * n2
+        g, part = g[near], part[near]
+        sums = np.zeros(m * n2, U)
         with np.errstate(over="ignore"):
             np.add.at(sums, part, mix(g + U(1)))
-            filled = np.bincount(part, minlength=n1 * n2).reshape(n1, n2) @ chosen.T.astype(np.int64) > 0
-            value = sums.reshape(n1, n2) @ chosen.T
-            place = np.arange(n1 * len(chosen), dtype=U).reshape(n1, -1) + U(instance << 40)
-            value = mix(value ^ mix(place))
-        # Of the partitions where a similar set differs in at most k2 features one must have no empty choice; a set for which
-        # that isn't certain keeps its empty choices too. A pair is lost only if neither could do without them, and then both have them.
-        if int((~filled.all(axis=1)).sum()) >= n1 - differ // (k2 + 1):
+            filled = np.bincount(part, minlength=m * n2).reshape(m, n2) @ chosen.T.astype(np.int64) > 0
+            place = np.arange(m * len(chosen), dtype=U).reshape(m, -1) + U(instance << 40)
+            value = mix(sums.reshape(m, n2) @ chosen.T ^ mix(place))
+        # Among the partitions that a partner emits too, more must have no empty choice than can be spoilt. Where that isn't
+        # certain the set keeps its empty choices. So a pair is lost only if neither could do without them, and then both have them.
+        weak = np.cumsum(~filled.all(axis=1))
+        each = np.arange(max(0, k * 7 // 10 - 1), k + 1)
+        if np.any(weak[used(each, k2) - 1] >= used(each, k2) - each // (k2 + 1)):
             filled[:] = True
-        if sample:
-            filled[:, 1:] = False
-            filled[np.arange(n1) % 4 != 0] = False
         out.append(value[filled])
     return np.concatenate(out) if out else np.zeros(0, U)
 
 
-FEATURES = "doc_id bigint, n int, h1 bigint, h2 bigint, " + ", ".join(f"s{i} bigint" for i in range(SKETCH)) + ", features binary"
+SUMMARY = "doc_id bigint, n int, h1 bigint, h2 bigint, " + ", ".join(f"s{i} bigint" for i in range(SKETCH))
+
+
+def _joined(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    return np.concatenate([*sets, np.zeros(0, U)]), np.repeat(np.arange(len(sets)), [len(x) for x in sets])
 
 
-def _features(k: int):
-    """Per document its set, as sorted 64-bit hashes, two sums that name the set, and the parity of its features over 512 bits."""
+def _summary(k: int):
+    """Per document the size of its set, two sums that name the set, and the parity of its features over 512 bits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in pieces(whole, "text"):
                 sets = shingles(Words(batch.column("text")), k)
-                lengths = np.array([len(x) for x in sets], np.int64)
-                ends = np.concatenate([[0], np.cumsum(lengths)])
-                every = np.concatenate([*sets, np.zeros(0, U)])
-                row = np.repeat(np.arange(len(sets)), lengths)
+                every, row = _joined(sets)
                 names, sketch = [np.zeros(len(sets), U) for _ in range(2)], np.zeros((len(sets), SKETCH * 64), np.uint8)
                 with np.errstate(over="ignore"):
                     for i, out in enumerate(names):
@@ -116,28 +120,50 @@ def _features(k: int):
                 bit = (mix(every ^ U(0xA5A5A5A5)) % U(SKETCH * 64)).astype(np.int64)
                 np.add.at(sketch.reshape(-1), row * (SKETCH * 64) + bit, np.uint8(1))
                 packed = np.packbits(sketch & 1, axis=1).view(np.int64)
-                blob = pa.Array.from_buffers(pa.binary(), len(sets), [None, pa.py_buffer((ends * 8).astype(np.int32)), pa.py_buffer(every.tobytes())])
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id"), pa.array(lengths.astype(np.int32)), *(pa.array(x.view(np.int64)) for x in names), *(pa.array(packed[:, i].copy()) for i in range(SKETCH)), blob],
-                    names=["doc_id", "n", "h1", "h2", *(f"s{i}" for i in range(SKETCH)), "features"],
+                    [batch.column("doc_id"), pa.array(np.bincount(row, minlength=len(sets)).astype(np.int32)), *(pa.array(x.view(np.int64)) for x in names), *(pa.array(packed[:, i].copy()) for i in range(SKETCH))],
+                    names=["doc_id", "n", "h1", "h2", *(f"s{i}" for i in range(SKETCH))],
                 )
 
     return run
 
 
-def _signed(percent: int, sample: bool, kept: tuple[str, ...]):
+def _signed(k: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in pieces(whole, "features", 1 << 19):
-                blobs = batch.column("features")
-                each = [signatures(np.frombuffer(x.as_buffer(), U), percent, sample) for x in blobs]
-                row = np.repeat(np.arange(len(each)), [len(x) for x in each])
+            for batch in pieces(whole, "text"):
+                every, row = _joined([signatures(x, percent) for x in shingles(Words(batch.column("text")), k)])
                 if len(row):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(each).view(np.int64)), *(batch.column(c).take(pa.array(row)) for c in kept)], names=["sig", *kept])
+                    yield pa.RecordBatch.from_arrays([pa.array(every.view(np.int64)), batch.column("doc_id").take(pa.array(row))], names=["sig", "doc_id"])
+
+    return run
+
+
+def _sets(k: int, wanted: bytes):
+    """The sets, as sorted 64-bit hashes, of documents whose id is in a bitmap of ids modulo its size; it only saves work."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.unpackbits(np.frombuffer(wanted, np.uint8), bitorder="little")
+        for whole in batches:
+            ids = whole.column("doc_id").fill_null(-1).to_numpy(zero_copy_only=False)
+            whole = whole.filter(pa.array(bits[ids % len(bits)].astype(bool)))
+            for batch in pieces(whole, "text"):
+                found = shingles(Words(batch.column("text")), k)
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([x.tobytes() for x in found], pa.binary())], names=["doc_id", "features"])
 
     return run
 
 
+def _bitmap(ids: DataFrame) -> bytes:
+    """2^23 bits: 1 MB at any size of the input."""
+    place = F.pmod("doc_id", F.lit(1 << 23))
+    maps = ids.groupBy(F.bitmap_bucket_number(place + 1).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place + 1)).alias("bits")).collect()
+    out = bytearray(1 << 20)
+    for r in maps:
+        out[(r.bucket - 1) * 4096 : r.bucket * 4096] = r.bits
+    return bytes(out)
+
+
 def _similar(percent: int):
     @F.arrow_udf("boolean")
     def similar(a: pa.Array, b: pa.Array) -> pa.Array:
@@ -155,15 +181,13 @@ def _similar(percent: int):
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose sets are similar. A document that stands in many pairs as `a` is dealt over several keys."""
-    block = 256
     pairs = settle(pairs)
-    heads = pairs.groupBy("a").agg(F.count("*").alias("pairs")).withColumn("salts", F.ceil(F.col("pairs") / block).cast("int"))
-    spread = pairs.join(heads.select("a", "salts"), "a").withColumn("salt", F.pmod(F.xxhash64("b"), F.col("salts")).cast("int"))
-    left = spread.withColumnRenamed("b", "doc_id").join(sets.select("doc_id", F.col("features").alias("fb")), "doc_id")
-    right = heads.withColumnRenamed("a", "doc_id").join(sets.select("doc_id", F.col("features").alias("fa")), "doc_id")
-    right = right.select(F.col("doc_id").alias("a"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), "fa")
-    met = left.join(right, ["a", "salt"]).where(_similar(percent)("fa", "fb"))
-    out = settle(met.select("a", F.col("doc_id").alias("b")).distinct())
+    heads = pairs.groupBy("a").agg(F.ceil(F.count("*") / PAIRS).cast("int").alias("salts"))
+    left = pairs.join(heads, "a").withColumn("salt", F.pmod(F.xxhash64("b"), F.col("salts")).cast("int")).drop("salts")
+    left = left.join(sets.select(F.col("doc_id").alias("b"), F.col("features").alias("fb")), "b")
+    right = heads.join(sets.select(F.col("doc_id").alias("a"), F.col("features").alias("fa")), "a")
+    right = right.select("a", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), "fa")
+    out = settle(left.join(right, ["a", "salt"]).where(_similar(percent)("fa", "fb")).select("a", "b").distinct())
     drop(pairs)
     return out
 
@@ -174,35 +198,42 @@ def jaccard_join(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     Words are runs of other characters than white space, A-Z lower-cased; a set holds the distinct k-word shingles of a
     text, with fewer words the whole sequence as one. Two documents link when 100 * |intersection| >= percent * |union|;
     component_id is the least doc_id that links reach. Texts that are null or without words have an empty set and link
-    with nothing, not with each other. Repeated rows come back repeated; rows of one doc_id with different texts are linked each by its own text. A null doc_id
-    comes back with its n_shingles and a null component. Other columns are ignored; an empty table gives an empty one.
-    Shingles are compared by 64-bit hashes.
+    with nothing, not with each other. Repeated rows come back repeated; rows of one doc_id with different texts are linked
+    each by its own text. A null doc_id comes back with its n_shingles and a null component. Other columns are ignored; an
+    empty table gives an empty one. Shingles are compared by 64-bit hashes.
     """
     spark = docs.sparkSession
-    n = partitions(spark)
-    known = docs.select("doc_id", "text").mapInArrow(_features(k), FEATURES).repartition(n, "doc_id").persist(StorageLevel.DISK_ONLY)
-    full = known.where("n > 0 AND doc_id IS NOT NULL")
-    same = settle(full.groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("rep")))
-    # Equal sets link; the row of their least doc_id stands for them.
-    sets = known.join(same.select(F.col("rep").alias("doc_id"), "h1", "h2", "n"), ["doc_id", "h1", "h2", "n"], "left_semi")
-    sets = sets.dropDuplicates(["doc_id", "h1", "h2"])
-    tied = sets.select("doc_id", "features").mapInArrow(_signed(percent, True, ("doc_id",)), "sig bigint, doc_id bigint")
+    docs = docs.select("doc_id", "text")
+    known = settle(docs.mapInArrow(_summary(k), SUMMARY))
+    # Equal sets link; their least doc_id stands for them.
+    same = settle(known.where("n > 0 AND doc_id IS NOT NULL").groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("rep"), F.count("*").alias("docs")))
+    copies = known.join(same.where("docs > 1"), ["h1", "h2", "n"]).where("doc_id <> rep").select("doc_id", "rep").distinct()
+    copies = settle(copies)
+
     by_sig = Window.partitionBy("sig")
-    tied = tied.withColumn("a", F.min("doc_id").over(by_sig)).where("a < doc_id").groupBy("doc_id").agg(F.min("a").alias("a"))
-    near = _verified(tied.select("a", F.col("doc_id").alias("b")), sets, percent)
+    met = docs.where("doc_id IS NOT NULL").mapInArrow(_signed(k, percent), "sig bigint, doc_id bigint")
+    met = settle(met.withColumns({"least": F.min("doc_id").over(by_sig), "most": F.max("doc_id").over(by_sig)}).where("least < most").select("sig", "doc_id", "least"))
+    release(spark)
+    met = met.join(copies, "doc_id", "left_anti")
+    tied = met.where("least < doc_id").groupBy("doc_id").agg(F.min("least").alias("a"))
+    tied = settle(tied.select("a", F.col("doc_id").alias("b")))
+    wanted = _bitmap(tied.select(F.explode(F.array("a", "b")).alias("doc_id")))
+    sets = settle(docs.where("doc_id IS NOT NULL").mapInArrow(_sets(k, wanted), "doc_id bigint, features binary").join(met.select("doc_id").distinct(), "doc_id", "left_semi"))
+    near = _verified(tied, sets, percent)
+    release(spark)
 
     # One document points at one smaller one, so following the pointers a few times gathers most of a group under one label.
     label = near.select(F.col("b").alias("doc_id"), F.col("a").alias("label"))
     for _ in range(2):
         after = label.select(F.col("doc_id").alias("label"), F.col("label").alias("next"))
         label = label.join(after, "label", "left").select("doc_id", F.coalesce("next", "label").alias("label"))
-    label = settle(label)
-    marked = sets.join(label, "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id"))
-    met = marked.select("doc_id", "label", "features").mapInArrow(_signed(percent, False, ("doc_id", "label")), "sig bigint, doc_id bigint, label bigint")
-    met = met.withColumns({"low": F.min("label").over(by_sig), "high": F.max("label").over(by_sig), "docs": F.count("*").over(by_sig)}).where("low < high")
-    met = settle(met.select("sig", "doc_id", "label", "docs"))
-    sketch = sets.select("doc_id", "n", *(f"s{i}" for i in range(SKETCH)))
-    wide = met.join(sketch, "doc_id").withColumn("salts", F.ceil(F.col("docs") / BLOCK).cast("int"))
+    label = settle(label.groupBy("doc_id").agg(F.min("label").alias("label")))
+    split = met.select("sig", "doc_id").join(label, "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id"))
+    split = split.withColumns({"low": F.min("label").over(by_sig), "high": F.max("label").over(by_sig), "docs": F.count("*").over(by_sig)}).where("low < high")
+    split = settle(split.select("sig", "doc_id", "label", "docs"))
+    release(spark)
+    sketch = known.select("doc_id", "n", *(f"s{i}" for i in range(SKETCH))).dropDuplicates(["doc_id", "n"])
+    wide = settle(split.join(sketch, "doc_id").withColumn("salts", F.ceil(F.col("docs") / BLOCK).cast("int")))
     left = wide.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.col("salts")).cast("int")).alias("x")
     right = wide.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).alias("y")
     differ = sum((F.bit_count(F.col(f"x.s{i}").bitwiseXOR(F.col(f"y.s{i}"))) for i in range(1, SKETCH)), F.bit_count(F.col("x.s0").bitwiseXOR(F.col("y.s0"))))
@@ -216,6 +247,6 @@ def jaccard_join(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     least = same.join(linked.withColumnRenamed("node", "rep"), "rep", "left").select("h1", "h2", "n", F.coalesce("component", "rep").alias("component_id"))
     every = known.select("doc_id", "n", "h1", "h2").join(least, ["h1", "h2", "n"], "left")
     out = settle(every.select("doc_id", F.col("n").cast("bigint").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id")))
-    known.unpersist()
-    drop(same, near, label, met, far)
+    drop(known, same, copies, tied, sets, near, label, split, wide, far)
+    release(spark)
     return out

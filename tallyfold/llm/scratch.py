@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import gc
 import tempfile
 import uuid
 
@@ -46,6 +47,12 @@ def drop(*frames: DataFrame) -> None:
             _left[:] = [x for x in _left if x[1] != path]
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark remove the shuffle files of plans that nothing refers to any more, rather than at its next collection of garbage."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 @atexit.register
 def _clear() -> None:
     for spark, path in _left:
