@@ -18,11 +18,12 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyfold.llm.components import components
-from tallyfold.llm.scratch import drop, release, settle
+from tallyfold.llm.scratch import drop, partitions, release, settle
 from tallyfold.llm.textbytes import U, Words, mix, pieces, seeded, shingles
 
 SKETCH = 8  # words of 64 bits
@@ -47,8 +48,9 @@ def apart(total: int, percent: int) -> int:
 
 @lru_cache(maxsize=None)
 def scheme(k: int) -> tuple[int, int, np.ndarray]:
-    """n2, k2 and the choices of parts for sets that differ in up to k features. Any values are right; these keep 3 to 7 features a signature."""
-    k2, n2 = (k, k + 2) if k <= 8 else (1, 2)
+    """n2, k2 and the choices of parts for sets that differ in up to k features. Any values are right; these keep 5 to 7 features a signature, so that
+    long texts that only share a passage seldom meet."""
+    k2, n2 = (k, k + 2) if k <= 8 else (1, 3)
     left_out = list(combinations(range(n2), k2))
     chosen = np.ones((len(left_out), n2), U)
     for i, parts in enumerate(left_out):
@@ -179,6 +181,36 @@ def _similar(percent: int):
     return similar
 
 
+@F.arrow_udf("binary")
+def _parity(features: pa.Array) -> pa.Array:
+    """Parity of the features over about as many bits as the set has features."""
+    out = []
+    for x in features:
+        f = np.frombuffer(x.as_buffer(), U)
+        bits = np.zeros(max(512, 1 << int(len(f)).bit_length()), np.uint8)
+        np.add.at(bits, (mix(f ^ U(0x5A5A5A5A)) % U(len(bits))).astype(np.int64), np.uint8(1))
+        out.append(np.packbits(bits & 1).tobytes())
+    return pa.array(out, pa.binary())
+
+
+@F.arrow_udf("int")
+def _flips(a: pa.Array, b: pa.Array) -> pa.Array:
+    """Bits by which two parities differ; the longer one is folded to the length of the other."""
+    out = []
+    for x, y in zip(a, b, strict=True):
+        p, q = sorted((np.frombuffer(z.as_buffer(), np.uint8) for z in (x, y)), key=len)
+        out.append(int(np.bitwise_count(p ^ np.bitwise_xor.reduce(q.reshape(-1, len(p)), axis=0)).sum()))
+    return pa.array(out, pa.int32())
+
+
+def _likely(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Without pairs whose parities show that they differ in too many features. Each feature that only one set has flips one bit at most."""
+    n = (F.length("features") / 8).cast("bigint")
+    found = pairs.join(sets.select(F.col("doc_id").alias("b"), _parity("features").alias("pb"), n.alias("nb")), "b")
+    found = found.join(sets.select(F.col("doc_id").alias("a"), _parity("features").alias("pa"), n.alias("na")), "a")
+    return found.where(_flips("pa", "pb") * (100 + percent) <= (F.col("na") + F.col("nb")) * (100 - percent)).select("a", "b")
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose sets are similar. A document that stands in many pairs as `a` is dealt over several keys."""
     pairs = settle(pairs)
@@ -218,7 +250,9 @@ def jaccard_join(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     tied = met.where("least < doc_id").groupBy("doc_id").agg(F.min("least").alias("a"))
     tied = settle(tied.select("a", F.col("doc_id").alias("b")))
     wanted = _bitmap(tied.select(F.explode(F.array("a", "b")).alias("doc_id")))
-    sets = settle(docs.where("doc_id IS NOT NULL").mapInArrow(_sets(k, wanted), "doc_id bigint, features binary").join(met.select("doc_id").distinct(), "doc_id", "left_semi"))
+    # Dealt by doc_id once and kept so: no later join moves the sets of the side that it looks up.
+    sets = docs.where("doc_id IS NOT NULL").mapInArrow(_sets(k, wanted), "doc_id bigint, features binary").repartition(partitions(spark), "doc_id")
+    sets = sets.join(met.select("doc_id").distinct(), "doc_id", "left_semi").persist(StorageLevel.DISK_ONLY)
     near = _verified(tied, sets, percent)
     release(spark)
 
@@ -241,12 +275,13 @@ def jaccard_join(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     # Each feature that only one set has flips one parity bit at most.
     may = (F.col("x.label") != F.col("y.label")) & (F.col("x.doc_id") < F.col("y.doc_id")) & (differ * (100 + percent) <= total * (100 - percent)) & (100 * F.least("x.n", "y.n") >= percent * F.greatest("x.n", "y.n"))
     pairs = left.join(right, (F.col("x.sig") == F.col("y.sig")) & (F.col("x.salt") == F.col("y.salt")) & may)
-    far = _verified(pairs.select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b")).distinct(), sets, percent)
+    far = _verified(_likely(pairs.select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b")).distinct(), sets, percent), sets, percent)
 
     linked = components(near.unionAll(far), "a", "b")
     least = same.join(linked.withColumnRenamed("node", "rep"), "rep", "left").select("h1", "h2", "n", F.coalesce("component", "rep").alias("component_id"))
     every = known.select("doc_id", "n", "h1", "h2").join(least, ["h1", "h2", "n"], "left")
     out = settle(every.select("doc_id", F.col("n").cast("bigint").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id")))
-    drop(known, same, copies, tied, sets, near, label, split, wide, far)
+    sets.unpersist()
+    drop(known, same, copies, tied, near, label, split, wide, far)
     release(spark)
     return out
