@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tallyfold.llm.components import components
 from tallyfold.llm.scratch import drop, partitions, release, settle
@@ -181,7 +182,7 @@ def _similar(percent: int):
     return similar
 
 
-@F.arrow_udf("binary")
+@F.arrow_udf(T.BinaryType())
 def _parity(features: pa.Array) -> pa.Array:
     """Parity of the features over about as many bits as the set has features."""
     out = []
@@ -193,7 +194,7 @@ def _parity(features: pa.Array) -> pa.Array:
     return pa.array(out, pa.binary())
 
 
-@F.arrow_udf("int")
+@F.arrow_udf(T.IntegerType())
 def _flips(a: pa.Array, b: pa.Array) -> pa.Array:
     """Bits by which two parities differ; the longer one is folded to the length of the other."""
     out = []
