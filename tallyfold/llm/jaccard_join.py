@@ -19,7 +19,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -212,19 +212,35 @@ def _likely(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return found.where(_flips("pa", "pb") * (100 + percent) <= (F.col("na") + F.col("nb")) * (100 - percent)).select("a", "b")
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets are similar. A document that stands in many pairs as `a` is dealt over several keys."""
+def _verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int, sift: bool) -> DataFrame:
+    """The pairs (a, b) whose sets are similar; with sift, larger parities come first. A document that stands in many pairs as `a` is dealt over several keys."""
+    spark = docs.sparkSession
     pairs = settle(pairs)
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id"))
+    # Dealt by doc_id once and kept so: no later join moves the sets that it looks up.
+    sets = docs.mapInArrow(_sets(k, _bitmap(ids)), "doc_id bigint, features binary").repartition(partitions(spark), "doc_id")
+    sets = sets.join(ids.distinct(), "doc_id", "left_semi").persist(StorageLevel.DISK_ONLY)
+    if sift:
+        every, pairs = pairs, settle(_likely(pairs, sets, percent))
+        drop(every)
     heads = pairs.groupBy("a").agg(F.ceil(F.count("*") / PAIRS).cast("int").alias("salts"))
     left = pairs.join(heads, "a").withColumn("salt", F.pmod(F.xxhash64("b"), F.col("salts")).cast("int")).drop("salts")
     left = left.join(sets.select(F.col("doc_id").alias("b"), F.col("features").alias("fb")), "b")
     right = heads.join(sets.select(F.col("doc_id").alias("a"), F.col("features").alias("fa")), "a")
     right = right.select("a", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), "fa")
     out = settle(left.join(right, ["a", "salt"]).where(_similar(percent)("fa", "fb")).select("a", "b").distinct())
+    sets.unpersist()
     drop(pairs)
     return out
 
 
+def _may_link(percent: int) -> Column:
+    """Of the sets x and y, by their sizes and parities: each feature that only one set has flips one parity bit at most."""
+    differ = sum((F.bit_count(F.col(f"x.s{i}").bitwiseXOR(F.col(f"y.s{i}"))) for i in range(1, SKETCH)), F.bit_count(F.col("x.s0").bitwiseXOR(F.col("y.s0"))))
+    near = differ * (100 + percent) <= (F.col("x.n") + F.col("y.n")) * (100 - percent)
+    return near & (100 * F.least("x.n", "y.n") >= percent * F.greatest("x.n", "y.n"))
+
+
 def jaccard_join(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id) for each row of docs (doc_id bigint, text string).
 
@@ -244,17 +260,15 @@ def jaccard_join(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     copies = settle(copies)
 
     by_sig = Window.partitionBy("sig")
-    met = docs.where("doc_id IS NOT NULL").mapInArrow(_signed(k, percent), "sig bigint, doc_id bigint")
-    met = settle(met.withColumns({"least": F.min("doc_id").over(by_sig), "most": F.max("doc_id").over(by_sig)}).where("least < most").select("sig", "doc_id", "least"))
+    whole = docs.where("doc_id IS NOT NULL")
+    met = whole.mapInArrow(_signed(k, percent), "sig bigint, doc_id bigint")
+    met_rows = settle(met.withColumns({"least": F.min("doc_id").over(by_sig), "most": F.max("doc_id").over(by_sig)}).where("least < most").select("sig", "doc_id", "least"))
     release(spark)
-    met = met.join(copies, "doc_id", "left_anti")
+    met = met_rows.join(copies, "doc_id", "left_anti")
     tied = met.where("least < doc_id").groupBy("doc_id").agg(F.min("least").alias("a"))
-    tied = settle(tied.select("a", F.col("doc_id").alias("b")))
-    wanted = _bitmap(tied.select(F.explode(F.array("a", "b")).alias("doc_id")))
-    # Dealt by doc_id once and kept so: no later join moves the sets of the side that it looks up.
-    sets = docs.where("doc_id IS NOT NULL").mapInArrow(_sets(k, wanted), "doc_id bigint, features binary").repartition(partitions(spark), "doc_id")
-    sets = sets.join(met.select("doc_id").distinct(), "doc_id", "left_semi").persist(StorageLevel.DISK_ONLY)
-    near = _verified(tied, sets, percent)
+    sketch = known.where("n > 0").select("doc_id", "n", *(f"s{i}" for i in range(SKETCH))).dropDuplicates(["doc_id", "n"])
+    tied = tied.join(sketch.alias("x"), "doc_id").join(sketch.withColumnRenamed("doc_id", "a").alias("y"), "a").where(_may_link(percent))
+    near = _verified(tied.select("a", F.col("doc_id").alias("b")).distinct(), whole, k, percent, sift=False)
     release(spark)
 
     # One document points at one smaller one, so following the pointers a few times gathers most of a group under one label.
@@ -267,22 +281,17 @@ def jaccard_join(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     split = split.withColumns({"low": F.min("label").over(by_sig), "high": F.max("label").over(by_sig), "docs": F.count("*").over(by_sig)}).where("low < high")
     split = settle(split.select("sig", "doc_id", "label", "docs"))
     release(spark)
-    sketch = known.select("doc_id", "n", *(f"s{i}" for i in range(SKETCH))).dropDuplicates(["doc_id", "n"])
     wide = settle(split.join(sketch, "doc_id").withColumn("salts", F.ceil(F.col("docs") / BLOCK).cast("int")))
     left = wide.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.col("salts")).cast("int")).alias("x")
     right = wide.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).alias("y")
-    differ = sum((F.bit_count(F.col(f"x.s{i}").bitwiseXOR(F.col(f"y.s{i}"))) for i in range(1, SKETCH)), F.bit_count(F.col("x.s0").bitwiseXOR(F.col("y.s0"))))
-    total = F.col("x.n") + F.col("y.n")
-    # Each feature that only one set has flips one parity bit at most.
-    may = (F.col("x.label") != F.col("y.label")) & (F.col("x.doc_id") < F.col("y.doc_id")) & (differ * (100 + percent) <= total * (100 - percent)) & (100 * F.least("x.n", "y.n") >= percent * F.greatest("x.n", "y.n"))
-    pairs = left.join(right, (F.col("x.sig") == F.col("y.sig")) & (F.col("x.salt") == F.col("y.salt")) & may)
-    far = _verified(_likely(pairs.select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b")).distinct(), sets, percent), sets, percent)
+    apart_yet = (F.col("x.label") != F.col("y.label")) & (F.col("x.doc_id") < F.col("y.doc_id"))
+    pairs = left.join(right, (F.col("x.sig") == F.col("y.sig")) & (F.col("x.salt") == F.col("y.salt")) & apart_yet & _may_link(percent))
+    far = _verified(pairs.select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b")).distinct(), whole, k, percent, sift=True)
 
     linked = components(near.unionAll(far), "a", "b")
     least = same.join(linked.withColumnRenamed("node", "rep"), "rep", "left").select("h1", "h2", "n", F.coalesce("component", "rep").alias("component_id"))
     every = known.select("doc_id", "n", "h1", "h2").join(least, ["h1", "h2", "n"], "left")
     out = settle(every.select("doc_id", F.col("n").cast("bigint").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id")))
-    sets.unpersist()
-    drop(known, same, copies, tied, near, label, split, wide, far)
+    drop(known, same, copies, met_rows, near, label, split, wide, far)
     release(spark)
     return out
