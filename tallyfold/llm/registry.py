@@ -6,10 +6,13 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallyfold.llm import language_id, quality_classifier
 from tallyfold.llm import quality_rules as rules
 from tallyfold.llm.byte_bpe import bpe_decode, bpe_encode
 from tallyfold.llm.jaccard_join import jaccard_join
 from tallyfold.llm.mixing import mix_sources
+from tallyfold.llm.substring_dedup import substring_dedup
+from tallyfold.llm.topk_search import top_k
 from tallyfold.llm.secrets import secret_scan, train
 
 
@@ -39,5 +42,42 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan(_table(spark, sf_dir, "documents"), train(spark)).drop("redacted")
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op3_quality_rules, op7_byte_bpe, op8_source_mixing, op10_secret_scan)}
-SQL: dict[str, str] = {"op3_quality_rules": rules.SQL}
+def _held_out(divisor: int, rest: int):
+    return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(divisor)) == rest
+
+
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    languages, weights = language_id.train(docs.where(~_held_out(5, 0)))
+    return language_id.identify(docs, languages, weights).select("doc_id", _held_out(5, 0).alias("held_out"), "lang_pred", "score")
+
+
+def op4_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    table = _table(spark, sf_dir, "embeddings")
+    return top_k(table, table.where("vec_id % 50 = 0"), k=5)
+
+
+def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    labels = _table(spark, sf_dir, "labels").select("doc_id", "quality").where(~_held_out(4, 2))
+    weights = quality_classifier.train(docs.select("doc_id", "text").join(labels, "doc_id"))
+    scored = quality_classifier.score_quality(docs, weights)
+    return scored.select("doc_id", _held_out(4, 2).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup(_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_language_id, op3_quality_rules, op4_exact_topk, op5_quality_classifier, op6_substring_dedup, op7_byte_bpe, op8_source_mixing, op10_secret_scan)}
+TOPK_SQL = """
+WITH whole AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.v, c.v) AS BIGINT) AS score
+  FROM whole q JOIN whole c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id AND len(q.v) = len(c.v))
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored) WHERE rank <= 5"""
+
+SQL: dict[str, str] = {"op3_quality_rules": rules.SQL, "op4_exact_topk": TOPK_SQL}
