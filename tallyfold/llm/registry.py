@@ -12,6 +12,7 @@ from tallyfold.llm.byte_bpe import bpe_decode, bpe_encode
 from tallyfold.llm.jaccard_join import jaccard_join
 from tallyfold.llm.mixing import mix_sources
 from tallyfold.llm.substring_dedup import substring_dedup
+from tallyfold.llm.tool_calls import link_tools
 from tallyfold.llm.topk_search import top_k
 from tallyfold.llm.secrets import secret_scan, train
 
@@ -69,7 +70,18 @@ def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_language_id, op3_quality_rules, op4_exact_topk, op5_quality_classifier, op6_substring_dedup, op7_byte_bpe, op8_source_mixing, op10_secret_scan)}
+def op9_tool_call_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations hold no calls of their own: each user turn is put as a call that waits for the user turn before, each assistant turn as the result of the turn before."""
+    rows = _table(spark, sf_dir, "conversations")
+    name = F.concat(F.lit("turn-"), F.col("turn").cast("string"))
+    call = F.struct(F.array(F.struct(name.alias("id"), F.lit("reply").alias("name"), F.struct("turn", F.coalesce("text", F.lit("")).alias("text")).alias("arguments"), F.when(F.col("turn") >= 2, F.array(F.concat(F.lit("turn-"), (F.col("turn") - 2).cast("string")))).alias("after"))).alias("tool_calls"))
+    result = F.struct(F.concat(F.lit("turn-"), (F.col("turn") - 1).cast("string")).alias("tool_call_id"), F.coalesce("text", F.lit("")).alias("content"))
+    put = F.when(F.col("role") == "user", F.to_json(call)).when(F.col("role") == "assistant", F.to_json(result)).otherwise(F.col("text"))
+    schemas = spark.sql("SELECT * FROM VALUES ('reply', 'text', 'string', true), ('reply', 'turn', 'integer', true) AS t(name, key, type, required)")
+    return link_tools(rows.select("conv_id", "turn", "role", put.alias("text")), schemas)
+
+
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_language_id, op3_quality_rules, op4_exact_topk, op5_quality_classifier, op6_substring_dedup, op7_byte_bpe, op8_source_mixing, op9_tool_call_linking, op10_secret_scan)}
 TOPK_SQL = """
 WITH whole AS (
   SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v FROM embeddings
