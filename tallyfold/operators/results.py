@@ -12,7 +12,7 @@ from tallyfold.operators.rank import ranked, wa_label
 
 #: Fixed values.
 BATCHES = ("delivery-nosite", "delivery-site", "cafe-nosite", "cafe-site", "reputation", "early-stage", "no-whatsapp", "unbatched")
-DINE_IN = ("cafe", "bakery", "ice cream", "dessert shop", "coffee shop", "tea house", "juice shop")
+DINE_IN = ("art cafe", "bakery", "bar", "buffet restaurant", "cafe", "coffee shop", "dessert restaurant", "dessert shop", "hookah bar", "ice cream shop", "steak house")
 SORTABLE = ("lead_score", "business_name", "rating", "review_count", "phone_count", "area", "category", "scraped_at")
 
 
