@@ -6,11 +6,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyfold.llm.byte_bpe import bpe_decode, bpe_encode
+from tallyfold.llm.byte_bpe import bpe_encode
 from tallyfold.llm.jaccard_join import jaccard_join
 from tallyfold.llm.mixing import mixed
 from tallyfold.llm.quality_rules import quality_rules
-from tallyfold.llm.scratch import settle
+from tallyfold.llm.scratch import settle, small_batches
 from tallyfold.llm.secrets import secret_scan, train
 
 
@@ -21,6 +21,7 @@ def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of similar ones: the one with the least doc_id. Documents without words link with none and stay."""
+    small_batches(spark)
     return docs.join(jaccard_join(docs).where("doc_id = component_id").select("doc_id").distinct(), "doc_id", "left_semi").select(docs.columns)
 
 
@@ -38,8 +39,9 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each document, and digests of them and of what they decode to."""
+    small_batches(spark)
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    coded = bpe_decode(bpe_encode(docs, path, public_tokenizers.PATTERN, ("doc_id", "source")), path, ("doc_id", "source"))
+    coded = bpe_encode(docs, path, public_tokenizers.PATTERN, ("doc_id", "source"), decode=True)
     return coded.select("doc_id", "source", (F.length("ids") / 4).cast("bigint").alias("n_tokens"), "ids", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 

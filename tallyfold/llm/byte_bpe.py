@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from tallyfold.llm.textbytes import pieces
 
 GAP = (1 << 17) - 1  # stands between words; no vocabulary has so many tokens
-CACHE = 500_000  # chunks that a worker remembers
+CACHE = 250_000  # chunks that a worker remembers
 LONG = 256  # bytes of a word from which the index of all its merges is kept in a heap
 
 #: Fixed value: the pattern of the rank files in use. In it a blank between two other characters always begins a match.
@@ -224,21 +224,24 @@ def vocabulary(path: str) -> Vocabulary:
     return Vocabulary(path)
 
 
-def bpe_encode(docs: DataFrame, path: str, pattern: str, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The `keep` columns of each row of docs (text string) and its ids as binary, little-endian unsigned 32-bit integers.
+def bpe_encode(docs: DataFrame, path: str, pattern: str, keep: tuple[str, ...] = ("doc_id",), decode: bool = False) -> DataFrame:
+    """The `keep` columns of each row of docs (text string) and its ids as binary, little-endian unsigned 32-bit integers;
+    with decode also `decoded`, what bpe_decode makes of the ids, in the same pass of the same worker.
 
     Each match of pattern is encoded separately, without special tokens, by the ranks in the file at path, which every
     worker must be able to open. Null and empty texts have no ids; a very long text is worked on as one; repeated rows come
     back repeated; an empty table gives an empty one; other columns are left out.
     """
-    schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep) + ", ids binary"
+    schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep) + ", ids binary" + ", decoded binary" * decode
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, (chunks, words) = vocabulary(path), splitters(pattern)
         for whole in batches:
             for batch in pieces(whole, "text"):
                 texts = [chunks(x) if x else [] for x in batch.column("text").to_pylist()]
-                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(own.encode(texts, words), pa.binary())], names=[*keep, "ids"])
+                ids = list(own.encode(texts, words))
+                more = [pa.array(map(own.decode, ids), pa.binary())] if decode else []
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(ids, pa.binary()), *more], names=[*keep, "ids", *["decoded"] * decode])
 
     return docs.select(*dict.fromkeys([*keep, "text"])).mapInArrow(run, schema)
 

@@ -8,16 +8,18 @@ from pyspark.sql import functions as F
 
 from tallyfold.llm import language_id, quality_classifier
 from tallyfold.llm import quality_rules as rules
-from tallyfold.llm.byte_bpe import bpe_decode, bpe_encode
+from tallyfold.llm.byte_bpe import bpe_encode
 from tallyfold.llm.jaccard_join import jaccard_join
 from tallyfold.llm.mixing import mix_sources
 from tallyfold.llm.substring_dedup import substring_dedup
 from tallyfold.llm.tool_calls import link_tools
 from tallyfold.llm.topk_search import top_k
+from tallyfold.llm.scratch import small_batches
 from tallyfold.llm.secrets import secret_scan, train
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -31,7 +33,7 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    coded = bpe_decode(bpe_encode(_table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN), path)
+    coded = bpe_encode(_table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN, decode=True)
     return coded.select("doc_id", (F.length("ids") / 4).cast("bigint").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
