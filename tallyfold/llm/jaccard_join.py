@@ -101,7 +101,14 @@ def signatures(features: np.ndarray, percent: int) -> np.ndarray:
     return np.concatenate(out) if out else np.zeros(0, U)
 
 
-SUMMARY = "doc_id bigint, n int, h1 bigint, h2 bigint, " + ", ".join(f"s{i} bigint" for i in range(SKETCH))
+SUMMARY = "doc_id bigint, n int, h1 bigint, h2 bigint, " + ", ".join(f"s{i} bigint" for i in range(SKETCH)) + ", parity binary"
+
+
+def _parity(features: np.ndarray) -> bytes:
+    """Parity of the features over about as many bits as the set has features."""
+    bits = np.zeros(max(512, 1 << len(features).bit_length()), np.uint8)
+    np.add.at(bits, (mix(features ^ U(0x5A5A5A5A)) % U(len(bits))).astype(np.int64), np.uint8(1))
+    return np.packbits(bits & 1).tobytes()
 
 
 def _joined(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -109,11 +116,11 @@ def _joined(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _summary(k: int):
-    """Per document the size of its set, two sums that name the set, and the parity of its features over 512 bits."""
+    """Per document the size of its set, two sums that name the set, and the parity of its features over 512 bits and over more."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in pieces(whole, "text"):
+            for batch in pieces(whole, "text", 1 << 19):
                 sets = shingles(Words(batch.column("text")), k)
                 every, row = _joined(sets)
                 names, sketch = [np.zeros(len(sets), U) for _ in range(2)], np.zeros((len(sets), SKETCH * 64), np.uint8)
@@ -124,8 +131,8 @@ def _summary(k: int):
                 np.add.at(sketch.reshape(-1), row * (SKETCH * 64) + bit, np.uint8(1))
                 packed = np.packbits(sketch & 1, axis=1).view(np.int64)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id"), pa.array(np.bincount(row, minlength=len(sets)).astype(np.int32)), *(pa.array(x.view(np.int64)) for x in names), *(pa.array(packed[:, i].copy()) for i in range(SKETCH))],
-                    names=["doc_id", "n", "h1", "h2", *(f"s{i}" for i in range(SKETCH))],
+                    [batch.column("doc_id"), pa.array(np.bincount(row, minlength=len(sets)).astype(np.int32)), *(pa.array(x.view(np.int64)) for x in names), *(pa.array(packed[:, i].copy()) for i in range(SKETCH)), pa.array([_parity(x) for x in sets], pa.binary())],
+                    names=["doc_id", "n", "h1", "h2", *(f"s{i}" for i in range(SKETCH)), "parity"],
                 )
 
     return run
@@ -134,7 +141,7 @@ def _summary(k: int):
 def _signed(k: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in pieces(whole, "text"):
+            for batch in pieces(whole, "text", 1 << 19):
                 every, row = _joined([signatures(x, percent) for x in shingles(Words(batch.column("text")), k)])
                 if len(row):
                     yield pa.RecordBatch.from_arrays([pa.array(every.view(np.int64)), batch.column("doc_id").take(pa.array(row))], names=["sig", "doc_id"])
@@ -150,7 +157,7 @@ def _sets(k: int, wanted: bytes):
         for whole in batches:
             ids = whole.column("doc_id").fill_null(-1).to_numpy(zero_copy_only=False)
             whole = whole.filter(pa.array(bits[ids % len(bits)].astype(bool)))
-            for batch in pieces(whole, "text"):
+            for batch in pieces(whole, "text", 1 << 19):
                 found = shingles(Words(batch.column("text")), k)
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([x.tobytes() for x in found], pa.binary())], names=["doc_id", "features"])
 
@@ -182,18 +189,6 @@ def _similar(percent: int):
     return similar
 
 
-@F.arrow_udf(T.BinaryType())
-def _parity(features: pa.Array) -> pa.Array:
-    """Parity of the features over about as many bits as the set has features."""
-    out = []
-    for x in features:
-        f = np.frombuffer(x.as_buffer(), U)
-        bits = np.zeros(max(512, 1 << int(len(f)).bit_length()), np.uint8)
-        np.add.at(bits, (mix(f ^ U(0x5A5A5A5A)) % U(len(bits))).astype(np.int64), np.uint8(1))
-        out.append(np.packbits(bits & 1).tobytes())
-    return pa.array(out, pa.binary())
-
-
 @F.arrow_udf(T.IntegerType())
 def _flips(a: pa.Array, b: pa.Array) -> pa.Array:
     """Bits by which two parities differ; the longer one is folded to the length of the other."""
@@ -204,25 +199,21 @@ def _flips(a: pa.Array, b: pa.Array) -> pa.Array:
     return pa.array(out, pa.int32())
 
 
-def _likely(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _likely(pairs: DataFrame, parities: DataFrame, percent: int) -> DataFrame:
     """Without pairs whose parities show that they differ in too many features. Each feature that only one set has flips one bit at most."""
-    n = (F.length("features") / 8).cast("bigint")
-    found = pairs.join(sets.select(F.col("doc_id").alias("b"), _parity("features").alias("pb"), n.alias("nb")), "b")
-    found = found.join(sets.select(F.col("doc_id").alias("a"), _parity("features").alias("pa"), n.alias("na")), "a")
-    return found.where(_flips("pa", "pb") * (100 + percent) <= (F.col("na") + F.col("nb")) * (100 - percent)).select("a", "b")
+    side = lambda c: parities.select(F.col("doc_id").alias(c), F.col("parity").alias(f"p{c}"), F.col("n").cast("bigint").alias(f"n{c}"))
+    found = pairs.join(side("b"), "b").join(side("a"), "a")
+    return found.where(_flips("pa", "pb") * (100 + percent) <= (F.col("na") + F.col("nb")) * (100 - percent)).select("a", "b").distinct()
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int, sift: bool) -> DataFrame:
-    """The pairs (a, b) whose sets are similar; with sift, larger parities come first. A document that stands in many pairs as `a` is dealt over several keys."""
+def _verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """The pairs (a, b) whose sets are similar. A document that stands in many pairs as `a` is dealt over several keys."""
     spark = docs.sparkSession
     pairs = settle(pairs)
     ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id"))
     # Dealt by doc_id once and kept so: no later join moves the sets that it looks up.
     sets = docs.mapInArrow(_sets(k, _bitmap(ids)), "doc_id bigint, features binary").repartition(partitions(spark), "doc_id")
     sets = sets.join(ids.distinct(), "doc_id", "left_semi").persist(StorageLevel.DISK_ONLY)
-    if sift:
-        every, pairs = pairs, settle(_likely(pairs, sets, percent))
-        drop(every)
     heads = pairs.groupBy("a").agg(F.ceil(F.count("*") / PAIRS).cast("int").alias("salts"))
     left = pairs.join(heads, "a").withColumn("salt", F.pmod(F.xxhash64("b"), F.col("salts")).cast("int")).drop("salts")
     left = left.join(sets.select(F.col("doc_id").alias("b"), F.col("features").alias("fb")), "b")
@@ -268,7 +259,8 @@ def jaccard_join(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     tied = met.where("least < doc_id").groupBy("doc_id").agg(F.min("least").alias("a"))
     sketch = known.where("n > 0").select("doc_id", "n", *(f"s{i}" for i in range(SKETCH))).dropDuplicates(["doc_id", "n"])
     tied = tied.join(sketch.alias("x"), "doc_id").join(sketch.withColumnRenamed("doc_id", "a").alias("y"), "a").where(_may_link(percent))
-    near = _verified(tied.select("a", F.col("doc_id").alias("b")).distinct(), whole, k, percent, sift=False)
+    parities = known.where("n > 0").select("doc_id", "n", "parity").dropDuplicates(["doc_id", "n"])
+    near = _verified(_likely(tied.select("a", F.col("doc_id").alias("b")).distinct(), parities, percent), whole, k, percent)
     release(spark)
 
     # One document points at one smaller one, so following the pointers a few times gathers most of a group under one label.
@@ -286,7 +278,7 @@ def jaccard_join(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     right = wide.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).alias("y")
     apart_yet = (F.col("x.label") != F.col("y.label")) & (F.col("x.doc_id") < F.col("y.doc_id"))
     pairs = left.join(right, (F.col("x.sig") == F.col("y.sig")) & (F.col("x.salt") == F.col("y.salt")) & apart_yet & _may_link(percent))
-    far = _verified(pairs.select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b")).distinct(), whole, k, percent, sift=True)
+    far = _verified(_likely(pairs.select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b")).distinct(), parities, percent), whole, k, percent)
 
     linked = components(near.unionAll(far), "a", "b")
     least = same.join(linked.withColumnRenamed("node", "rep"), "rep", "left").select("h1", "h2", "n", F.coalesce("component", "rep").alias("component_id"))
