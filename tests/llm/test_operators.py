@@ -1,0 +1,179 @@
+"""Each operator against brute force or an exact round trip, on small tables with nulls, empty texts, repeats and clashing columns."""
+
+import itertools
+import json
+import random
+import re
+
+import numpy as np
+import public_tokenizers
+import pytest
+import tiktoken
+from pyspark.sql import functions as F
+
+from tallyfold.llm import byte_bpe, jaccard_join, language_id, mixing, quality_classifier, quality_rules, secrets, substring_dedup, tool_calls, topk_search
+
+WORDS = [f"w{i}" for i in range(400)]
+
+
+def corpus(n=60, seed=3):
+    rng = random.Random(seed)
+    texts = [" ".join(rng.choices(WORDS, k=rng.choice([3, 8, 40, 120]))) for _ in range(n // 2)]
+    for t in list(texts):
+        w = t.split()
+        for i in range(len(w)):
+            if rng.random() < 0.02:
+                w[i] = rng.choice(WORDS)
+        texts.append(" ".join(w))
+    return list(enumerate([*texts, None, "", "  \n ", "one two", "One TWO", texts[0]]))
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return spark.createDataFrame([(i, t, "en", None if i % 7 == 0 else f"s{i % 4}", 1, 2) for i, t in corpus()], "doc_id long, text string, lang string, source string, n_words int, size int")
+
+
+def test_jaccard_join(docs):
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.jaccard_join(docs).collect()}
+    sets = {}
+    for i, t in corpus():
+        w = re.findall(r"[^\x20\x09-\x0D]+", (t or "").lower())
+        sets[i] = {tuple(w[j : j + 5]) for j in range(max(1, len(w) - 4))} if w else set()
+    label = {i: i for i in sets}
+    for _ in sets:
+        for a, b in itertools.combinations(sets, 2):
+            if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                label[a] = label[b] = min(label[a], label[b])
+    assert got == {i: (len(s), label[i]) for i, s in sets.items()}
+
+
+def test_signatures_never_miss():
+    rng = np.random.default_rng(1)
+    for _ in range(1500):
+        n = int(rng.choice([4, 5, 7, 9, 12, 20, 45, 90, 300]))
+        m = int(rng.integers(-(-80 * n // 100), 125 * n // 100 + 1))
+        u = rng.integers(0, 2**63, 3 * n, dtype=np.uint64)
+        shared = -(-80 * (n + m) // 180)
+        if shared <= min(n, m) and (shared < n or shared < m):
+            b = np.concatenate([u[:shared], u[n : n + m - shared]])
+            assert np.intersect1d(jaccard_join.signatures(u[:n], 80), jaccard_join.signatures(b, 80)).size
+
+
+def test_empty_table(spark, docs):
+    none = docs.where("false")
+    assert jaccard_join.jaccard_join(none).count() == quality_rules.quality_rules(none).count() == mixing.mix_sources(none).count() == substring_dedup.substring_dedup(none).count() == 0
+
+
+def test_quality_rules(docs, spark):
+    rows = {r.doc_id: r for r in quality_rules.quality_rules(spark.createDataFrame([(1, "a b c a b c d"), (2, None), (3, "x#y\nx#y\n\n \nz"), (4, "a a a a")], "doc_id long, text string")).collect()}
+    assert (rows[1].n_words, rows[1].n_repeat_words, rows[1].word_chars) == (7, 6, 7)
+    assert (rows[2].n_words, rows[2].kept, rows[2].base_failed) == (0, False, True)
+    assert (rows[3].n_symbols, rows[3].n_dup_lines, rows[3].n_lines) == (2, 1, 3) and rows[4].n_repeat_words == 4
+
+
+def test_mixing(docs):
+    rows = sorted(mixing.mix_sources(docs).collect(), key=str)
+    assert rows == sorted(mixing.mix_sources(docs).collect(), key=str)
+    sizes = {i: len(re.findall(r"[^\x20\x09-\x0D]+", t or "")) for i, t in corpus()}
+    assert all(r.size == sizes[r.doc_id] and r.taken in (0, r.size, 2 * r.size) for r in rows)
+    by = {}
+    for r in rows:
+        s = by.setdefault((r.source_size, r.target), [0, 0])
+        s[0] += r.taken
+        s[1] = max(s[1], r.size)
+    assert all(abs(taken - target) <= most for (_, target), (taken, most) in by.items())
+    assert abs(sum(t for _, t in by) - 1.5 * sum(sizes.values())) < 1e-6
+
+
+def test_byte_bpe(spark):
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    own = byte_bpe.vocabulary(path)
+    other = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=own.ranks, special_tokens={})
+    rng = random.Random(5)
+    texts = ["", None, "x" * 700, "aaaa" * 50, "<|endoftext|> it's 12 a\n\n  b", *("".join(rng.choices("aeinrst é世 \x1c 12'!\n", k=rng.randint(0, 80))) for _ in range(300))]
+    rows = byte_bpe.bpe_decode(byte_bpe.bpe_encode(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), path, public_tokenizers.PATTERN), path).collect()
+    for r in rows:
+        assert np.frombuffer(bytes(r.ids), "<u4").tolist() == other.encode_ordinary(texts[r.doc_id] or "") and bytes(r.decoded).decode() == (texts[r.doc_id] or "")
+
+
+def test_top_k(spark):
+    rng = np.random.default_rng(2)
+    v = np.concatenate([rng.normal(size=(120, 8)), np.tile(rng.normal(size=8), (30, 1))]).astype(np.float32)
+    table = [(i, [float(x) for x in row]) for i, row in enumerate(v)] + [(900, None), (901, [float("nan")] * 8), (902, [None] * 8)]
+    df = spark.createDataFrame(table, "vec_id long, embedding array<float>")
+    q = np.floor(256 * v.astype(float)).astype(np.int64)
+    want = []
+    for i in range(0, 150, 50):
+        s = q @ q[i]
+        order = [j for j in np.lexsort((np.arange(150), -s)) if j != i][:5]
+        want += [(i, r + 1, int(j), int(s[j])) for r, j in enumerate(order)]
+    assert sorted(map(tuple, topk_search.top_k(df, df.where("vec_id % 50 = 0")).collect())) == want
+
+
+def test_substring_dedup(spark):
+    rng = random.Random(7)
+    text = lambda k: " ".join("".join(rng.choices("abcdefghij", k=rng.randint(3, 9))) for _ in range(k))
+    passage = text(80)
+    rows = [(1, text(50) + passage + text(50)), (2, text(3) + passage), (3, text(200)), (4, None), (5, "")]
+    got = {r.doc_id: r for r in substring_dedup.substring_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert set(got) == {1, 2} and got[1].removed_bytes == 0 and got[2].removed_bytes > 0.5 * len(passage) and got[2].sources == [1]
+
+
+def test_language_id(spark):
+    rng = random.Random(9)
+    make = lambda parts: " ".join("".join(rng.choices(parts, k=3)) for _ in range(40))
+    rows = [(i, make(["tha", "ing", "er"]) if i % 2 else make(["eau", "ré", "oux"]), "en" if i % 2 else "fr") for i in range(80)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    languages, weights = language_id.train(df.where("doc_id < 60"), steps=60)
+    got = {r.doc_id: r for r in language_id.identify(df.unionByName(spark.createDataFrame([(100, None, None), (101, "12 !", None)], df.schema)), languages, weights).collect()}
+    assert sum(got[i].lang_pred == rows[i][2] for i in range(60, 80)) >= 19 and got[100].lang_pred == got[101].lang_pred == "und"
+
+
+def test_language_gradient():
+    """Backpropagation through time against finite differences."""
+    rng = np.random.default_rng(0)
+    x = rng.integers(97, 100, (3, 5)).astype(np.uint8)
+    w = {k: v.astype(np.float64) for k, v in language_id._start(2).items()}
+    real, weight = np.ones((3, 5)), rng.normal(size=(5, 3, language_id.HIDDEN))
+    loss = lambda: float((language_id._states(w, "to", x, real) * weight).sum())
+    kept = []
+    language_id._states(w, "to", x, real, kept)
+    grad = {k: np.zeros_like(v) for k, v in w.items()}
+    language_id._back(w, "to", x, real, kept, weight, grad)
+    for key, at in (("to_in", (98, 3)), ("to_in", (97, 20)), ("to_state", (2, 17)), ("to_state", (5, 1))):
+        before = w[key][at]
+        w[key][at] = before + 1e-2
+        up = loss()
+        w[key][at] = before - 1e-2
+        down = loss()
+        w[key][at] = before
+        assert abs((up - down) / 2e-2 - grad[key][at]) < 2e-3
+
+
+def test_quality_classifier(spark):
+    rng = random.Random(4)
+    rows = [(i, " ".join(rng.choice(WORDS) + ("###" if i % 2 else "") for _ in range(rng.choice([20, 150]))), 1 - i % 2) for i in range(160)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, quality int")
+    weights = quality_classifier.train(df.where("doc_id < 120"))
+    got = {r.doc_id: r.score for r in quality_classifier.score_quality(df.unionByName(spark.createDataFrame([(500, None, None)], df.schema)), weights).collect()}
+    assert sum((got[i] >= 0.5) == bool(rows[i][2]) for i in range(120, 160)) >= 38 and 0 <= got[500] <= 1
+
+
+def test_secret_scan(spark):
+    rows = [(1, None), (2, ""), (3, "password=hunter2abcX9 ok"), (4, "commit 24be64439e3e49cf46b2d7c90f3602a3d0b907ff"), (5, 'x token = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff" 4785380592391139')]
+    got = {r.doc_id: r for r in secrets.secret_scan(spark.createDataFrame(rows, "doc_id long, text string"), secrets.train(spark)).collect()}
+    assert [got[i].n_secrets for i in range(1, 6)] == [0, 0, 1, 0, 1] and got[1].redacted is None
+    assert got[5].redacted == 'x token = "[SECRET]" 4785380592391139' and got[3].secrets[0].start == 10
+
+
+def test_tool_calls(spark):
+    call = lambda *c: json.dumps({"tool_calls": list(c)})
+    rows = [
+        (1, 1, "assistant", call({"id": "a", "name": "f", "arguments": {"z": 1, "b": {"y": 2, "x": 1}}, "after": ["b"]}, {"id": "b", "name": "f", "arguments": {"z": "no"}})),
+        (1, 2, "tool", json.dumps({"tool_call_id": "b", "content": {"k": 1, "a": 2}})), (1, 3, "tool", json.dumps({"tool_call_id": "q", "content": "?"})), (3, None, None, None), (None, 1, "x", "{"),
+    ]
+    schemas = spark.createDataFrame([("f", "z", "integer", True), ("f", "b", "object", False)], "name string, key string, type string, required boolean")
+    got = {(r.conv_id, r.kind, r.call_id): r for r in tool_calls.link_tools(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), schemas).collect()}
+    a, b = got[1, "call", "a"], got[1, "call", "b"]
+    assert (a.level, b.level, got[1, "result", "b"].level) == (2, 0, 1) and b.faults == ["type:z"] and a.faults == ["no result"] and got[1, "result", "q"].faults == ["no call"]
+    assert a.json.startswith('{"arguments":{"b":{"x":1,"y":2},"z":1},"id":"a"') and got[3, "message", None].json == '{"content":null,"role":null,"type":"message"}'
