@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import LongType, StructField, StructType
 
 from tallyfold.operators.health import Breaker
 
@@ -29,9 +30,19 @@ def breaker_stream(events: DataFrame) -> DataFrame:
 
 
 def ingest_stream(arrivals: DataFrame, fold: Callable[[DataFrame], DataFrame], path: str, checkpoint: str):
-    """Each batch is folded into the table at path by run: the runs it touches are rewritten, others stay."""
+    """The table at path is what fold makes of all arrivals so far (with a run_id), as if they had come at once.
+
+    Arrivals are kept beside it, at path + "-arrivals", a folder a batch; a batch that is tried again writes its folder again.
+    Only the runs that a batch touches are read and folded anew, from all their arrivals; the partitions of others stay.
+    """
+    landed = f"{path}-arrivals"
 
     def step(batch: DataFrame, batch_id: int) -> None:
-        fold(batch).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run_id").parquet(path)
+        spark, own = batch.sparkSession, f"{landed}/arrived={batch_id}"
+        batch.write.mode("overwrite").partitionBy("run_id").parquet(own)
+        touched = spark.read.schema(batch.schema).parquet(own).select("run_id").distinct()
+        every = spark.read.schema(StructType([*batch.schema, StructField("arrived", LongType())])).parquet(landed).drop("arrived")
+        again = every.join(touched, every.run_id.eqNullSafe(touched.run_id), "left_semi").select(batch.columns)
+        fold(again).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run_id").parquet(path)
 
     return arrivals.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).start()

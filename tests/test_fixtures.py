@@ -59,14 +59,16 @@ def test_breaker_stream_keeps_state_between_batches(spark, tmp_path):
     assert {"tripped", "ok"} <= {o for _, o in want}
 
 
-def test_ingest_stream_rewrites_only_the_runs_it_touches(spark, tmp_path):
+def test_ingest_stream_equals_one_fold_of_all_arrivals(spark, tmp_path):
     schema = "run_id int, key string, n int"
     source, path = str(tmp_path / "in"), str(tmp_path / "table")
     fold = lambda batch: batch.groupBy("run_id", "key").agg({"n": "sum"}).withColumnRenamed("sum(n)", "n")
-    for part in ([(1, "a", 1), (1, "a", 2), (2, "b", 5)], [(2, "c", 7)]):
+    parts = [(1, "a", 1), (1, "a", 2), (2, "b", 5)], [(2, "c", 7), (2, "b", 1), (None, "d", 1)], [(3, "a", 4), (None, "d", 2)]
+    for part in parts:
         spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(source)
         stream = spark.readStream.schema(schema).parquet(source)
         query = breaker.ingest_stream(stream, fold, path, str(tmp_path / "state"))
         query.processAllAvailable()
         query.stop()
-    assert sorted((r.run_id, r.key, r.n) for r in spark.read.parquet(path).collect()) == [(1, "a", 3), (2, "c", 7)]
+    got = {(r.run_id, r.key, r.n) for r in spark.read.parquet(path).collect()}
+    assert got == {(r.run_id, r.key, r.n) for r in fold(spark.createDataFrame(sum(parts, []), schema)).collect()}
