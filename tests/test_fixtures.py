@@ -72,3 +72,13 @@ def test_ingest_stream_equals_one_fold_of_all_arrivals(spark, tmp_path):
         query.stop()
     got = {(r.run_id, r.key, r.n) for r in spark.read.parquet(path).collect()}
     assert got == {(r.run_id, r.key, r.n) for r in fold(spark.createDataFrame(sum(parts, []), schema)).collect()}
+
+
+def test_verdicts_and_match_by_place(spark):
+    at = "business_id long, name string, lat double, lng double"
+    places = spark.createDataFrame([(1, "Paragon Salon", 33.7, 73.0), (2, "Paragon Salon", 33.7005, 73.0), (3, "Burger Hut", 33.7, 73.0), (4, "Paragon Salon", 33.8, 73.0), (5, "Nowhere", None, None)], at)
+    pairs = spark.createDataFrame([(1, 1, 2, "fuzzy_name_geo"), (1, 1, 3, "exact_phone"), (1, 1, 4, "domain"), (1, 4, 5, "place_id")], "run_id int, a long, b long, tier string")
+    got = {(r.a, r.b): r.verdict for r in dedupe.verdicts(pairs, places).collect()}
+    assert got == {(1, 2): "merge", (1, 3): "rejected_name", (1, 4): "rejected_distance", (4, 5): "merge"}
+    listings = spark.createDataFrame([(10, "Paragon Salon", 33.7001, 73.0), (11, "Burger Hut", 33.9, 73.0), (12, "Tailor", 33.7, 73.0), (13, "Paragon Salon", None, None)], "listing_id long, name string, lat double, lng double")
+    assert [(r.listing_id, r.business_id) for r in dedupe.match_located(listings, places).collect()] == [(10, 1)]
