@@ -199,11 +199,16 @@ def _flips(a: pa.Array, b: pa.Array) -> pa.Array:
     return pa.array(out, pa.int32())
 
 
+def _distinct(pairs: DataFrame) -> DataFrame:
+    """Distinct (a, b), dealt by both. Dealt by `a` alone, the join before would have to keep all pairs of a large group's head in one task."""
+    return pairs.select("a", "b").repartition(partitions(pairs.sparkSession), "a", "b").distinct()
+
+
 def _likely(pairs: DataFrame, parities: DataFrame, percent: int) -> DataFrame:
     """Without pairs whose parities show that they differ in too many features. Each feature that only one set has flips one bit at most."""
     side = lambda c: parities.select(F.col("doc_id").alias(c), F.col("parity").alias(f"p{c}"), F.col("n").cast("bigint").alias(f"n{c}"))
     found = pairs.join(side("b"), "b").join(side("a"), "a")
-    return found.where(_flips("pa", "pb") * (100 + percent) <= (F.col("na") + F.col("nb")) * (100 - percent)).select("a", "b").distinct()
+    return _distinct(found.where(_flips("pa", "pb") * (100 + percent) <= (F.col("na") + F.col("nb")) * (100 - percent)))
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
@@ -260,7 +265,7 @@ def jaccard_join(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     sketch = known.where("n > 0").select("doc_id", "n", *(f"s{i}" for i in range(SKETCH))).dropDuplicates(["doc_id", "n"])
     tied = tied.join(sketch.alias("x"), "doc_id").join(sketch.withColumnRenamed("doc_id", "a").alias("y"), "a").where(_may_link(percent))
     parities = known.where("n > 0").select("doc_id", "n", "parity").dropDuplicates(["doc_id", "n"])
-    near = _verified(_likely(tied.select("a", F.col("doc_id").alias("b")).distinct(), parities, percent), whole, k, percent)
+    near = _verified(_likely(_distinct(tied.select("a", F.col("doc_id").alias("b"))), parities, percent), whole, k, percent)
     release(spark)
 
     # One document points at one smaller one, so following the pointers a few times gathers most of a group under one label.
