@@ -18,7 +18,12 @@ DENY = r"(?i)(?:sha\d*|md5|commit|checksum|digest|hash|uuid|guid|etag|revision|v
 GROUPS = "tion ment ness able ing the and ent her for con pro res ver ers est ati der ein ich sch und que ado ent ion eau eur aux par los las lib usr bin src home user data file image index page http www com org net".split()
 PEM = r"-----BEGIN [A-Z ]*PRIVATE KEY-----[\s\S]*?-----END [A-Z ]*PRIVATE KEY-----"
 VALUE = r"[A-Za-z0-9][A-Za-z0-9_+/=.~-]{14,}[A-Za-z0-9=]"
-ASSIGNED = rf"{ANNOUNCE}[\"']?\s*[:=]\s*[\"']?([^\s\"'<>]{{8,}}[^\s\"'<>.,;#*&%$])"
+NAMED = rf"{ANNOUNCE}[\"']?\s*[:=]\s*[\"']?"
+ASSIGNED = rf"{NAMED}([^\s\"'<>]{{8,}}[^\s\"'<>.,;#*&%$])"
+#: What parts an assigned value from the next announced name; runs without = inside; known formats wherever they begin.
+PARTS = rf"[,;&|](?=[\"']?[\w.-]*?{NAMED})"
+PIECE = r"[A-Za-z0-9][A-Za-z0-9_+/.~-]{14,}[A-Za-z0-9]={0,2}"
+KNOWN_IN = rf"(?<![A-Za-z0-9]){KNOWN[1:]}(?<![.])"
 LOWER, UPPER, DIGITS = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
 NAMES = ("length", "transitions", "distinct", "digits", "upper", "hex", "known", "coverage", "path", "dots", "announced", "denied", "numeric", "quoted", "assigned")
 
@@ -135,17 +140,30 @@ def train(spark: SparkSession, findings: list[tuple[str, str, str, int]] | None
 
 
 def _candidates(text: Column) -> Column:
-    """Words that may hold a secret, with the three words before: a long run of key characters with a digit, or what is assigned to an announced name."""
+    """Per word the values in it that may be secrets, with what stands around them and the three words before: each long run of key
+    characters with a digit, and all that is assigned to announced names. They may lie in each other: a run in an assigned value,
+    or a known key in a run; the forest sees them all. In a word with several, each is seen in its own field of the word."""
 
     def of(ws: Column) -> Column:
         def look(w: Column, i: Column) -> Column:
             before = F.array_join(F.slice(ws, F.greatest(i - 2, F.lit(1)), F.least(i, F.lit(3))), " ")
-            named = F.when(w.rlike("[:=]"), F.regexp_extract(w, ASSIGNED, 1)).otherwise("")
+            every = lambda s, pattern, group=0: F.regexp_extract_all(s, F.lit(pattern), F.lit(group))
             told = (F.length(w) >= 8) & F.get(ws, i - 1).rlike(r"[:=]$") & F.concat_ws(" ", F.get(ws, i - 2), F.get(ws, i - 1)).rlike(ANNOUNCE) & w.rlike("[0-9]")
-            value = F.when(named != "", named).when(told, F.regexp_extract(w, r"^[\"']?([^\s\"'<>]{7,}[^\s\"'<>.,;#*&%$])", 1)).otherwise(F.regexp_extract(w, VALUE, 0))
-            return F.when((F.length(w) >= 8) & w.rlike("[0-9]") & ((F.length(w) >= 16) | told | w.rlike("[:=]")), F.struct(value.alias("value"), w.alias("word"), before.alias("before")))
 
-        return F.filter(F.transform(ws, look), lambda x: x.isNotNull() & (F.length(x.value) >= 8) & x.value.rlike("[0-9]"))
+            def values(cut: Column) -> Column:  # < is in no value
+                named = F.when(w.rlike("[:=]"), every(cut, ASSIGNED, 1)).otherwise(F.array().cast("array<string>"))
+                first = F.array(F.regexp_extract(cut, r"^[\"']?([^\s\"'<>]{7,}[^\s\"'<>.,;#*&%$])", 1))
+                rest = F.regexp_replace(cut, NAMED, "<")
+                return let(named, lambda n: F.array_distinct(F.concat(n, F.when(told & (F.size(n) == 0), first).otherwise(F.array().cast("array<string>")), every(rest, VALUE), every(rest, PIECE), every(w, KNOWN_IN))))
+
+            def placed(v: Column, several: Column) -> Column:
+                field = lambda at: F.concat(F.element_at(F.split(F.substring(w, F.greatest(at - 64, F.lit(1)), F.least(at - 1, F.lit(64))), r"[,;&{}|?]"), -1), F.substring(w, at, F.length(v) + 3))
+                return F.struct(v.alias("value"), F.when(several, let(F.instr(w, v), field)).otherwise(w).alias("word"), before.alias("before"))
+
+            found = let(let(F.regexp_replace(w, PARTS, "<"), values), lambda vs: F.transform(F.filter(vs, lambda v: (F.length(v) >= 8) & v.rlike("[0-9]")), lambda v: placed(v, F.size(vs) > 1)))
+            return F.when((F.length(w) >= 8) & w.rlike("[0-9]") & ((F.length(w) >= 16) | told | w.rlike("[:=]")), found)
+
+        return F.filter(F.transform(ws, look), lambda x: x.isNotNull() & (F.size(x) > 0))
 
     return let(F.split(spaced(text), " +"), of)
 
@@ -154,7 +172,8 @@ def secret_scan(docs: DataFrame, forest: list, threshold: float = 0.5, keep: tup
     """The `keep` columns of each row of docs (text string), n_candidates, n_secrets, secrets and redacted.
 
     secrets has (start, length, score) of each found value in order of place, start counting characters from 1, once for
-    each different value at its first place; redacted is the text with every place of them replaced by [SECRET]. Private
+    each different value at its first place; redacted is the text with every place of them replaced by [SECRET]. A word
+    may hold several candidates; a found value inside a longer found value of its word isn't counted beside it. Private
     key blocks count as found without the forest. One projection without shuffle. A null text has no candidates and stays
     null; repeated rows come back repeated; an empty table gives an empty one; other columns are left out.
     """
@@ -165,14 +184,21 @@ def secret_scan(docs: DataFrame, forest: list, threshold: float = 0.5, keep: tup
             parts = features(c.value, c.word, c.before)
             return let(F.struct(*(x.alias(n) for n, x in parts.items())), lambda f: F.struct(c.value.alias("value"), forest_score(forest, lambda name: f[name]).alias("score")))
 
-        return F.transform(found, score)
+        def word(scored: Column) -> Column:
+            holds = lambda x: F.exists(scored, lambda y: (y.score >= threshold) & (F.length(y.value) > F.length(x.value)) & F.contains(y.value, x.value))
+            return F.transform(scored, lambda x: F.struct(x.value.alias("value"), x.score.alias("score"), F.when(x.score >= threshold, holds(x)).otherwise(False).alias("inner")))
+
+        return F.flatten(F.transform(found, lambda cs: let(F.transform(cs, score), word)))
 
-    blocks = F.when(F.contains(text, F.lit("PRIVATE KEY-----")), F.transform(F.regexp_extract_all(text, F.lit(PEM), F.lit(0)), lambda v: F.struct(v.alias("value"), F.lit(1.0).alias("score")))).otherwise(F.array().cast("array<struct<value:string,score:double>>"))
-    scanned = docs.select(*(F.col(c) for c in dict.fromkeys([*keep, "text"])), F.when(text.rlike("[0-9]"), judged(_candidates(text))).otherwise(F.array().cast("array<struct<value:string,score:double>>")).alias("_found"), blocks.alias("_blocks"))
+    none = F.array().cast("array<struct<value:string,score:double,inner:boolean>>")
+    blocks = F.when(F.contains(text, F.lit("PRIVATE KEY-----")), F.transform(F.regexp_extract_all(text, F.lit(PEM), F.lit(0)), lambda v: F.struct(v.alias("value"), F.lit(1.0).alias("score"), F.lit(False).alias("inner")))).otherwise(none)
+    scanned = docs.select(*(F.col(c) for c in dict.fromkeys([*keep, "text"])), F.when(text.rlike("[0-9]"), judged(_candidates(text))).otherwise(none).alias("_found"), blocks.alias("_blocks"))
     # Longer values first, so that one that holds another is replaced whole.
-    order = lambda a, b: F.when(F.length(a.value) > F.length(b.value), -1).when(F.length(a.value) < F.length(b.value), 1).when(a.value < b.value, -1).when(a.value > b.value, 1).otherwise(0)
+    order = lambda a, b: F.when(F.length(a.value) > F.length(b.value), -1).when(F.length(a.value) < F.length(b.value), 1).when(a.value < b.value, -1).when(a.value > b.value, 1).otherwise(F.when(a.score > b.score, -1).when(a.score < b.score, 1).otherwise(0))
     secrets = F.array_sort(F.array_distinct(F.concat(F.col("_blocks"), F.filter("_found", lambda x: x.score >= threshold))), order)
     found = scanned.withColumn("_secrets", secrets)
-    spans = F.array_sort(F.transform("_secrets", lambda x: F.struct(F.instr(F.col("text"), x.value).alias("start"), F.length(x.value).alias("length"), x.score.alias("score"))))
+    shown = let(F.filter("_secrets", lambda x: ~x.inner), lambda s: F.filter(s, lambda x, i: (i == 0) | (F.get(s, i - 1).value != x.value)))
+    found = found.withColumn("_shown", shown)
+    spans = F.array_sort(F.transform("_shown", lambda x: F.struct(F.instr(F.col("text"), x.value).alias("start"), F.length(x.value).alias("length"), x.score.alias("score"))))
     redacted = F.aggregate("_secrets", F.col("text"), lambda t, x: F.replace(t, x.value, F.lit("[SECRET]")))
-    return found.select(*keep, (F.size("_found") + F.size("_blocks")).cast("bigint").alias("n_candidates"), F.size("_secrets").cast("bigint").alias("n_secrets"), spans.alias("secrets"), redacted.alias("redacted"))
+    return found.select(*keep, (F.size("_found") + F.size("_blocks")).cast("bigint").alias("n_candidates"), F.size("_shown").cast("bigint").alias("n_secrets"), spans.alias("secrets"), redacted.alias("redacted"))
