@@ -141,27 +141,28 @@ def train(spark: SparkSession, findings: list[tuple[str, str, str, int]] | None
 
 def _candidates(text: Column) -> Column:
     """Per word the values in it that may be secrets, with what stands around them and the three words before: each long run of key
-    characters with a digit, and all that is assigned to announced names. They may lie in each other: a run in an assigned value,
+    characters with a digit, and with or without one all that is assigned to announced names or has a known prefix. They may lie in each other: a run in an assigned value,
     or a known key in a run; the forest sees them all. In a word with several, each is seen in its own field of the word."""
 
     def of(ws: Column) -> Column:
         def look(w: Column, i: Column) -> Column:
             before = F.array_join(F.slice(ws, F.greatest(i - 2, F.lit(1)), F.least(i, F.lit(3))), " ")
             every = lambda s, pattern, group=0: F.regexp_extract_all(s, F.lit(pattern), F.lit(group))
-            told = (F.length(w) >= 8) & F.get(ws, i - 1).rlike(r"[:=]$") & F.concat_ws(" ", F.get(ws, i - 2), F.get(ws, i - 1)).rlike(ANNOUNCE) & w.rlike("[0-9]")
+            told = (F.length(w) >= 8) & F.get(ws, i - 1).rlike(r"[:=]$") & F.concat_ws(" ", F.get(ws, i - 2), F.get(ws, i - 1)).rlike(ANNOUNCE)
 
             def values(cut: Column) -> Column:  # < is in no value
                 named = F.when(w.rlike("[:=]"), every(cut, ASSIGNED, 1)).otherwise(F.array().cast("array<string>"))
                 first = F.array(F.regexp_extract(cut, r"^[\"']?([^\s\"'<>]{7,}[^\s\"'<>.,;#*&%$])", 1))
                 rest = F.regexp_replace(cut, NAMED, "<")
-                return let(named, lambda n: F.array_distinct(F.concat(n, F.when(told & (F.size(n) == 0), first).otherwise(F.array().cast("array<string>")), every(rest, VALUE), every(rest, PIECE), every(w, KNOWN_IN))))
+                bare = F.filter(F.concat(every(rest, VALUE), every(rest, PIECE)), lambda v: v.rlike("[0-9]"))
+                return let(named, lambda n: F.array_distinct(F.concat(n, F.when(told & (F.size(n) == 0), first).otherwise(F.array().cast("array<string>")), bare, every(w, KNOWN_IN))))
 
             def placed(v: Column, several: Column) -> Column:
                 field = lambda at: F.concat(F.element_at(F.split(F.substring(w, F.greatest(at - 64, F.lit(1)), F.least(at - 1, F.lit(64))), r"[,;&{}|?]"), -1), F.substring(w, at, F.length(v) + 3))
                 return F.struct(v.alias("value"), F.when(several, let(F.instr(w, v), field)).otherwise(w).alias("word"), before.alias("before"))
 
-            found = let(let(F.regexp_replace(w, PARTS, "<"), values), lambda vs: F.transform(F.filter(vs, lambda v: (F.length(v) >= 8) & v.rlike("[0-9]")), lambda v: placed(v, F.size(vs) > 1)))
-            return F.when((F.length(w) >= 8) & w.rlike("[0-9]") & ((F.length(w) >= 16) | told | w.rlike("[:=]")), found)
+            found = let(let(F.regexp_replace(w, PARTS, "<"), values), lambda vs: F.transform(F.filter(vs, lambda v: F.length(v) >= 8), lambda v: placed(v, F.size(vs) > 1)))
+            return F.when((F.length(w) >= 8) & ((F.length(w) >= 16) | told | w.rlike("[:=]")), found)
 
         return F.filter(F.transform(ws, look), lambda x: x.isNotNull() & (F.size(x) > 0))
 
@@ -192,7 +193,7 @@ def secret_scan(docs: DataFrame, forest: list, threshold: float = 0.5, keep: tup
 
     none = F.array().cast("array<struct<value:string,score:double,inner:boolean>>")
     blocks = F.when(F.contains(text, F.lit("PRIVATE KEY-----")), F.transform(F.regexp_extract_all(text, F.lit(PEM), F.lit(0)), lambda v: F.struct(v.alias("value"), F.lit(1.0).alias("score"), F.lit(False).alias("inner")))).otherwise(none)
-    scanned = docs.select(*(F.col(c) for c in dict.fromkeys([*keep, "text"])), F.when(text.rlike("[0-9]"), judged(_candidates(text))).otherwise(none).alias("_found"), blocks.alias("_blocks"))
+    scanned = docs.select(*(F.col(c) for c in dict.fromkeys([*keep, "text"])), F.when(text.rlike(rf"[0-9]|{KNOWN_IN}|{ANNOUNCE}"), judged(_candidates(text))).otherwise(none).alias("_found"), blocks.alias("_blocks"))
     # Longer values first, so that one that holds another is replaced whole.
     order = lambda a, b: F.when(F.length(a.value) > F.length(b.value), -1).when(F.length(a.value) < F.length(b.value), 1).when(a.value < b.value, -1).when(a.value > b.value, 1).otherwise(F.when(a.score > b.score, -1).when(a.score < b.score, 1).otherwise(0))
     secrets = F.array_sort(F.array_distinct(F.concat(F.col("_blocks"), F.filter("_found", lambda x: x.score >= threshold))), order)

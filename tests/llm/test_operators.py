@@ -175,6 +175,13 @@ def test_secret_scan_several_in_a_word(spark):
     assert all(x not in got[i].redacted for i in range(5) for x in (a, b, key))
 
 
+def test_secret_scan_without_digits(spark):
+    texts = ['x password="correct-horse-battery" y', "secret: xKqWvZbTrPmL", "password=xKqWvZbTrPmL", "use xoxb-abcdEFGHijklMNOP", "a-very-long-plain-word-of-prose", "nothing of the kind"]
+    got = {r.doc_id: r for r in secrets.secret_scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), secrets.train(spark)).collect()}
+    assert [got[i].n_candidates for i in range(6)] == [1, 1, 1, 1, 0, 0]
+    assert got[2].redacted == "password=[SECRET]" and got[3].redacted == "use [SECRET]"
+
+
 def test_tool_calls(spark):
     call = lambda *c: json.dumps({"tool_calls": list(c)})
     rows = [
