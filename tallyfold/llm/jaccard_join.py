@@ -7,7 +7,10 @@ differ and some choice of the others agrees: similar sets share a signature for
 
 Many texts of one group would make a pair of each two. So of the documents that share a signature each is first tied to the
 least one, one pair a document, and these pairs are verified. Only signatures under which documents of different groups
-then still meet give further pairs, between groups. Pairs inside a group need no look: their component is known.
+then still meet give further pairs, between groups. So components are found without a look at the pairs inside a group.
+
+The links themselves all lie inside components. They are counted there, over all pairs of different sets of a component, in
+blocks of sets; equal sets count by how many rows have them. Of a component of two sets the one link is known.
 """
 
 from __future__ import annotations
@@ -29,6 +32,7 @@ from tallyfold.llm.textbytes import U, Words, mix, pieces, seeded, shingles
 
 SKETCH = 8  # words of 64 bits
 PAIRS = 256  # pairs of one document that a task verifies
+PART = 256, 1 << 19  # sets and features of a block whose links a task counts
 BLOCK = 1024  # documents of one signature that a task compares with the others
 
 
@@ -230,6 +234,92 @@ def _verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFr
     return out
 
 
+def _shared(p: list[np.ndarray], q: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of each set of p with each of q. Features of one side alone are left out; the rest goes by columns."""
+    (a, row_a), (b, row_b) = _joined(p), _joined(q)
+    both = np.intersect1d(a, b)
+    out = np.zeros((len(p), len(q)), np.int64)
+    near_a, near_b = np.isin(a, both), np.isin(b, both)
+    at_a, at_b, row_a, row_b = np.searchsorted(both, a[near_a]), np.searchsorted(both, b[near_b]), row_a[near_a], row_b[near_b]
+    for first in range(0, len(both), 4096):
+        sides = []
+        for at, row, n in ((at_a, row_a, len(p)), (at_b, row_b, len(q))):
+            here = (at >= first) & (at < first + 4096)
+            side = np.zeros((n, min(4096, len(both) - first)), np.float32)
+            side[row[here], at[here] - first] = 1
+            sides.append(side)
+        out += (sides[0] @ sides[1].T).astype(np.int64)
+    return out
+
+
+def _named_sets(k: int, wanted: bytes):
+    """(doc_id, h1, h2, features): the sets that `_sets` gives, with the sums that name them in `_summary`."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _sets(k, wanted)(batches):
+            found = [np.frombuffer(x.as_buffer(), U) for x in batch.column("features")]
+            with np.errstate(over="ignore"):
+                names = [pa.array(np.array([mix(x + U(i + 7)).sum(dtype=U) for x in found], U).view(np.int64)) for i in range(2)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *names, batch.column("features")], names=["doc_id", "h1", "h2", "features"])
+
+    return run
+
+
+COUNTED = "h1 bigint, h2 bigint, links bigint"
+
+
+def _counted(percent: int):
+    """Links of each set with the others of its block (i = j) or with those of the other block. Rows come sorted by component, i, j, block and name."""
+
+    def count(p: list, q: list | None) -> Iterator[pa.RecordBatch]:
+        other = p if q is None else q
+        if not p or not other:
+            return
+        shared = _shared([x[3] for x in p], [x[3] for x in other])
+        n, m = (np.array([len(x[3]) for x in side], np.int64) for side in (p, other))
+        link = 100 * shared >= percent * (n[:, None] + m - shared)
+        if q is None:
+            np.fill_diagonal(link, False)
+        many, more = (np.array([x[2] for x in side], np.int64) for side in (p, other))
+        for side, links in [(p, link @ more)] if q is None else [(p, link @ more), (q, many @ link)]:
+            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in side], pa.int64()), pa.array([x[1] for x in side], pa.int64()), pa.array(links, pa.int64())], names=["h1", "h2", "links"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, sides, last = None, ([], []), None
+        for batch in batches:
+            rows = zip(*(batch.column(c).to_pylist() for c in ("component", "i", "j", "block", "h1", "h2", "docs")), batch.column("features"), strict=True)
+            for component, i, j, block, h1, h2, docs, features in rows:
+                if group != (component, i, j):
+                    if group is not None:
+                        yield from count(sides[0], sides[1] if group[1] != group[2] else None)
+                    group, sides, last = (component, i, j), ([], []), None
+                if last != (h1, h2):  # a repeated row brings its set again
+                    sides[int(block != i)].append((h1, h2, docs, np.frombuffer(features.as_buffer(), U)))
+                last = h1, h2
+        if group is not None:
+            yield from count(sides[0], sides[1] if group[1] != group[2] else None)
+
+    return run
+
+
+def _links(least: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """(h1, h2, links) of the sets that link with different ones: how many rows have a set that links with theirs. `least` has h1, h2, n,
+    rep, docs and component_id of each set."""
+    spark = docs.sparkSession
+    sizes = least.groupBy("component_id").agg(F.count("*").alias("sets"), F.sum(F.col("n").cast("bigint")).alias("features"), F.sum("docs").alias("rows")).where("sets > 1")
+    grouped = settle(least.join(sizes, "component_id"))
+    two = grouped.where("sets = 2").select("h1", "h2", (F.col("rows") - F.col("docs")).alias("links"))
+    salts = F.ceil(F.greatest(F.col("sets") / PART[0], F.col("features") / PART[1])).cast("int")
+    more = settle(grouped.where("sets > 2").select("h1", "h2", F.col("rep").alias("doc_id"), "docs", F.col("component_id").alias("component"), salts.alias("salts")))
+    found = docs.mapInArrow(_named_sets(k, _bitmap(more)), "doc_id bigint, h1 bigint, h2 bigint, features binary").join(more, ["doc_id", "h1", "h2"])
+    found = found.withColumn("block", F.pmod(F.xxhash64("h1", "h2"), F.col("salts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
+    found = found.select("component", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "h1", "h2", "docs", "features")
+    dealt = found.repartition(partitions(spark), "component", "i", "j").sortWithinPartitions("component", "i", "j", "block", "h1", "h2")
+    out = settle(dealt.mapInArrow(_counted(percent), COUNTED).unionAll(two).groupBy("h1", "h2").agg(F.sum("links").alias("links")))
+    drop(grouped, more)
+    return out
+
+
 def _may_link(percent: int) -> Column:
     """Of the sets x and y, by their sizes and parities: each feature that only one set has flips one parity bit at most."""
     differ = sum((F.bit_count(F.col(f"x.s{i}").bitwiseXOR(F.col(f"y.s{i}"))) for i in range(1, SKETCH)), F.bit_count(F.col("x.s0").bitwiseXOR(F.col("y.s0"))))
@@ -238,13 +328,14 @@ def _may_link(percent: int) -> Column:
 
 
 def jaccard_join(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """(doc_id, n_shingles, component_id) for each row of docs (doc_id bigint, text string).
+    """(doc_id, n_shingles, component_id, n_links) for each row of docs (doc_id bigint, text string).
 
     Words are runs of other characters than white space, A-Z lower-cased; a set holds the distinct k-word shingles of a
     text, with fewer words the whole sequence as one. Two documents link when 100 * |intersection| >= percent * |union|;
-    component_id is the least doc_id that links reach. Texts that are null or without words have an empty set and link
+    component_id is the least doc_id that links reach; n_links counts the other rows with a doc_id whose text links with that of the row,
+    equal texts included. Texts that are null or without words have an empty set and link
     with nothing, not with each other. Repeated rows come back repeated; rows of one doc_id with different texts are linked
-    each by its own text. A null doc_id comes back with its n_shingles and a null component. Other columns are ignored; an
+    each by its own text. A null doc_id comes back with its n_shingles and a null component and null n_links. Other columns are ignored; an
     empty table gives an empty one. Shingles are compared by 64-bit hashes.
     """
     spark = docs.sparkSession
@@ -285,10 +376,16 @@ def jaccard_join(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     pairs = left.join(right, (F.col("x.sig") == F.col("y.sig")) & (F.col("x.salt") == F.col("y.salt")) & apart_yet & _may_link(percent))
     far = _verified(_likely(pairs.select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b")).distinct(), parities, percent), whole, k, percent)
 
+    drop(met_rows, label, split, wide)
+    release(spark)
+
     linked = components(near.unionAll(far), "a", "b")
-    least = same.join(linked.withColumnRenamed("node", "rep"), "rep", "left").select("h1", "h2", "n", F.coalesce("component", "rep").alias("component_id"))
-    every = known.select("doc_id", "n", "h1", "h2").join(least, ["h1", "h2", "n"], "left")
-    out = settle(every.select("doc_id", F.col("n").cast("bigint").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id")))
-    drop(known, same, copies, met_rows, near, label, split, wide, far)
+    least = settle(same.join(linked.withColumnRenamed("node", "rep"), "rep", "left").select("h1", "h2", "n", "rep", "docs", F.coalesce("component", "rep").alias("component_id")))
+    links = _links(least, whole, k, percent)
+    least_links = least.join(links, ["h1", "h2"], "left").select("h1", "h2", "n", "component_id", (F.col("docs") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
+    every = known.select("doc_id", "n", "h1", "h2").join(least_links, ["h1", "h2", "n"], "left")
+    given = lambda c: F.when(F.col("doc_id").isNotNull(), c)
+    out = settle(every.select("doc_id", F.col("n").cast("bigint").alias("n_shingles"), given(F.coalesce("component_id", "doc_id")).alias("component_id"), given(F.coalesce("n_links", F.lit(0))).cast("bigint").alias("n_links")))
+    drop(known, same, copies, near, far, least, links)
     release(spark)
     return out

@@ -47,6 +47,28 @@ def test_jaccard_join(docs):
     assert got == {i: (len(s), label[i]) for i, s in sets.items()}
 
 
+def test_jaccard_links(spark, monkeypatch):
+    """Links inside groups, also where a group is cut into blocks."""
+    rng = random.Random(8)
+    start = rng.choices(WORDS, k=60)
+    rows = corpus()
+    for _ in range(40):  # a large group of near copies, not all of which link
+        w = list(start)
+        for _ in range(rng.choice([0, 1, 1, 2, 3])):
+            w[rng.randrange(60)] = rng.choice(WORDS)
+        rows.append((len(rows), " ".join(w)))
+    sets = {}
+    for i, t in rows:
+        w = re.findall(r"[^\x20\x09-\x0D]+", (t or "").lower())
+        sets[i] = {tuple(w[j : j + 5]) for j in range(max(1, len(w) - 4))} if w else set()
+    want = {i: sum(1 for j in sets if i != j and sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])) for i in sets}
+    df = spark.createDataFrame([*rows, (None, rows[0][1])], "doc_id long, text string")
+    for part in (jaccard_join.PART, (7, 1 << 19)):
+        monkeypatch.setattr(jaccard_join, "PART", part)
+        got = {r.doc_id: r.n_links for r in jaccard_join.jaccard_join(df).collect()}
+        assert got.pop(None) is None and got == want
+
+
 def test_signatures_never_miss():
     rng = np.random.default_rng(1)
     for _ in range(1500):
