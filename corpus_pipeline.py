@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallyfold.llm.byte_bpe import bpe_encode
@@ -20,9 +20,15 @@ def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of similar ones: the one with the least doc_id. Documents without words link with none and stay."""
+    """One document of each group of similar ones: the one with the least doc_id. Documents without words link with none and stay, as do
+    all rows without a doc_id. Of repeated rows of one doc_id and text one stays."""
     small_batches(spark)
-    return docs.join(jaccard_join(docs).where("doc_id = component_id").select("doc_id").distinct(), "doc_id", "left_semi").select(docs.columns)
+    least = settle(jaccard_join(docs).groupBy("doc_id").agg(F.count("*").alias("rows"), F.bool_or(F.col("doc_id") == F.col("component_id")).alias("least")).where("least"))
+    once = docs.join(least.where("rows = 1").select("doc_id"), "doc_id", "left_semi").select(docs.columns)
+    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
+    first = F.row_number().over(Window.partitionBy("doc_id", "text").orderBy(*rest or ["doc_id"]))
+    again = docs.join(settle(least.where("rows > 1").select("doc_id")), "doc_id", "left_semi").withColumn("_nth", first).where("_nth = 1").select(docs.columns)
+    return once.unionAll(again).unionAll(docs.where("doc_id IS NULL"))
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

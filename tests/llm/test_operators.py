@@ -5,6 +5,7 @@ import json
 import random
 import re
 
+import corpus_pipeline
 import numpy as np
 import public_tokenizers
 import pytest
@@ -86,6 +87,13 @@ def test_empty_table(spark, docs):
     assert jaccard_join.jaccard_join(none).count() == quality_rules.quality_rules(none).count() == mixing.mix_sources(none).count() == substring_dedup.substring_dedup(none).count() == 0
 
 
+def test_pipeline_near_duplicates(spark):
+    a, b, c = ("".join(f"{x}{i} " for i in range(20)) for x in "abc")
+    rows = [(1, a, "s"), (1, a, "s"), (2, a, "s"), (3, b, "s"), (None, c, "s"), (None, None, "s"), (4, None, "s"), (4, None, "s")]
+    got = corpus_pipeline.near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string, source string"), "").collect()
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, [rows[0], *rows[3:7]]))
+
+
 def test_quality_rules(docs, spark):
     rows = {r.doc_id: r for r in quality_rules.quality_rules(spark.createDataFrame([(1, "a b c a b c d"), (2, None), (3, "x#y\nx#y\n\n \nz"), (4, "a a a a")], "doc_id long, text string")).collect()}
     assert (rows[1].n_words, rows[1].n_repeat_words, rows[1].word_chars) == (7, 6, 7)
