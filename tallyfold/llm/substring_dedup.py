@@ -76,12 +76,12 @@ def _chunks(bits: int, least: int, most: int):
 
 
 def repeated_chunks(docs: DataFrame, bits: int = 4, least: int = 32, most: int = 256) -> DataFrame:
-    """(doc_id, start, size, first_doc, first_start, copies) of each chunk whose bytes stand in another document too, first places included.
+    """(doc_id, start, size, first_doc, first_start, copies) of each chunk whose bytes stand at another place too, in the same document or another, first places included.
 
     Chunks are compared by two 64-bit digests. start counts bytes of the UTF-8 text.
     """
     found = docs.where("doc_id IS NOT NULL").select("doc_id", "text").mapInArrow(_chunks(bits, least, most), "doc_id bigint, start int, size int, d1 bigint, d2 bigint")
-    several = found.groupBy("d1", "d2").agg(F.min(F.struct("doc_id", "start")).alias("at"), F.max("doc_id").alias("last"), F.count("*").alias("copies")).where("at.doc_id < last")
+    several = found.groupBy("d1", "d2").agg(F.min(F.struct("doc_id", "start")).alias("at"), F.max(F.struct("doc_id", "start")).alias("last"), F.count("*").alias("copies")).where("at < last")
     several = settle(several)
     release(docs.sparkSession)
     return found.join(several, ["d1", "d2"]).select("doc_id", "start", "size", F.col("at.doc_id").alias("first_doc"), F.col("at.start").alias("first_start"), "copies")
@@ -94,7 +94,7 @@ def substring_dedup(docs: DataFrame, bits: int = 4, least: int = 32, most: int =
     has (start, size, first) in bytes, in order, first telling whether it is the first place of what it holds: a
     deduplicated text keeps first spans and loses the others. sources holds the documents in which the first chunks of
     lost spans stand. Null and empty texts hold nothing; repeated rows count as one text; a null doc_id takes no part; an
-    empty table gives an empty result; other columns are ignored. Only chunks repeated in one document and its own copies
+    empty table gives an empty result; other columns are ignored. Chunks repeated in one document or several
     are grouped by document, and a document's chunks are bounded by its length.
     """
     chunks = repeated_chunks(docs, bits, least, most).distinct()

@@ -149,6 +149,15 @@ def test_substring_dedup(spark):
     assert set(got) == {1, 2} and got[1].removed_bytes == 0 and got[2].removed_bytes > 0.5 * len(passage) and got[2].sources == [1]
 
 
+def test_substring_dedup_within_a_document(spark):
+    rng = random.Random(11)
+    text = lambda k: " ".join("".join(rng.choices("abcdefghij", k=rng.randint(3, 9))) for _ in range(k))
+    passage, alone = text(80), text(200)
+    rows = [(1, text(50) + passage + text(50) + passage + text(9)), (2, alone), (2, alone)]
+    got = substring_dedup.substring_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert [r.doc_id for r in got] == [1] and 0.5 * len(passage) < got[0].removed_bytes <= len(passage) and got[0].sources == [1]
+
+
 def test_language_id(spark):
     rng = random.Random(9)
     make = lambda parts: " ".join("".join(rng.choices(parts, k=3)) for _ in range(40))
