@@ -1,23 +1,33 @@
-"""Byte-level BPE encoding and decoding by merge replay over many words at once."""
+"""Byte-level BPE encoding and decoding by merge replay over the distinct words of a corpus.
+
+The words lie one after the other in one array. An inverted index leads from the rank of a token pair to the positions where
+that pair stands; it is worked off in order of rank, and each merge puts only the pairs with its two neighbours into the index
+anew. Ranks are taken in ranges of WIDTH, since single ranks are often rare: within a range each word applies its lowest rank
+at all its positions at once, and goes on with what is left. As words don't touch each other, each one sees its merges in order of rank.
+
+The corpus of a replay is what a task reads, in slices of bounded size, without the words that its worker remembers.
+"""
 
 from __future__ import annotations
 
 import base64
 import re
+from collections import Counter
 from collections.abc import Callable, Iterable, Iterator
-from functools import cached_property, lru_cache
-from heapq import heapify, heappop, heappush
+from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from tallyfold.llm.textbytes import pieces
+from tallyfold.llm.textbytes import lean, pieces
 
-GAP = (1 << 17) - 1  # stands between words; no vocabulary has so many tokens
-CACHE = 250_000  # chunks that a worker remembers
-LONG = 256  # bytes of a word from which the index of all its merges is kept in a heap
+WIDTH = 1 << 8  # ranks of one range of the index
+SLICE = 1 << 21  # bytes of text whose words are replayed together; a longer text is a slice of its own
+CACHE = 1 << 25  # bytes that a worker remembers, of chunks that it met twice and their ids
+SHORT = 64  # characters of the longest chunk that it remembers
 
 #: Fixed value: the pattern of the rank files in use. In it a blank between two other characters always begins a match.
 BLANK_FIRST = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -28,183 +38,133 @@ class Vocabulary:
 
     def __init__(self, path: str) -> None:
         with open(path, "rb") as f:
-            self.ranks = {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in f if line.strip())}
+            self.load({base64.b64decode(token): int(rank) for token, rank in (line.split() for line in f if line.strip())})
+
+    def load(self, ranks: dict[bytes, int]) -> None:
+        self.ranks = ranks
         self.tokens = {rank: token for token, rank in self.ranks.items()}
         self.single = np.array([self.ranks[bytes([b])] for b in range(256)], np.int64)
-        self._pairs: dict[int, int] = {}
-        self._words: dict[str, bytes] = {}
-
-    def pair(self, key: int) -> int:
-        """Rank of the token that a pair (a << 17 | b) makes, or GAP."""
-        found = self._pairs.get(key)
-        if found is None:
-            a, b = key >> 17, key & GAP
-            found = GAP if a == GAP or b == GAP else self.ranks.get(self.tokens[a] + self.tokens[b], GAP)
-            if len(self._pairs) > 2_000_000:
-                self._pairs.clear()
-            self._pairs[key] = found
-        return found
-
-    def replay(self, words: list[bytes]) -> list[list[int]]:
-        """Ids of each word. An index from merges to the places where they apply is worked off in order of rank over all words;
-        after a merge only the pairs with its two neighbours change. A merge that opens one of lower rank yields to it."""
-        joined = np.full(sum(map(len, words)) + len(words) + 1, GAP, np.int64)
-        at = 1
-        starts = []
-        for w in words:
-            starts.append(at)
-            joined[at : at + len(w)] = self.single[np.frombuffer(w, np.uint8)]
-            at += len(w) + 1
-        keys, which = np.unique(joined[:-1] << 17 | joined[1:], return_inverse=True)
-        merge = np.array([self.pair(int(k)) for k in keys], np.int64)[which]
-        order = np.argsort(merge, kind="stable")
-        order = order[: int(np.searchsorted(merge[order], GAP))]
-        found, first = np.unique(merge[order], return_index=True)
-        index = {int(r): x.tolist() for r, x in zip(found, np.split(order, first[1:]), strict=True)} if len(order) else {}
-        waiting = list(index)
-        heapify(waiting)
-        symbols, after, before = joined.tolist(), list(range(1, len(joined) + 1)), list(range(-1, len(joined) - 1))
-        known, pair = self._pairs.get, self.pair
-        while waiting:
-            rank = heappop(waiting)
-            places = index.pop(rank)
-            places.sort()
-            for i, p in enumerate(places):
-                q = after[p]
-                if symbols[p] < 0 or q >= len(symbols):
-                    continue
-                key = symbols[p] << 17 | symbols[q]
-                if (known(key) or pair(key)) != rank:
-                    continue
-                o, n = before[p], after[q]
-                symbols[p], symbols[q], after[p], before[n] = rank, -1, n, p
-                lower = False
-                for place, key in ((o, symbols[o] << 17 | rank), (p, rank << 17 | symbols[n])):
-                    new = known(key)
-                    if new is None:
-                        new = pair(key)
-                    if new != GAP:
-                        lower |= new < rank
-                        if new in index:
-                            index[new].append(place)
-                        else:
-                            index[new] = [place]
-                            heappush(waiting, new)
-                if lower:
-                    if rank in index:
-                        index[rank].extend(places[i + 1 :])
-                    else:
-                        index[rank] = places[i + 1 :]
-                        heappush(waiting, rank)
-                    break
-        left = np.array(symbols)
-        ids = left[left >= 0]
-        gaps = np.flatnonzero(ids == GAP)
-        return [ids[a + 1 : b].tolist() for a, b in zip(gaps[:-1], gaps[1:], strict=True)]
-
-    def waves(self, words: list[bytes]) -> list[bytes]:
-        """What replay gives, packed, for words of moderate length. Merges in different words don't touch each other, so each wave goes
-        through the index in order of rank and applies the first merge of every word, the leftmost one, all words at once."""
-        out = [b""] * len(words)
-        sizes = np.array([len(w) for w in words], np.int64)
-        which = np.flatnonzero(sizes)
-        symbols = self.single[np.frombuffer(b"".join(words), np.uint8)]
-        sizes = sizes[which]
-        ends = np.cumsum(sizes)
-        merge = np.full(len(symbols), GAP, np.int64)
-        merge[:-1] = self.merges(symbols[:-1], symbols[1:])
-        merge[ends - 1] = GAP
-        while len(which):
-            starts = ends - sizes
-            first = np.minimum.reduceat(merge << 32 | np.arange(len(merge)), starts)
-            place, rank = first & 0xFFFFFFFF, first >> 32
-            live = rank != GAP
-            if not live.all():
-                stay = np.repeat(live, sizes)
-                packed, done = symbols[~stay].astype("<u4").tobytes(), np.cumsum(4 * sizes[~live]).tolist()
-                for i, a, b in zip(which[~live].tolist(), [0, *done], done, strict=False):
-                    out[i] = packed[a:b]
-                shift = np.cumsum(stay) - 1
-                symbols, merge = symbols[stay], merge[stay]
-                which, sizes, place, rank = which[live], sizes[live], shift[place[live]], rank[live]
-                if not len(which):
-                    break
-                starts = np.cumsum(sizes) - sizes
-            symbols[place] = rank
-            keep = np.ones(len(symbols), bool)
-            keep[place + 1] = False
-            symbols, merge = symbols[keep], merge[keep]
-            sizes = sizes - 1
-            ends = np.cumsum(sizes)
-            starts = ends - sizes
-            place = place - np.arange(len(place))  # each word before has lost one symbol
-            more = place + 1 < ends
-            merge[place] = GAP
-            merge[place[more]] = self.merges(rank[more], symbols[place[more] + 1])
-            more = place > starts
-            merge[place[more] - 1] = self.merges(symbols[place[more] - 1], rank[more])
-        return out
-
-    @cached_property
-    def _table(self) -> tuple[np.ndarray, np.ndarray]:
-        """Every pair of tokens that makes a token, in a hash table of arrays."""
-        pairs = [(self.ranks[t[:i]] << 17 | self.ranks[t[i:]], r) for t, r in self.ranks.items() for i in range(1, len(t)) if t[:i] in self.ranks and t[i:] in self.ranks]
-        keys, values = np.full(1 << 21, -1, np.int64), np.full(1 << 21, GAP, np.int64)
+        self.gap = max(self.tokens) + 1  # stands at both ends of words, and for "no token"
+        if self.gap >= 1 << 31:
+            raise ValueError("ids of 31 bits at the most")
+        self._known: dict[str, bytes] = {}
+        self._room = CACHE
+        pairs = [(self.ranks[t[:i]] * (self.gap + 1) + self.ranks[t[i:]], r) for t, r in self.ranks.items() for i in range(1, len(t)) if t[:i] in self.ranks and t[i:] in self.ranks]
         left = np.array(pairs, np.int64).reshape(-1, 2)
+        self._bits = max(10, (8 * len(left)).bit_length())
+        self._keys, self._values = np.full(1 << self._bits, -1, np.int64), np.full(1 << self._bits, self.gap, np.int64)
         slot = self._slot(left[:, 0])
         while len(left):
-            free = keys[slot] == -1
-            keys[slot[free]] = left[free, 0]  # of several for one slot the last stays
-            own = keys[slot] == left[:, 0]
-            values[slot[own]] = left[own, 1]
-            left, slot = left[~own], slot[~own] + 1 & len(keys) - 1
-        return keys, values
+            free = self._keys[slot] == -1
+            self._keys[slot[free]] = left[free, 0]  # of several for one slot the last stays
+            own = self._keys[slot] == left[:, 0]
+            self._values[slot[own]] = left[own, 1]
+            left, slot = left[~own], slot[~own] + 1 & len(self._keys) - 1
 
-    @staticmethod
-    def _slot(key: np.ndarray) -> np.ndarray:
-        return ((key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(43)).astype(np.int64)
+    def _slot(self, key: np.ndarray) -> np.ndarray:
+        return ((key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self._bits)).astype(np.int64)
 
     def merges(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """Ranks of the tokens that pairs make, GAP where they make none."""
-        keys, values = self._table
-        key = a << 17 | b
+        """Ranks of the tokens that pairs make, the gap where they make none."""
+        key = a * (self.gap + 1) + b
         slot = self._slot(key)
-        out = np.full(len(key), GAP, np.int64)
-        left = np.arange(len(key))
+        there = self._keys[slot]
+        out = np.where(there == key, self._values[slot], self.gap)
+        left = np.flatnonzero((there != key) & (there != -1))
+        slot = slot[left] + 1 & len(self._keys) - 1
         while len(left):
-            there = keys[slot]
+            there = self._keys[slot]
             hit = there == key[left]
-            out[left[hit]] = values[slot[hit]]
+            out[left[hit]] = self._values[slot[hit]]
             on = ~hit & (there != -1)
-            left, slot = left[on], slot[on] + 1 & len(keys) - 1
+            left, slot = left[on], slot[on] + 1 & len(self._keys) - 1
         return out
 
+    def replay(self, words: list[bytes]) -> list[bytes]:
+        """Ids of each word, packed. A token lies at the position of its first byte."""
+        gap, n = self.gap, sum(map(len, words))
+        sizes = np.array([len(w) for w in words], np.int64)
+        ends = np.cumsum(sizes)
+        symbol = np.append(self.single[np.frombuffer(b"".join(words), np.uint8)], gap)
+        word = np.repeat(np.arange(len(words)), sizes)
+        after, before = np.arange(1, n + 2), np.arange(-1, n)
+        filled = sizes > 0
+        after[ends[filled] - 1], before[(ends - sizes)[filled]] = n, n  # position n is the gap around all words
+        rank = np.append(self.merges(symbol[:-1], symbol[after[:-1]]), gap)
+        alive = np.ones(n, bool)
+        index: dict[int, list[np.ndarray]] = {}
+
+        def put(places: np.ndarray, least: int) -> None:
+            """Into the range of their rank, in the current one at the earliest."""
+            if not len(places):
+                return
+            at = np.maximum(rank[places] // WIDTH, least)
+            order = np.argsort(at, kind="stable")
+            found, first = np.unique(at[order], return_index=True)
+            for r, some in zip(found.tolist(), np.split(places[order], first[1:]), strict=True):
+                index.setdefault(r, []).append(some)
+
+        put(np.flatnonzero(rank < gap), 0)
+        while index:
+            r = min(index)
+            # What the index holds may be merged meanwhile, or stand there twice.
+            p = np.unique(np.concatenate(index.pop(r)))
+            p = p[rank[p] < min(gap, (r + 1) * WIDTH)]
+            if not len(p):
+                continue
+            new = np.append(True, word[p[1:]] != word[p[:-1]])
+            low = np.minimum.reduceat(rank[p], np.flatnonzero(new))[np.cumsum(new) - 1]
+            wait, p = p[rank[p] != low], p[rank[p] == low]
+            # Of pairs that overlap each second one stays, from the left.
+            first = np.append(True, after[p[:-1]] != p[1:])
+            count = np.arange(len(p))
+            kept = (count - np.maximum.accumulate(np.where(first, count, 0))) % 2 == 0
+            wait, p = np.append(wait, p[~kept]), p[kept]
+            token, second, left = rank[p], after[p], before[p]
+            right = after[second]
+            beside = np.append(False, right[:-1] == p[1:])  # the neighbour on the left is merged as well
+            to_left = self.merges(np.where(beside, token, symbol[left]), token)
+            to_right = self.merges(token, symbol[right])
+            # A merge that opens one of lower rank yields to it before its word goes on to the right.
+            opens = (to_left < token) | (to_right < token)
+            if opens.any():
+                seen = np.cumsum(opens) - opens
+                new = np.append(True, word[p[1:]] != word[p[:-1]])
+                go = seen == seen[np.flatnonzero(new)][np.cumsum(new) - 1]
+                wait = np.append(wait, p[~go])
+                p, token, second, left, right, beside, to_left, to_right = (x[go] for x in (p, token, second, left, right, beside, to_left, to_right))
+            symbol[p], after[p], before[right] = token, right, p
+            alive[second], rank[second] = False, gap
+            rank[left[~beside]] = to_left[~beside]
+            rank[p] = np.where(np.append(beside[1:], False), np.append(to_left[1:], gap), to_right)
+            rank[n] = gap
+            touched = np.concatenate([p, left[~beside], wait])
+            put(touched[rank[touched] < gap], r)
+        ids = symbol[:-1][alive].astype("<u4").tobytes()
+        upto = [0, *(4 * np.append(0, np.cumsum(alive))[ends]).tolist()]
+        return [ids[a:b] for a, b in zip(upto[:-1], upto[1:], strict=True)]
+
     def encode(self, texts: Iterable[list[str]], split: Callable[[str], list[str]] = lambda x: [x]) -> Iterator[bytes]:
         """Ids of each text, given as chunks that split takes apart into words, as little-endian unsigned 32-bit integers."""
         texts = list(texts)
-        fresh = set().union(*texts).difference(self._words)
-        if len(fresh) + len(self._words) > CACHE:
-            self._words.clear()
-            fresh = set().union(*texts)
-        parts = [split(c) for c in fresh]
-        raw = [w.encode() for words in parts for w in words]
-        known, rest = {}, []
-        for w in set(raw):
-            rank = self.ranks.get(w)
-            if rank is None:
-                rest.append(w)
+        if self._room < 0:
+            self._known.clear()
+            self._room = CACHE
+        found, seen = self._known, Counter(chain.from_iterable(texts))
+        parts = {c: [w.encode() for w in split(c)] for c in seen.keys() - found.keys()}
+        words = list(set().union(*parts.values()))
+        ids = dict(zip(words, self.replay(words), strict=True))
+        once = {}
+        for c, own in parts.items():
+            x = ids[own[0]] if len(own) == 1 else b"".join(map(ids.__getitem__, own))
+            if seen[c] > 1 and len(c) <= SHORT:
+                found[c] = x
+                self._room -= 200 + 4 * len(c) + len(x)  # what the two objects take, roughly
             else:
-                known[w] = rank.to_bytes(4, "little")
-        short = [w for w in rest if len(w) <= LONG]
-        for i in range(0, len(short), 20_000):
-            known.update(zip(short[i : i + 20_000], self.waves(short[i : i + 20_000]), strict=True))
-        long = [w for w in rest if len(w) > LONG]
-        known.update((w, np.array(ids, "<u4").tobytes()) for w, ids in zip(long, self.replay(long), strict=True))
-        each = iter(map(known.__getitem__, raw))
-        for c, words in zip(fresh, parts, strict=True):
-            self._words[c] = next(each) if len(words) == 1 else b"".join([next(each) for _ in words])
-        for words in texts:
-            yield b"".join(map(self._words.__getitem__, words))
+                once[c] = x
+        once.update((c, found[c]) for c in seen.keys() & found.keys())
+        for chunks in texts:
+            yield b"".join(map(once.__getitem__, chunks))
 
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.tokens.__getitem__, np.frombuffer(ids, "<u4").tolist()))
@@ -237,13 +197,13 @@ def bpe_encode(docs: DataFrame, path: str, pattern: str, keep: tuple[str, ...] =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, (chunks, words) = vocabulary(path), splitters(pattern)
         for whole in batches:
-            for batch in pieces(whole, "text"):
+            for batch in pieces(whole, "text", SLICE):
                 texts = [chunks(x) if x else [] for x in batch.column("text").to_pylist()]
                 ids = list(own.encode(texts, words))
                 more = [pa.array(map(own.decode, ids), pa.binary())] if decode else []
                 yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(ids, pa.binary()), *more], names=[*keep, "ids", *["decoded"] * decode])
 
-    return docs.select(*dict.fromkeys([*keep, "text"])).mapInArrow(run, schema)
+    return docs.select(*dict.fromkeys([*keep, "text"])).mapInArrow(lean(run), schema)
 
 
 def bpe_decode(encoded: DataFrame, path: str, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -257,4 +217,4 @@ def bpe_decode(encoded: DataFrame, path: str, keep: tuple[str, ...] = ("doc_id",
                 ids = batch.column("ids")
                 yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), ids, pa.array((None if x is None else own.decode(x) for x in ids.to_pylist()), pa.binary())], names=[*keep, "ids", "decoded"])
 
-    return encoded.select(*dict.fromkeys([*keep, "ids"])).mapInArrow(run, schema)
+    return encoded.select(*dict.fromkeys([*keep, "ids"])).mapInArrow(lean(run), schema)
