@@ -15,7 +15,7 @@ from tallyfold.llm.substring_dedup import substring_dedup
 from tallyfold.llm.tool_calls import link_tools
 from tallyfold.llm.topk_search import top_k
 from tallyfold.llm.scratch import small_batches
-from tallyfold.llm.secrets import secret_scan, train
+from tallyfold.llm.secrets import dictionary, secret_scan, train
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,8 +41,12 @@ def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(_table(spark, sf_dir, "documents"), weights=(3, 1, 2), share=1.5)
 
 
+def plain_words() -> tuple[str, ...]:
+    return dictionary(*(public_tokenizers.path(f"byte_bpe_{x}.tiktoken") for x in ("50k", "multi_50k")))
+
+
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secret_scan(_table(spark, sf_dir, "documents"), train(spark)).drop("redacted")
+    return secret_scan(_table(spark, sf_dir, "documents"), train(spark, plain_words())).drop("redacted")
 
 
 def _held_out(divisor: int, rest: int):

@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
+import base64
 import random
+import re
 from functools import reduce
+from typing import NamedTuple
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyfold.llm.quality_rules import let, spaced
+from tallyfold.llm.scratch import unlike
 
-#: Openings of well-known key formats; words that announce a secret or something that only looks like one; common letter groups.
+#: Openings of well-known key formats; words that announce a secret or something that only looks like one; common letter groups
+#: of plain words, also of those that no dictionary has.
 KNOWN = r"^(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{30,}|xox[abprs]-[A-Za-z0-9-]{10,}|sk_live_[A-Za-z0-9]{16,}|eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_.-]+)"
 ANNOUNCE = r"(?i)(?:token|secret|passw(?:or)?d|passwd|pwd|api[_-]?key|access[_-]?key|private[_-]?key|auth|bearer|credential)"
 DENY = r"(?i)(?:sha\d*|md5|commit|checksum|digest|hash|uuid|guid|etag|revision|version|isbn|order|invoice|example|card|iban)"
@@ -25,10 +30,42 @@ PARTS = rf"[,;&|](?=[\"']?[\w.-]*?{NAMED})"
 PIECE = r"[A-Za-z0-9][A-Za-z0-9_+/.~-]{14,}[A-Za-z0-9]={0,2}"
 KNOWN_IN = rf"(?<![A-Za-z0-9]){KNOWN[1:]}(?<![.])"
 LOWER, UPPER, DIGITS = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
-NAMES = ("length", "transitions", "distinct", "digits", "upper", "hex", "known", "coverage", "path", "dots", "announced", "denied", "numeric", "quoted", "assigned")
+NAMES = ("length", "transitions", "distinct", "digits", "upper", "hex", "known", "coverage", "groups", "path", "dots", "announced", "denied", "numeric", "quoted", "assigned")
 
 
-def features(value: Column, word: Column, before: Column) -> dict[str, Column]:
+class Model(NamedTuple):
+    """Trees of the forest, and the dictionary: for each first letter its words, each between blanks."""
+
+    forest: list
+    words: tuple[str, ...]
+
+
+def dictionary(*paths: str, most: int = 4000) -> tuple[str, ...]:
+    """The `most` most frequent plain words of four letters and more in each of the rank files, which list tokens in that order: those
+    that begin with a blank."""
+    found = set()
+    for path in paths:
+        with open(path, "rb") as f:
+            tokens = (base64.b64decode(line.split()[0]) for line in f if line.strip())
+            own = [t[1:].decode() for t in tokens if re.fullmatch(rb" [a-z]{4,}", t)]
+        found |= set(own[:most])
+    return tuple(" " + "".join(f"{w} " for w in sorted(found) if w[0] == c) for c in LOWER)
+
+
+def covered(value: Column, words: tuple[str, ...]) -> Column:
+    """Letters of `value` that lie in words of the dictionary, or in two of them written as one."""
+    runs = F.transform(F.regexp_extract_all(value, F.lit("[A-Z]?[a-z]{3,}|[A-Z]{4,}"), F.lit(0)), F.lower)
+
+    def of(listed: Column) -> Column:
+        has = lambda r: F.contains(F.get(listed, F.ascii(r) - 97), F.concat(F.lit(" "), r, F.lit(" ")))
+        two = lambda r: F.exists(F.sequence(F.lit(4), F.least(F.length(r), F.lit(40)) - 4), lambda i: has(F.substring(r, F.lit(1), i)) & has(F.substring(r, i + 1, F.length(r))))
+        plain = F.filter(runs, lambda r: F.when(has(r), True).when(F.length(r) >= 8, two(r)).otherwise(False))
+        return F.aggregate(plain, F.lit(0), lambda n, r: n + F.length(r))
+
+    return let(F.array(*(F.lit(w) for w in words)), of)
+
+
+def features(value: Column, word: Column, before: Column, words: tuple[str, ...]) -> dict[str, Column]:
     """Numbers that the forest sees: of the candidate itself, of the word that holds it and of the three words before."""
     n = F.greatest(F.length(value), F.lit(1)).cast("double")
     kinds = F.translate(value, LOWER + UPPER + DIGITS, "a" * 26 + "A" * 26 + "0" * 10)
@@ -42,7 +79,8 @@ def features(value: Column, word: Column, before: Column) -> dict[str, Column]:
         "upper": F.length(F.regexp_replace(value, "[^A-Z]", "")) / n,
         "hex": flag(value.rlike("^(?:[0-9a-f]+|[0-9A-F]+)$")),
         "known": flag(value.rlike(KNOWN)),
-        "coverage": 1 - F.length(F.regexp_replace(F.lower(value), "|".join(sorted(GROUPS, key=len, reverse=True)), "")) / n,
+        "coverage": covered(value, words) / n,
+        "groups": 1 - F.length(F.regexp_replace(F.lower(value), "|".join(sorted(GROUPS, key=len, reverse=True)), "")) / n,
         "path": (F.length(value) - F.length(F.replace(value, F.lit("/"), F.lit("")))) / n + flag(word.rlike(r"://|^www\.|^[./~]*/|@|\.(?:com|org|net|html?|py|jpg|png|txt|pdf)\b")),
         "dots": (F.length(value) - F.length(F.regexp_replace(value, "[._-]", ""))) / n,
         "announced": flag(around.rlike(ANNOUNCE)),
@@ -53,11 +91,14 @@ def features(value: Column, word: Column, before: Column) -> dict[str, Column]:
     }
 
 
-def labelled_findings(n: int = 900, seed: int = 10) -> list[tuple[str, str, str, int]]:
-    """(value, word, before, label): made-up findings as a reviewer would mark them. The sample is bounded by n."""
+def labelled_findings(words: tuple[str, ...], n: int = 1800, seed: int = 10) -> list[tuple[str, str, str, int]]:
+    """(value, word, before, label): made-up findings as a reviewer would mark them, the plain ones of words of the dictionary or of
+    letter groups. The sample is bounded by n."""
     rng = random.Random(seed)
+    listed = "".join(words).split()
     pick = lambda chars, low, high=None: "".join(rng.choices(chars, k=rng.randint(low, high or low)))
-    prose = lambda k: " ".join("".join(rng.choices(GROUPS, k=rng.randint(1, 3))) for _ in range(k))
+    made = lambda: "".join(rng.choices(GROUPS, k=rng.randint(1, 3)))
+    prose = lambda k: " ".join(rng.choice(listed) if listed and rng.random() < 0.5 else made() for _ in range(k))
     hexa, base62 = "0123456789abcdef", LOWER + UPPER + DIGITS
     out = []
     for i in range(n):
@@ -82,6 +123,7 @@ def labelled_findings(n: int = 900, seed: int = 10) -> list[tuple[str, str, str,
                     (prose(1) + "." + pick(DIGITS, 2) + "@" + prose(1) + pick(DIGITS, 1) + ".example.com", ""),
                     ("_".join(prose(3).split()) + "_" + pick(DIGITS, 1, 3), rng.choice(["", "token_count =", "key:", "the secret"])),
                     ("-".join(prose(4).split()) + pick(DIGITS, 2), ""),
+                    ("".join(x.capitalize() for x in prose(3).split()) + pick(DIGITS, 0, 2), ""),
                 ]
             )
             if rng.random() < 0.3:  # what follows a secret is not one
@@ -128,15 +170,15 @@ def forest_score(forest: list, get) -> Column:
     return reduce(lambda a, b: a + b, (_tree(t, get) for t in forest)) / len(forest)
 
 
-def train(spark: SparkSession, findings: list[tuple[str, str, str, int]] | None = None) -> list:
-    """A forest from labelled findings. Their features come from the same expressions as at the scan."""
-    findings = labelled_findings() if findings is None else findings
+def train(spark: SparkSession, words: tuple[str, ...], findings: list[tuple[str, str, str, int]] | None = None) -> Model:
+    """A forest from labelled findings (made-up ones if none are given) and the dictionary that it goes by. The features come from the same expressions as at the scan."""
+    findings = labelled_findings(words) if findings is None else findings
     quote = lambda s: "'" + s.replace("\\", "\\\\").replace("'", "\\'") + "'"
     rows = ", ".join(f"({i}, {quote(v)}, {quote(w)}, {quote(b)}, {y})" for i, (v, w, b, y) in enumerate(findings))
     table = spark.sql(f"SELECT * FROM VALUES {rows} AS t(i, value, word, before, label)")
-    got = table.select("i", *(c.alias(n) for n, c in features(F.col("value"), F.col("word"), F.col("before")).items()), "label").collect()
+    got = table.select("i", *(c.alias(n) for n, c in features(F.col("value"), F.col("word"), F.col("before"), words).items()), "label").collect()
     got = np.array(sorted(map(tuple, got)), float)
-    return fit_forest(got[:, 1:-1], got[:, -1])
+    return Model(fit_forest(got[:, 1:-1], got[:, -1]), words)
 
 
 def _candidates(text: Column) -> Column:
@@ -169,21 +211,23 @@ def _candidates(text: Column) -> Column:
     return let(F.split(spaced(text), " +"), of)
 
 
-def secret_scan(docs: DataFrame, forest: list, threshold: float = 0.5, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+def secret_scan(docs: DataFrame, model: Model, threshold: float = 0.5, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The `keep` columns of each row of docs (text string), n_candidates, n_secrets, secrets and redacted.
 
     secrets has (start, length, score) of each found value in order of place, start counting characters from 1, once for
     each different value at its first place; redacted is the text with every place of them replaced by [SECRET]. A word
     may hold several candidates; a found value inside a longer found value of its word isn't counted beside it. Private
     key blocks count as found without the forest. One projection without shuffle. A null text has no candidates and stays
-    null; repeated rows come back repeated; an empty table gives an empty one; other columns are left out.
+    null; very long texts are scanned whole; repeated rows come back repeated; an empty table gives an empty one; other
+    columns are left out unless named in `keep`, where a name of the result is a ValueError.
     """
+    unlike(keep, ("n_candidates", "n_secrets", "secrets", "redacted", "text", "_found", "_blocks", "_secrets", "_shown"))
     text = F.coalesce(F.col("text"), F.lit(""))
 
     def judged(found: Column) -> Column:
         def score(c: Column) -> Column:
-            parts = features(c.value, c.word, c.before)
-            return let(F.struct(*(x.alias(n) for n, x in parts.items())), lambda f: F.struct(c.value.alias("value"), forest_score(forest, lambda name: f[name]).alias("score")))
+            parts = features(c.value, c.word, c.before, model.words)
+            return let(F.struct(*(x.alias(n) for n, x in parts.items())), lambda f: F.struct(c.value.alias("value"), forest_score(model.forest, lambda name: f[name]).alias("score")))
 
         def word(scored: Column) -> Column:
             holds = lambda x: F.exists(scored, lambda y: (y.score >= threshold) & (F.length(y.value) > F.length(x.value)) & F.contains(y.value, x.value))
