@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyfold.llm.scratch import release, settle
-from tallyfold.llm.textbytes import U, flat, mix, pieces, seeded
+from tallyfold.llm.textbytes import U, flat, lean, mix, pieces, seeded
 
 WINDOW = 32  # bytes that a cut depends on
 
@@ -65,20 +65,19 @@ def _chunks(bits: int, least: int, most: int):
                 size = stop - start
                 offset = np.arange(len(data)) - np.repeat(start, size)
                 digest = [mix(np.add.reduceat(x[data] * power[offset], start) + size.astype(U)) for x in letters]
-                big = size >= least
-                row, start, size, stop = row[big], start[big], size[big], stop[big]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").take(pa.array(row)), pa.array((start - at[row]).astype(np.int32)), pa.array(size.astype(np.int32)), *(pa.array(d[big].view(np.int64)) for d in digest)],
+                    [batch.column("doc_id").take(pa.array(row)), pa.array((start - at[row]).astype(np.int32)), pa.array(size.astype(np.int32)), *(pa.array(d.view(np.int64)) for d in digest)],
                     names=["doc_id", "start", "size", "d1", "d2"],
                 )
 
-    return run
+    return lean(run)
 
 
 def repeated_chunks(docs: DataFrame, bits: int = 4, least: int = 32, most: int = 256) -> DataFrame:
     """(doc_id, start, size, first_doc, first_start, copies) of each chunk whose bytes stand at another place too, in the same document or another, first places included.
 
-    Chunks are compared by two 64-bit digests. start counts bytes of the UTF-8 text.
+    Chunks have `least` to `most` bytes; the last of a text may be shorter. They are compared by two 64-bit digests. start counts
+    bytes of the UTF-8 text.
     """
     found = docs.where("doc_id IS NOT NULL").select("doc_id", "text").mapInArrow(_chunks(bits, least, most), "doc_id bigint, start int, size int, d1 bigint, d2 bigint")
     several = found.groupBy("d1", "d2").agg(F.min(F.struct("doc_id", "start")).alias("at"), F.max(F.struct("doc_id", "start")).alias("last"), F.count("*").alias("copies")).where("at < last")
@@ -95,7 +94,7 @@ def substring_dedup(docs: DataFrame, bits: int = 4, least: int = 32, most: int =
     deduplicated text keeps first spans and loses the others. sources holds the documents in which the first chunks of
     lost spans stand. Null and empty texts hold nothing; repeated rows count as one text; a null doc_id takes no part; an
     empty table gives an empty result; other columns are ignored. Chunks repeated in one document or several
-    are grouped by document, and a document's chunks are bounded by its length.
+    are grouped by document: very long texts are cut whole, and a document's chunks are bounded by its length.
     """
     chunks = repeated_chunks(docs, bits, least, most).distinct()
     first = (F.col("doc_id") == F.col("first_doc")) & (F.col("start") == F.col("first_start"))
