@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyfold.llm.adam import Adam, sigmoid
-from tallyfold.llm.textbytes import flat, pieces
+from tallyfold.llm.textbytes import flat, lean, pieces
 
 HIDDEN = 8  # units a direction
 SPAN = 128  # bytes that one run of the network sees; the windows cover the whole text
@@ -131,7 +131,7 @@ def _sampled(length: int, each: int):
                         own.append(lang)
                 yield pa.RecordBatch.from_arrays([pa.array(own, pa.string()), pa.array(out, pa.binary())], names=["lang", "window"])
 
-    return run
+    return lean(run)
 
 
 def train(labelled: DataFrame, most: int = 2000, length: int = 48, each: int = 4, steps: int = 250) -> tuple[list[str], dict]:
@@ -181,4 +181,4 @@ def identify(docs: DataFrame, languages: list[str], weights: dict) -> DataFrame:
                             names[i], scores[i] = languages[best[i]], float(mean[i, best[i]])
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(names, pa.string()), pa.array(np.clip(scores, 0, 1))], names=["doc_id", "lang_pred", "score"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, lang_pred string, score double")
+    return docs.select("doc_id", "text").mapInArrow(lean(run), f"doc_id {kind}, lang_pred string, score double")

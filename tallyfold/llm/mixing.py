@@ -101,7 +101,8 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: fl
 
     taken is 0, 1 or 2 times the size in words. Null and empty texts have size 0 and take 0; a null source is a source of
     its own; repeated rows are ranked alike and so taken alike; an empty table gives an empty one; other columns are
-    ignored. A source's taken words differ from its target by half a document at most, unless copies of one row meet there.
+    ignored. Sources are ranked in one task: one row a source, whatever the documents. A source's taken words differ from its
+    target by half a document at most, however long, unless copies of one row meet there.
     """
     sized = settle(_sized(docs, seed))
     aims = plan(sized, weights, share)
@@ -109,11 +110,15 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: fl
 
 
 def mixed(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, seed: int = 8) -> DataFrame:
-    """The rows of docs, each as often as the mix takes it, with the columns of docs. Texts are not shuffled."""
+    """The rows of docs, each as often as the mix takes it, with the columns of docs, whatever their names. Texts are not shuffled.
+
+    Null and empty texts are taken never, a null doc_id is ranked as an id of its own, repeated rows are taken alike, and an
+    empty table gives an empty one. Very long texts count whole: one that meets the cut of its source may miss the target by
+    half its size.
+    """
     sized = settle(_sized(docs, seed))
     aims = plan(sized, weights, share)
-    columns = [F.col(f"row.{c}").alias(c) for c in docs.columns]
     rows = docs.select(F.struct(*docs.columns).alias("row"))
     chosen = _taken(rows.select("row", F.col("row.doc_id").alias("doc_id"), F.col("row.source").alias("source"), size_of(F.col("row.text")).alias("size"), F.xxhash64(F.lit(seed), F.col("row.doc_id"), F.col("row.text")).alias("tie"), (F.pmod(F.xxhash64(F.lit(seed), F.col("row.doc_id")), F.lit(1 << 52)).cast("double") + 0.5).alias("u0")).withColumn("u", F.col("u0") / float(1 << 52)), aims)
     drop(sized)
-    return chosen.where("n_copies > 0").select(F.explode(F.sequence(F.lit(1), F.col("n_copies").cast("int"))).alias("copy"), *columns).drop("copy")
+    return chosen.where("n_copies > 0").select(F.explode(F.sequence(F.lit(1), F.col("n_copies").cast("int"))).alias("copy"), "row").select("row.*")

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyfold.llm.adam import Adam, sigmoid
-from tallyfold.llm.textbytes import U, Words, pieces
+from tallyfold.llm.textbytes import U, Words, lean, pieces
 
 PASSAGE = 64  # words
 BUCKETS = 64  # of hashed words
@@ -128,4 +128,4 @@ def score_quality(docs: DataFrame, weights: dict[str, np.ndarray]) -> DataFrame:
                 score = forward(weights, *passages(batch.column("text")))[0] if weights else np.full(batch.num_rows, 0.5)
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.clip(score.astype(np.float64), 0, 1))], names=["doc_id", "score"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, score double")
+    return docs.select("doc_id", "text").mapInArrow(lean(run), f"doc_id {kind}, score double")

@@ -8,6 +8,8 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallyfold.llm.scratch import unlike
+
 #: Frequent words of English, French, German and Spanish.
 STOP_WORDS = (
     "a al and are as at avec be by con das de del den der des die du ein el en er es est et for from für have he her his ich il im in is ist it la las le les los "
@@ -111,6 +113,9 @@ def verdict(rules: tuple[Rule, ...] = RULES) -> Column:
     return out
 
 
+OUT = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_shouts", "n_stop_words", "base_failed", "kept")
+
+
 def quality_rules(docs: DataFrame, rules: tuple[Rule, ...] = RULES, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The `keep` columns of every row of docs (text string), its counts, base_failed and kept.
 

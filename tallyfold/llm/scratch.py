@@ -8,6 +8,7 @@ import gc
 import tempfile
 import time
 import uuid
+from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -15,9 +16,11 @@ _left: list[tuple[SparkSession, str]] = []
 
 
 def folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session; a temporary folder only where none is set (tests, local mode)."""
+    """spark.checkpoint.dir of the session; a temporary folder only where none is set and driver and executors are one process."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="tallyfold-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found
@@ -63,6 +66,20 @@ def _clear() -> None:
             _remove(spark, path)
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that df doesn't have."""
+    while name in df.columns:
+        name = f"_{name}"
+    return name
+
+
+def unlike(keep: tuple[str, ...], made: Iterable[str]) -> None:
+    """Columns that are kept must not have the names of those that an operator makes."""
+    both = sorted(set(keep) & set(made))
+    if both:
+        raise ValueError(f"columns to keep have names of the result: {', '.join(both)}")
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
