@@ -23,12 +23,18 @@ def _tier(preference: str) -> Column:
 
 def ranked(contacts: DataFrame, preference: str = "owner_first") -> DataFrame:
     """Phones with `rank`: dense over kept rows, one for each number; whatsapp_only leaves out numbers without evidence."""
-    phones = contacts.where("kind = 'phone'").withColumn("tier", _tier(preference))
-    in_slot = F.lit(True) if preference != "whatsapp_only" else F.coalesce(F.col("wa_evidence") > 0, F.lit(False))
+    return ranked_beside(contacts.where("kind = 'phone'"), preference)
+
+
+def ranked_beside(contacts: DataFrame, preference: str = "owner_first") -> DataFrame:
+    """All contacts with `rank` as in ranked(); other kinds than phones have none."""
+    phone = F.col("kind") == "phone"
+    phones = contacts.withColumn("tier", _tier(preference))
+    in_slot = phone if preference != "whatsapp_only" else phone & F.coalesce(F.col("wa_evidence") > 0, F.lit(False))
     line = F.coalesce(F.element_at(F.create_map(*(F.lit(x) for i, k in enumerate(("mobile", "uan", "landline", "toll_free", "unknown")) for x in (k, i))), F.col("line_type")), F.lit(9))
     order = [F.col("tier"), F.coalesce("wa_evidence", F.lit(0.0)).desc(), F.coalesce("confidence", F.lit(0.0)).desc(), line, F.coalesce("value_e164", F.lit("")), F.col("contact_id")]
     number = F.when(F.coalesce("value_e164", F.lit("")) != "", F.col("value_e164"))
-    marked = phones.withColumn("in_slot", in_slot)
+    marked = phones.withColumn("in_slot", in_slot).repartition("business_id")  # once for both windows and for what is grouped afterwards
     again = F.row_number().over(Window.partitionBy("business_id", "in_slot", number).orderBy(*order)) > 1
     marked = marked.withColumn("keeps", F.col("in_slot") & ~(number.isNotNull() & again))
     place = F.row_number().over(Window.partitionBy("business_id", "keeps").orderBy(*order))

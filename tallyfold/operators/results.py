@@ -8,7 +8,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyfold.functions.text import fold, national_digits, registrable_domain
-from tallyfold.operators.rank import ranked, wa_label
+from tallyfold.operators import export
+from tallyfold.operators.rank import ranked_beside, wa_label
+from tallyfold.operators.score import contact_signals, with_score
 
 #: Fixed values.
 BATCHES = ("delivery-nosite", "delivery-site", "cafe-nosite", "cafe-site", "reputation", "early-stage", "no-whatsapp", "unbatched")
@@ -78,18 +80,37 @@ def batch() -> Column:
     )
 
 
-def rows(scored: DataFrame, phones: DataFrame, visible: DataFrame) -> DataFrame:
-    """One row a business with what its ranked phones and visible contacts give."""
-    held = phones.where("rank IS NOT NULL")
-    number = F.coalesce("value_e164", "value_raw")
-    per = held.groupBy("business_id").agg(
-        F.countDistinct(number).alias("phone_count"), F.min_by(number, "rank").alias("phone_1"),
-        F.min_by(F.when(F.col("person_name") != "", F.col("person_name")), F.when(F.col("person_name") != "", F.col("rank"))).alias("contact_person"),
-        F.transform(F.array_sort(F.collect_list(F.struct("rank", number.alias("n")))), lambda x: x.n).alias("numbers"),
-        F.collect_set(wa_label(F.col("wa_evidence"))).alias("labels"), F.collect_set("line_type").alias("line_types"), F.max("scraped_at").alias("scraped_at"),
+def marked(contacts: DataFrame, numbers: DataFrame, emails: DataFrame) -> DataFrame:
+    """Contacts with `hidden`, true for suppressed numbers and mails. The lists are joined once, so they may be of any size."""
+    mail = F.when(F.col("kind") == "email", F.lower(F.trim("value_raw")))
+    flagged = lambda df, c: df.select(F.col(c).alias(f"_{c}"), F.lit(True).alias(f"_hit_{c}")).distinct()
+    out = contacts.withColumn("email", mail)
+    out = out.join(flagged(numbers, "value_e164"), F.col("value_e164") == F.col("_value_e164"), "left").join(flagged(emails, "email"), F.col("email") == F.col("_email"), "left")
+    return out.withColumn("hidden", F.coalesce("_hit_value_e164", "_hit_email", F.lit(False))).drop("email", "_email", "_value_e164", "_hit_email", "_hit_value_e164")
+
+
+def facts(contacts: DataFrame, preference: str = "owner_first") -> DataFrame:
+    """One row a business with all that reads its contacts (of marked()): what its score needs, whether phones are left, and of the visible
+    ones the slots, the number to message, pipes and sets. One exchange: ranks and groups go by business_id."""
+    phone, seen = F.col("kind") == "phone", ~F.col("hidden")
+    table = ranked_beside(contacts, preference).withColumns({"number": F.coalesce("value_e164", "value_raw"), "label": wa_label(F.col("wa_evidence")), "clean": F.coalesce(clean_number(F.col("value_e164")), clean_number(F.col("value_raw")))})
+    urls = [c for c in ("source_url", "wa_evidence_url") if c in contacts.columns]
+    per = table.groupBy("business_id").agg(
+        *contact_signals(), F.bool_or(phone).alias("had"), F.bool_or(phone & seen).alias("has"),
+        export.held(table.columns, seen).alias("held"), F.max(F.when(seen, F.col("scraped_at"))).alias("scraped_at"),
+        F.array_sort(F.collect_set(F.when(seen, F.col("source")))).alias("sources"), export.pipe(["source"], "contact_id", seen).alias("sources_pipe"), export.pipe(urls, "contact_id", seen).alias("evidence_urls"),
+        F.min_by("value_raw", F.when(seen & (F.col("kind") == "email"), F.col("contact_id"))).alias("email"),
     )
-    sources = visible.groupBy("business_id").agg(F.array_sort(F.collect_set("source")).alias("sources"))
-    return scored.withColumnRenamed("name", "business_name").join(per, "business_id", "left").join(sources, "business_id", "left").join(wa_pick(phones), "business_id", "left").withColumn("phone_count", F.coalesce("phone_count", F.lit(0))).withColumn("batch", batch())
+    of = lambda field: F.transform("held", lambda x: x[field])
+    able = F.filter("held", lambda x: x.label.isin("confirmed", "likely"))
+    score = lambda x: F.when(x.label == "confirmed", 2).otherwise(1) + F.coalesce(x.line_type == "mobile", F.lit(False)).cast("int") + F.coalesce(x.belongs_to == "business", F.lit(False)).cast("int")
+    best = F.array_max(F.transform(F.filter(able, lambda x: x.clean.isNotNull()), lambda x: F.struct(score(x).alias("s"), (-x["rank"]).alias("r"), x.clean.alias("n"), x.label.alias("l"))))
+    person = F.get(F.filter("held", lambda x: x.person_name != ""), F.lit(0))
+    named = {"person_name": "contact_person", "person_role": "contact_role", "attribution": "attribution"}
+    return per.withColumns({
+        **export.slots("held"), "numbers": of("number"), "sendable": F.array_distinct(F.transform(able, lambda x: x.number)), "labels": F.array_distinct(of("label")), "line_types": F.array_distinct(of("line_type")),
+        "phone_count": F.size(F.array_distinct(of("number"))).cast("bigint"), "wa_number": best["n"], "wa_confidence": best["l"], **{to: person[c] for c, to in named.items() if c in contacts.columns},
+    }).drop("held")
 
 
 def matches(query: ResultQuery) -> Column:
@@ -119,10 +140,10 @@ def matches(query: ResultQuery) -> Column:
 
 
 def collapsed(table: DataFrame) -> DataFrame:
-    """One row of each place over all runs: best score, then most phones, then latest; rows without a place all stay."""
+    """One row of each place over all runs: best score, then most phones, then latest; rows without a place all stay, each as a place of its own."""
     order = [F.when(F.coalesce("lead_score", F.lit(0)) == 0, -1).otherwise(F.col("lead_score")).desc(), F.desc("phone_count"), F.desc_nulls_last("scraped_at"), F.col("business_id")]
-    placed = table.where("place_id IS NOT NULL").withColumn("_n", F.row_number().over(Window.partitionBy("place_id").orderBy(*order))).where("_n = 1").drop("_n")
-    return placed.unionByName(table.where("place_id IS NULL"))
+    place = F.struct(F.col("place_id").alias("place"), F.when(F.col("place_id").isNull(), F.col("business_id")).alias("row"))
+    return table.withColumn("_n", F.row_number().over(Window.partitionBy(place).orderBy(*order))).where("_n = 1").drop("_n")
 
 
 def sort_order(query: ResultQuery) -> list[Column]:
@@ -153,13 +174,23 @@ def batch_counts(table: DataFrame) -> DataFrame:
 
 
 def send_ranks(table: DataFrame) -> DataFrame:
-    """Place of a row in its batch by reviews; rows outside the batches have none. Ties keep the order of the view."""
-    order = Window.partitionBy("batch").orderBy(F.desc_nulls_last("review_count"), F.desc_nulls_last("lead_score"), "business_id")
-    return table.withColumn("send_rank", F.when(F.col("batch") != "unbatched", F.row_number().over(order)))
-
-
-def visible_view(businesses: DataFrame, contacts: DataFrame, numbers: DataFrame, emails: DataFrame, domains: DataFrame, scored: DataFrame, preference: str = "owner_first") -> DataFrame:
-    visible = visible_contacts(contacts, numbers, emails)
-    kept = visible_businesses(businesses, contacts, visible, domains).select("business_id")
-    phones = ranked(contacts, preference).join(visible.select("contact_id"), "contact_id", "left_semi")
-    return rows(scored.join(kept, "business_id", "left_semi"), phones, visible)
+    """Place of a row in its batch by reviews, then score, then id; rows outside the batches have none.
+
+    No task sorts a batch: rows of equal reviews and score are numbered among themselves, after all that counts say lie before.
+    """
+    level = ["batch", "review_count", "lead_score"]
+    sent = table.where("batch <> 'unbatched'")
+    down = Window.partitionBy("batch").orderBy(F.desc_nulls_last("review_count"), F.desc_nulls_last("lead_score")).rowsBetween(Window.unboundedPreceding, -1)
+    before = sent.groupBy(*level).agg(F.count("*").alias("n")).withColumn("before", F.coalesce(F.sum("n").over(down), F.lit(0))).select(*(F.col(c).alias(f"_{c}") for c in level), "before")
+    own = F.row_number().over(Window.partitionBy(*level).orderBy("business_id"))
+    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in level]
+    placed = sent.withColumn("_own", own).join(before, same).withColumn("send_rank", (F.col("before") + F.col("_own")).cast("int")).select(*table.columns, "send_rank")
+    return placed.unionByName(table.where("batch = 'unbatched'").withColumn("send_rank", F.lit(None).cast("int")))
+
+
+def visible_view(businesses: DataFrame, contacts: DataFrame, numbers: DataFrame, emails: DataFrame, domains: DataFrame, preference: str = "owner_first") -> DataFrame:
+    """One row a business that is shown, with its score (over all contacts), its visible phones and its batch. Businesses, contacts and each list are read once."""
+    kept = businesses.withColumn("domain", registrable_domain(F.col("website"))).join(domains.select("domain"), "domain", "left_anti").drop("domain")
+    wide = with_score(kept.join(facts(marked(contacts, numbers, emails), preference), "business_id", "left"))
+    wide = wide.where("had IS NULL OR NOT had OR has").drop("had", "has").withColumnRenamed("name", "business_name")
+    return wide.withColumns({"phone_count": F.coalesce("phone_count", F.lit(0)), "sendable": F.coalesce("sendable", F.array().cast("array<string>"))}).withColumn("batch", batch())

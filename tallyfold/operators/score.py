@@ -11,29 +11,38 @@ QUALIFIED = 60
 REVIEW_SATURATION = 200
 
 
+def ceiling(unavailable: tuple[str, ...]) -> int:
+    """The most that a score can be while some terms have no source."""
+    return sum(w for term, w in WEIGHTS.items() if term not in unavailable)
+
+
 def clamp(x: Column) -> Column:
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), x))
 
 
-def signals(businesses: DataFrame, contacts: DataFrame) -> DataFrame:
-    """Each business with maxima and counts over its contacts; one without contacts keeps its row."""
+def contact_signals() -> list[Column]:
+    """What the score reads of a business's contacts, as aggregates. Sets of a business's sources and numbers are small."""
     phone = F.col("kind") == "phone"
-    per = contacts.groupBy("business_id").agg(
+    return [
         F.max(F.when(phone, F.coalesce("wa_evidence", F.lit(0.0)))).alias("wa"),
         F.max(F.when(phone, F.coalesce("confidence", F.lit(0.0)))).alias("conf"),
         F.max(F.when(phone & (F.col("person_name") != ""), F.coalesce("confidence", F.lit(0.0)))).alias("person"),
-        F.countDistinct("source").alias("n_sources"),
+        F.size(F.collect_set("source")).cast("bigint").alias("n_sources"),
         F.bool_or(~phone).alias("has_email"),
-        (F.countDistinct(F.when(phone & (F.col("value_e164") != ""), F.col("value_e164"))) >= 2).alias("has_second_phone"),
+        (F.size(F.collect_set(F.when(phone & (F.col("value_e164") != ""), F.col("value_e164")))) >= 2).alias("has_second_phone"),
         F.bool_or(phone & (F.col("line_type") == "mobile")).alias("has_mobile"),
         F.bool_or(phone).alias("has_phone"),
-    )
-    out = businesses.join(per, "business_id", "left")
-    return out.fillna({"wa": 0.0, "conf": 0.0, "person": 0.0, "n_sources": 0, "has_email": False, "has_second_phone": False, "has_mobile": False, "has_phone": False})
+    ]
+
+
+def signals(businesses: DataFrame, contacts: DataFrame) -> DataFrame:
+    """Each business with maxima and counts over its contacts; one without contacts keeps its row."""
+    return businesses.join(contacts.groupBy("business_id").agg(*contact_signals()), "business_id", "left")
 
 
 def terms(table: DataFrame) -> DataFrame:
     """Adds the six terms, the share of its weight that the business signal carries, and its basis. Missing inputs leave the weight out."""
+    table = table.fillna({"wa": 0.0, "conf": 0.0, "person": 0.0, "n_sources": 0, "has_email": False, "has_second_phone": False, "has_mobile": False, "has_phone": False})
     rating = clamp((F.col("rating") - 1.0) / 4.0)
     reviews = F.when(F.col("review_count") <= 0, 0.0).otherwise(clamp(F.log10(1.0 + F.col("review_count")) / F.log10(F.lit(1.0 + REVIEW_SATURATION))))
     has_r, has_n = F.col("rating").isNotNull(), F.col("review_count").isNotNull()
@@ -53,8 +62,13 @@ def terms(table: DataFrame) -> DataFrame:
 
 def scored(businesses: DataFrame, contacts: DataFrame) -> DataFrame:
     """Adds lead_score (0 to 100, halves to even) and qualified."""
+    return with_score(signals(businesses, contacts))
+
+
+def with_score(table: DataFrame) -> DataFrame:
+    """scored() of a table that has the aggregates of contact_signals() already."""
     w = WEIGHTS
-    t = terms(signals(businesses, contacts))
+    t = terms(table)
     applied = F.lit(float(sum(w.values()) - w["business_signal"])) + w["business_signal"] * F.col("signal_share")
     earned = (
         w["whatsapp_evidence"] * F.col("t_whatsapp") + w["contact_confidence"] * F.col("t_confidence") + w["person_attribution"] * F.col("t_person")
