@@ -10,25 +10,39 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tallyfold.functions.phones import extract_phones
+from tallyfold.functions.text import normalise_name
+
 #: Where a record holds its fields, and where a payload holds its records.
+CP1252 = "".join(map(chr, range(0x80, 0xA0))), bytes(range(0x80, 0xA0)).decode("cp1252", "replace")
 PATHS = {"name": "$[11]", "place_id": "$[78]", "address": "$[39]", "lat": "$[9][2]", "lng": "$[9][3]", "phone_raw": "$[178][0][0]", "website": "$[7][0]", "rating": "$[4][7]", "review_text": "$[4][3][1]", "price_range": "$[4][2]", "category": "$[13][0]"}
 RESULTS = 64
 
 
-def documents(raw: str, depth: int = 0) -> list[str]:
-    """JSON documents of a body: guards, blanks and comments between them skipped, texts under "d" opened up to four deep; the first bad one ends the body."""
-    out, at = [], 0
-    raw = re.sub(r"\)\]\}'", "", raw).strip()
-    while depth <= 4 and at < len(raw):
-        at = re.compile(r"(?:\s|/\*.*?\*/)*", re.S).match(raw, at).end()
+DEEPEST = 4
+_GUARD = re.compile(r"\)\]\}'")
+_BETWEEN = re.compile(r"(?:\s|/\*.*?\*/)*", re.S)
+
+
+def documents(raw: str) -> list[str]:
+    """JSON documents of a body: guards, blanks and comments between them skipped, texts under "d" opened up to four deep; a bad one ends
+    the text that holds it. What is still to be read lies on a pile, the innermost text on top."""
+    read, pile, out = json.JSONDecoder().raw_decode, [(_GUARD.sub("", raw).strip(), 0)], []
+    while pile:
+        text, at = pile.pop()
+        at = _BETWEEN.match(text, at).end()
+        if at >= len(text):
+            continue
         try:
-            node, at = json.JSONDecoder().raw_decode(raw, at)
+            node, at = read(text, at)
         except ValueError:
-            break
-        if isinstance(node, dict) and isinstance(node.get("d"), str):
-            out += documents(node["d"], depth + 1)
-        else:
+            continue
+        pile.append((text, at))
+        inner = node.get("d") if isinstance(node, dict) else None
+        if not isinstance(inner, str):
             out.append(json.dumps(node))
+        elif len(pile) <= DEEPEST:
+            pile.append((_GUARD.sub("", inner).strip(), 0))
     return out
 
 
@@ -61,20 +75,94 @@ def merged_results(results: DataFrame) -> DataFrame:
     return results.withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n")
 
 
+def is_search_payload(url: Column) -> Column:
+    return F.contains(url, F.lit("tbm=map"))
+
+
+def search_url(query: Column) -> Column:
+    return F.concat(F.lit("https://www.google.com/maps/search/"), F.replace(F.replace(F.url_encode(query), F.lit("*"), F.lit("%2A")), F.lit("%7E"), F.lit("~")))
+
+
 def listings(pages: DataFrame) -> DataFrame:
-    """Companies of directory pages (url, html): name, link, phones, coordinates (0, 0 is none), rating and reviews."""
-    block = F.explode(F.regexp_extract_all("html", F.lit(r"(?s)<div class=\"company[^\"]*\".*?(?=<div class=\"company|</body>|$)"), F.lit(0)))
+    """Companies of directory pages (url, html): directory_id, name, link, address, phones, coordinates (both or none; 0, 0 is none), rating
+    and review_count. A block without a linked name is no company."""
+    block = F.explode(F.regexp_extract_all("html", F.lit(r"(?s)<div [^>]*class=\"company[ \"].*?(?=<div [^>]*class=\"company[ \"]|</body>|$)"), F.lit(0)))
     b = pages.select("url", block.alias("b"))
-    get = lambda p: F.nullif(F.trim(F.regexp_extract("b", p, 1)), F.lit(""))
-    out = b.select("url", get(r"(?s)<a[^>]*>\s*([^<]+?)\s*</a>").alias("name"), get(r"href=\"([^\"]+)\"").alias("link"), F.regexp_extract_all("b", F.lit(r"aria-label=\"[Pp]hone\"[^>]*>(?:\s*<[^>]*>)*\s*([^<]+)"), F.lit(1)).alias("phones"), get(r"data-ltd=\"([^\"]+)\"").try_cast("double").alias("lat"), get(r"data-lng=\"([^\"]+)\"").try_cast("double").alias("lng"), get(r"(\d+) [Rr]eview").try_cast("int").alias("review_count"))
+    get = lambda p, of="b": F.nullif(F.trim(F.regexp_replace(F.regexp_replace(F.regexp_extract(of, p, 1), "<[^>]*>", " "), r"\s+", " ")), F.lit(""))
+    cell = F.get(F.filter(F.split("b", "<div "), lambda c: c.rlike(r"(?is)^class=\"s\".*?<i[^>]*aria-label=\"[^\"]*phone")), F.lit(0))
+    out = b.withColumn("cell", F.regexp_replace(F.regexp_extract(cell, "(?s)^[^>]*>(.*)$", 1), "<[^>]*>", " ")).select(
+        "url", get(r"^<div [^>]*data-cmpid=\"([^\"]*)\"").alias("directory_id"), get(r"(?s)<h3[^>]*>\s*<a[^>]*>(.*?)</a>").alias("name"), get(r"(?s)<h3[^>]*>\s*<a[^>]*?href=\"([^\"]+)\"").alias("link"),
+        get(r"(?s)<div class=\"address\"[^>]*>(.*?)</div>").alias("address"), extract_phones("cell").alias("phones"),
+        get(r"data-ltd=\"([^\"]+)\"").try_cast("double").alias("lat"), get(r"data-lng=\"([^\"]+)\"").try_cast("double").alias("lng"),
+        get(r"(?s)<div class=\"rate\"[^>]*>(.*?)</div>").try_cast("double").alias("rating"), F.replace(get(r"(\d[\d,]*)\s+Review"), F.lit(","), F.lit("")).try_cast("int").alias("review_count"),
+    )
     real = F.col("lat").isNotNull() & F.col("lng").isNotNull() & ~((F.col("lat") == 0) & (F.col("lng") == 0))
-    return out.withColumns({"lat": F.when(real, F.col("lat")), "lng": F.when(real, F.col("lng"))})
+    return out.where("name IS NOT NULL").withColumns({"lat": F.when(real, F.col("lat")), "lng": F.when(real, F.col("lng"))})
+
+
+def listing_pages(pages: DataFrame) -> DataFrame:
+    """(url, next_url, total_found) of directory pages (url, html): where the category goes on, and how many listings it claims."""
+    link = F.coalesce(F.nullif(F.regexp_extract("html", r"(?i)<link[^>]*rel=\"next\"[^>]*href=\"([^\"]+)\"", 1), F.lit("")), F.nullif(F.regexp_extract("html", r"(?i)<link[^>]*href=\"([^\"]+)\"[^>]*rel=\"next\"", 1), F.lit("")))
+    root = F.regexp_extract("url", "^([a-z]+://[^/]+)", 1)
+    whole = F.when(link.rlike("^[a-z]+://"), link).when(link.startswith("/"), F.concat(root, link)).otherwise(F.concat(F.regexp_replace("url", "[^/]*$", ""), link))
+    total = F.replace(F.regexp_extract("html", r"(?i)We found\s*<strong>\s*([\d,]+)\s*</strong>\s*listings", 1), F.lit(","), F.lit("")).try_cast("int")
+    return pages.select("url", F.when(link.isNotNull(), whole).alias("next_url"), total.alias("total_found"))
+
+
+def walked(starts: DataFrame, links: DataFrame, most: int = 10) -> DataFrame:
+    """(slug, step, url) of the pages that a walk reads: from each of starts (slug, place, url) along links (url, next_url), at most `most` pages a
+    start, no page twice. Where walks meet, the page belongs to the start with the least place, and the later walk ends there."""
+    step = starts.select("slug", "place", F.lit(0).alias("step"), "url").join(links.select("url").distinct(), "url", "left_semi")
+    every = step
+    for n in range(1, most):  # a chain of pages is followed side by side
+        onward = step.join(links.where("next_url IS NOT NULL"), "url").select("slug", "place", F.lit(n).alias("step"), F.col("next_url").alias("url"))
+        step = onward.join(links.select("url").distinct(), "url", "left_semi")
+        every = every.unionByName(step)
+    first = Window.partitionBy("url").orderBy("place", "step")
+    owned = every.withColumn("_first", F.row_number().over(first)).withColumn("cut", F.min(F.when(F.col("_first") > 1, F.col("step"))).over(Window.partitionBy("slug", "place")))
+    return owned.where("cut IS NULL OR step < cut").select("slug", "step", "url")
+
+
+def distinct_listings(found: DataFrame) -> DataFrame:
+    """Each company once over all pages (place, pos): by its id, without one by its name; the first wins."""
+    key = F.coalesce(F.concat(F.lit("id "), "directory_id"), F.concat(F.lit("name "), normalise_name(F.col("name"))))
+    return found.withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy("place", "pos"))).where("_n = 1").drop("_n")
+
+
+#: The slugs of a directory that hold a category's businesses.
+SLUGS = {
+    "food": ("restaurants", "fast-food", "cafes", "catering"),
+    "salon": ("beauty-salons", "hairdressers", "beauty-professionals"),
+    "fashion": ("clothing-and-accessories", "fashion", "tailors-and-alterations"),
+    "car_services": ("auto-repair", "auto-services", "car-wash", "auto-parts-newused"),
+    "real_estate": ("estate-agents", "property-consultants"),
+    "ecommerce": ("mobile-phone-shops", "online-shopping", "general-shopping"),
+    "entertainment": ("leisure", "sports", "fitness", "pubs-and-clubs"),
+}
+
+
+def category_urls(wanted: DataFrame, base: str = "https://www.businesslist.pk") -> DataFrame:
+    """(city, category, slug, url): the pages to begin with for each (city, category)."""
+    slugs = F.element_at(F.create_map(*(x for k, v in SLUGS.items() for x in (F.lit(k), F.array(*map(F.lit, v))))), F.col("category"))
+    place = F.replace(F.lower(F.trim("city")), F.lit(" "), F.lit("-"))
+    return wanted.select("city", "category", F.explode(slugs).alias("slug")).withColumn("url", F.concat(F.lit(f"{base}/category/"), "slug", F.lit("/city:"), place))
+
+
+def url_slug(url: Column) -> Column:
+    found = F.regexp_extract(url, "/category/([^/]+)", 1)
+    return F.when(found != "", found).otherwise(url)
+
+
+def decoded(body: Column, content_type: Column) -> Column:
+    """Text of a body by the charset of its header, else by the one that its first bytes name, else as UTF-8; one that can't be is passed over."""
+    head = F.nullif(F.lower(F.regexp_extract(content_type, r"(?i)charset\s*=\s*([A-Za-z0-9_-]+)", 1)), F.lit(""))
+    meta = F.nullif(F.lower(F.regexp_extract(F.decode(F.substring(body, 1, 4096), "ISO-8859-1"), r"(?i)<meta[^>]+charset\s*=\s*[\"']?\s*([A-Za-z0-9_-]+)", 1)), F.lit(""))
 
+    def of(named: Column) -> Column:
+        latin = F.decode(body, "ISO-8859-1")
+        return F.when(named.isin("utf-8", "utf8"), F.when(F.is_valid_utf8(body.cast("string")), body.cast("string"))).when(named.isin("iso-8859-1", "latin-1", "latin1"), latin).when(named.isin("windows-1252", "cp1252"), F.translate(latin, *CP1252)).when(named.isin("us-ascii", "ascii"), F.when(~latin.rlike("[^\\x00-\\x7f]"), latin)).when(named == "utf-16", F.decode(body, "UTF-16"))
 
-def decoded(body: Column, charset: Column) -> Column:
-    """Text of a body by the charset of its header, else of its first bytes, else UTF-8."""
-    named = F.lower(F.coalesce(charset, F.nullif(F.regexp_extract(F.decode(F.substring(body, 1, 4096), "ISO-8859-1"), r"(?i)<meta[^>]+charset=[\"']?([\w-]+)", 1), F.lit(""))))
-    return F.when(named.isin("iso-8859-1", "latin-1", "windows-1252"), F.decode(body, "ISO-8859-1")).when(named == "utf-16", F.decode(body, "UTF-16")).otherwise(F.decode(body, "UTF-8"))
+    return F.coalesce(of(head), of(meta), F.make_valid_utf8(body.cast("string")))
 
 
 def fresh(archive: DataFrame, now: Column, ignore_ttl: bool = False) -> DataFrame:
@@ -89,5 +177,6 @@ def stored(fetches: DataFrame) -> DataFrame:
 
 
 def crawlable(fetches: DataFrame) -> DataFrame:
-    html = F.coalesce(F.lower("content_type").rlike("html"), F.lit(True))
+    kind = F.lower(F.trim(F.substring_index(F.coalesce("content_type", F.lit("")), ";", 1)))
+    html = (kind == "") | kind.rlike("^(text/html|application/xhtml|text/plain)")
     return fetches.where((F.col("status") == 200) & (F.length("body") > 0) & html & (F.length("body") <= 4 << 20))
