@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import LongType, StructField, StructType
 
-from tallyfold.operators.health import Breaker
+from tallyfold.operators.health import EMPTIES, Breaker
 
 OUTPUT = "source bigint, event_id bigint, ts timestamp, outcome string"
 STATE = "failed int, empty int, until double"
@@ -20,7 +20,7 @@ def breaker_stream(events: DataFrame) -> DataFrame:
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         failed, empty, until = state.get if state.exists else (0, 0, None)
-        own = Breaker(state=(failed, empty, until))
+        own = Breaker(empties=EMPTIES.get(key[0], 5), state=(failed, empty, until))
         group = pd.concat(list(frames)).sort_values(["ts", "event_id"])
         group = group.assign(outcome=[own.see(t.timestamp(), k) for t, k in zip(group.ts, group.kind, strict=True)])
         state.update(own.state)
