@@ -50,7 +50,7 @@ class Data:
 
     @property
     def view(self) -> DataFrame:
-        return results.visible_view(self.businesses, self.contacts, self.suppressed_numbers, self.suppressed_emails, self.domains, self.scores)
+        return results.visible_view(self.businesses, self.contacts, self.suppressed_numbers, self.suppressed_emails, self.domains)
 
     @property
     def listings(self) -> DataFrame:
@@ -139,19 +139,20 @@ shown AS (
 
 VIEW = f"""{SCORES},{_rank_sql("allranked", "owner_first")},{VISIBLE},
 ranked AS (SELECT * FROM allranked WHERE contact_id IN (SELECT contact_id FROM visible)),
-held AS (SELECT *, coalesce(value_e164, value_raw) AS number, {LABEL.format("wa_evidence")} AS label FROM ranked WHERE rank IS NOT NULL),
+held AS (SELECT *, row_number() OVER (PARTITION BY business_id ORDER BY rank) AS slot, coalesce(value_e164, value_raw) AS number, {LABEL.format("wa_evidence")} AS label FROM ranked WHERE rank IS NOT NULL),
 able AS (
   SELECT business_id, label, rank, CASE WHEN length(regexp_replace(coalesce(value_e164, value_raw), '[^0-9+]', '', 'g')) >= 10 THEN regexp_replace(coalesce(value_e164, value_raw), '[^0-9+]', '', 'g') END AS n,
     CASE WHEN label = 'confirmed' THEN 2 ELSE 1 END + CASE WHEN line_type = 'mobile' THEN 1 ELSE 0 END + CASE WHEN belongs_to = 'business' THEN 1 ELSE 0 END AS s
   FROM held WHERE label IN ('confirmed', 'likely')),
 pick AS (SELECT business_id, n AS wa_number, label AS wa_confidence FROM (SELECT *, row_number() OVER (PARTITION BY business_id ORDER BY s DESC, rank) AS o FROM able WHERE n IS NOT NULL) WHERE o = 1),
 per AS (
-  SELECT business_id, count(DISTINCT number) AS phone_count, arg_min(number, rank) AS phone_1, arg_min(person_name, rank) FILTER (person_name IS NOT NULL) AS contact_person, list(number ORDER BY rank) AS numbers, list(DISTINCT label) AS labels, list(DISTINCT line_type) AS line_types, max(scraped_at) AS scraped_at
+  SELECT business_id, count(DISTINCT number) AS phone_count, arg_min(number, rank) AS phone_1, arg_min(person_name, rank) FILTER (person_name IS NOT NULL) AS contact_person, list(number ORDER BY rank) AS numbers, list(DISTINCT label) AS labels, list(DISTINCT line_type) AS line_types
   FROM held GROUP BY 1),
+latest AS (SELECT business_id, max(scraped_at) AS scraped_at FROM visible GROUP BY 1),
 rowsof AS (
   SELECT l.*, name AS business_name, coalesce(phone_count, 0) AS phone_count, phone_1, contact_person, numbers, labels, line_types, scraped_at, wa_number, wa_confidence,
     strip_accents(lower(coalesce(subcategory, ''))) IN ({", ".join(f"'{x}'" for x in results.DINE_IN)}) AS dine, trim(coalesce(website, '')) <> '' AS site
-  FROM leads l JOIN (SELECT business_id FROM shown) USING (business_id) LEFT JOIN per USING (business_id) LEFT JOIN pick USING (business_id)),
+  FROM leads l JOIN (SELECT business_id FROM shown) USING (business_id) LEFT JOIN per USING (business_id) LEFT JOIN pick USING (business_id) LEFT JOIN latest USING (business_id)),
 batched AS (
   SELECT *, CASE WHEN category <> 'food' THEN 'unbatched' WHEN wa_number IS NULL THEN 'no-whatsapp' WHEN review_count IS NULL OR review_count < 200 THEN 'early-stage' WHEN rating < 4.0 THEN 'reputation'
     WHEN dine AND site THEN 'cafe-site' WHEN dine THEN 'cafe-nosite' WHEN site THEN 'delivery-site' ELSE 'delivery-nosite' END AS batch FROM rowsof),
@@ -285,7 +286,7 @@ def sendable_share(d: Data) -> DataFrame:
 
 # --- export and ledger --------------------------------------------------------------------------
 
-_SLOTS_SQL = ", ".join(f"max(CASE WHEN rank = {s} THEN {a} END) AS phone_{s}{x}" for s in range(1, 5) for x, a in export.ATTRIBUTES.items())
+_SLOTS_SQL = ", ".join(f"max(CASE WHEN slot = {s} THEN {a} END) AS phone_{s}{x}" for s in range(1, 5) for x, a in export.ATTRIBUTES.items())
 
 
 @query("phone_pivot", f"SELECT business_id, {_SLOTS_SQL} FROM held GROUP BY 1", ctes=VIEW)
@@ -298,15 +299,15 @@ _PIPES = "SELECT business_id, string_agg(v, '|' ORDER BY o) AS {0} FROM (SELECT
 
 @query("sources_pipe", _PIPES.format("sources", "source"), ctes=VISIBLE)
 def sources_pipe(d: Data) -> DataFrame:
-    return d.visible.groupBy("business_id").agg(export.pipe("source", "contact_id").alias("sources"))
+    return d.visible.groupBy("business_id").agg(export.pipe(["source"], "contact_id").alias("sources"))
 
 
 _EXPORTED = ", ".join(["c.business_id", *(x for x in export.COLUMNS if x not in ("sources", "evidence_urls", "email", "maps_url", "contact_role", "attribution", "facebook_url", "instagram_url", "phone_1")), "p.phone_1", "sources", "evidence_urls", "email", "CASE WHEN place_id IS NOT NULL THEN concat('https://www.google.com/maps/place/?q=place_id:', place_id) END AS maps_url", *(f"CAST(NULL AS VARCHAR) AS {x}" for x in ("contact_role", "attribution", "facebook_url", "instagram_url"))])
 
 
-@query("export_rows_41", f"SELECT {_EXPORTED} FROM collapsed c LEFT JOIN (SELECT business_id, {_SLOTS_SQL} FROM held GROUP BY 1) p USING (business_id) LEFT JOIN ({_PIPES.format('sources', 'source')}) USING (business_id) LEFT JOIN ({_PIPES.format('evidence_urls', 'source_url')}) USING (business_id) LEFT JOIN (SELECT business_id, arg_min(lower(trim(value_raw)), contact_id) AS email FROM visible WHERE kind = 'email' GROUP BY 1) USING (business_id)", ctes=VIEW)
+@query("export_rows_41", f"SELECT {_EXPORTED} FROM collapsed c LEFT JOIN (SELECT business_id, {_SLOTS_SQL} FROM held GROUP BY 1) p USING (business_id) LEFT JOIN ({_PIPES.format('sources', 'source')}) USING (business_id) LEFT JOIN ({_PIPES.format('evidence_urls', 'source_url')}) USING (business_id) LEFT JOIN (SELECT business_id, arg_min(value_raw, contact_id) AS email FROM visible WHERE kind = 'email' GROUP BY 1) USING (business_id)", ctes=VIEW)
 def export_rows_41(d: Data) -> DataFrame:
-    return export.export_rows(results.collapsed(d.view), d.phones(), d.visible)
+    return export.export_rows(results.collapsed(d.view))
 
 
 _PULLED = "SELECT n.business_id, lead_score, batch, coalesce(numbers, '') AS numbers FROM ({0}) n LEFT JOIN (SELECT business_id, string_agg(number, '|' ORDER BY rank) AS numbers FROM held WHERE label IN ('confirmed', 'likely') GROUP BY 1) USING (business_id)"
@@ -315,12 +316,12 @@ _NEW = "SELECT business_id, lead_score, batch FROM collapsed WHERE business_id N
 
 @query("extract_top30", _PULLED.format(_NEW + " ORDER BY lead_score DESC NULLS LAST, business_id LIMIT 30"), ctes=VIEW)
 def extract_top30(d: Data) -> DataFrame:
-    return ledger.extract(results.collapsed(d.view), d.phones(), d.ledger, 30)
+    return ledger.extract(results.collapsed(d.view), d.ledger, 30)
 
 
 @query("extract_all", _PULLED.format(_NEW), ctes=VIEW)
 def extract_all(d: Data) -> DataFrame:
-    return ledger.extract(results.collapsed(d.view), d.phones(), d.ledger, None)
+    return ledger.extract(results.collapsed(d.view), d.ledger, None)
 
 
 @query("ledger_append", "SELECT business_id FROM ledger UNION SELECT business_id FROM collapsed", ctes=VIEW)
@@ -338,10 +339,11 @@ def ledger_counts(d: Data) -> DataFrame:
     return ledger.counts(d.ledger, d.view)
 
 
-@query("bulk_suppress", f"SELECT DISTINCT 'number' AS kind, value_e164 AS key FROM contacts WHERE business_id % 50 = 3 AND kind = 'phone' AND value_e164 IS NOT NULL AND value_e164 NOT IN (SELECT value_e164 FROM suppressed_numbers) UNION SELECT 'domain', {DOMAIN.format('website')} FROM businesses WHERE business_id % 50 = 3 AND {DOMAIN.format('website')} IS NOT NULL", ctes=VISIBLE)
+@query("bulk_suppress", f"SELECT DISTINCT 'number' AS kind, value_e164 AS key FROM contacts WHERE business_id IN (SELECT business_id FROM batched WHERE batch = 'early-stage') AND kind = 'phone' AND value_e164 IS NOT NULL AND value_e164 NOT IN (SELECT value_e164 FROM suppressed_numbers) UNION SELECT 'domain', {DOMAIN.format('website')} FROM batched WHERE batch = 'early-stage' AND {DOMAIN.format('website')} IS NOT NULL", ctes=VIEW)
 def bulk_suppress(d: Data) -> DataFrame:
     known = d.suppressed_numbers.select(F.lit("number").alias("kind"), F.col("value_e164").alias("key"))
-    return ledger.bulk_suppress(d.businesses.where("business_id % 50 = 3"), d.contacts, known)
+    chosen = d.view.where("batch = 'early-stage'").select("business_id", "website")
+    return ledger.bulk_suppress(chosen, d.contacts, known)
 
 
 # --- duplicates and matches ---------------------------------------------------------------------
@@ -400,12 +402,21 @@ def dedupe_components(d: Data) -> DataFrame:
     return dedupe.components(places.join(least, "place_id").where("a < business_id").select("a", F.col("business_id").alias("b")))
 
 
-@query("dedupe_survivors", why="the order of gap filling is tested on a fixture")
+_GROUPED = f"""
+grouped AS (SELECT node, component FROM ({_PLACED}) WHERE c > 1),
+richest AS (
+  SELECT b.*, component, row_number() OVER (PARTITION BY component ORDER BY coalesce(n, 0) DESC, {" + ".join(f"CASE WHEN {c} IS NULL THEN 0 ELSE 1 END" for c in ("lat", "lng", "place_id", "website", "rating", "review_count", "area", "address"))} DESC, arrival, business_id DESC) AS place
+  FROM grouped JOIN businesses b ON business_id = node LEFT JOIN (SELECT business_id AS i, count(*) AS n FROM contacts GROUP BY 1) ON i = node)"""
+_KEPT = ", ".join(f"arg_min({c}, place) FILTER ({c} IS NOT NULL) AS {c}" for c in dedupe.GAPS if c not in ("facebook_url", "instagram_url"))
+
+
+@query("dedupe_survivors", f"SELECT component, arg_min(business_id, place) AS survivor, arg_min(name, place) AS name, {_KEPT}, string_agg(CAST(business_id AS VARCHAR), ',' ORDER BY place) FILTER (place > 1) AS merged_from FROM richest GROUP BY component", ctes=_GROUPED)
 def dedupe_survivors(d: Data) -> DataFrame:
-    return dedupe.survivors(d.businesses, d.contacts, dedupe_components(d))
+    kept = dedupe.survivors(d.businesses, d.contacts, dedupe_components(d))
+    return kept.withColumn("merged_from", F.array_join(F.transform("merged_from", lambda x: x.cast("string")), ","))
 
 
-@query("dedupe_moved_contacts", why="tested on a fixture: no contact is lost")
+@query("dedupe_moved_contacts", "SELECT contact_id, coalesce(survivor, business_id) AS business_id FROM contacts LEFT JOIN (SELECT node, survivor FROM grouped JOIN (SELECT component, arg_min(business_id, place) AS survivor FROM richest GROUP BY 1) USING (component)) ON node = business_id", ctes=_GROUPED)
 def dedupe_moved_contacts(d: Data) -> DataFrame:
     groups = dedupe_components(d)
     return dedupe.moved_contacts(d.contacts, groups, dedupe.survivors(d.businesses, d.contacts, groups)).select("contact_id", "business_id")
@@ -421,7 +432,7 @@ def directory_match_unlocated(d: Data) -> DataFrame:
 
 @query("directory_match_located", why="no token-set similarity in SQL")
 def directory_match_located(d: Data) -> DataFrame:
-    return dedupe.match_located(d.listings, d.businesses)
+    return dedupe.match_located(d.listings, d.businesses, d.contacts).where("business_id IS NOT NULL").select("listing_id", "business_id")
 
 
 @query("haversine", f"SELECT a.business_id, round({_NEAR}, 4) AS metres FROM businesses a JOIN businesses b ON b.business_id = a.business_id + 1 WHERE a.lat IS NOT NULL AND b.lat IS NOT NULL")
@@ -434,9 +445,16 @@ def haversine_query(d: Data) -> DataFrame:
 # --- text, addresses, pages, numbers ------------------------------------------------------------
 
 
-@query("name_norm", r"SELECT c_custkey, regexp_replace(trim(regexp_replace(regexp_replace(lower(strip_accents(c_name)), '[^\w\s]', ' ', 'g'), '\s+', ' ', 'g')), '( (pvt ltd|private limited|pvt limited|ltd|limited|llc|inc|co|company|and sons|and co))+$', '') AS name_norm FROM customer")
+_NAMES = ("Škoda Žižkov Straße (Pvt.) Ltd", "Café  Déjà-Vu & Sons and Co", "ＦＵＬＬ Width_™ 42 inc", "İstanbul ﬁne Œuvre", "Co", "A.B.C. Company, LLC")
+_NAMED = f"list_extract([{', '.join(repr(n) for n in _NAMES)}], c_custkey % {len(_NAMES)} + 1) || ' ' || c_name || CASE WHEN c_custkey % 2 = 0 THEN ' Ltd. CO' ELSE '' END"
+#: What the accents, compatibility forms and cases of these names come to, spelled out, since DuckDB only strips accents.
+_PLAIN = "lower(strip_accents(" + "replace(" * 11 + "{0}" + "".join(f", '{x}', '{y}')" for x, y in (("ß", "ss"), ("Ｆ", "F"), ("Ｕ", "U"), ("Ｌ", "L"), ("™", "TM"), ("ﬁ", "fi"), ("İ", "I"), ("Œ", "œ"), ("Ž", "Z"), ("ž", "z"), ("Š", "S"))) + "))"
+
+
+@query("name_norm", r"SELECT c_custkey, regexp_replace(trim(regexp_replace(" + _PLAIN.format(_NAMED) + r", '[^\p{L}\p{N}_]+', ' ', 'g')), '( (pvt ltd|private limited|pvt limited|ltd|limited|llc|inc|co|company|and sons|and co))+$', '') AS name_norm FROM customer")
 def name_norm(d: Data) -> DataFrame:
-    return d.customer.select("c_custkey", tx.normalise_name(F.col("c_name")).alias("name_norm"))
+    name = F.concat_ws(" ", F.get(F.array(*map(F.lit, _NAMES)), (F.col("c_custkey") % len(_NAMES)).cast("int")), "c_name", F.when(F.col("c_custkey") % 2 == 0, "Ltd. CO"))
+    return d.customer.select("c_custkey", tx.normalise_name(name).alias("name_norm"))
 
 
 @query("registrable_domain", f"SELECT page_id, {DOMAIN.format('url')} AS domain FROM pages")
@@ -449,22 +467,32 @@ def site_url_split(d: Data) -> DataFrame:
     return d.pages.select("page_id", tx.site_kind(F.col("url")).alias("kind"))
 
 
-_URL = r"""
-url_parts AS (SELECT page_id, lower(regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*)://', 1)) AS scheme, regexp_replace(regexp_replace(url, '^[A-Za-z][A-Za-z0-9+.-]*://', ''), '#.*$', '') AS rest FROM pages),
+_SPELLED = "CASE page_id % 6 WHEN 0 THEN concat('HTTP://WWW.', {0}, ':80/') WHEN 1 THEN concat('https://', {0}, ':443?UTM_Source=x&b=2&a=1%202&a=1') WHEN 2 THEN concat('http://', {0}, ':443/p//?q=%C3%A9+*~&gclid=7&z#frag?x=1') WHEN 3 THEN concat('https://', {0}, '/A/B/?k==&&_ga=1') ELSE url END"
+_URL = rf"""
+url_given AS (SELECT page_id, regexp_replace({_SPELLED.format(DOMAIN.format("url"))}, '#.*$', '') AS u FROM pages),
+url_parts AS (SELECT page_id, lower(regexp_extract(u, '^([A-Za-z][A-Za-z0-9+.-]*):', 1)) AS scheme, regexp_replace(lower(regexp_extract(u, '^[a-zA-Z]+://([^/?]*)', 1)), '^www\.', '') AS host, regexp_replace(regexp_extract(u, '^[a-zA-Z]+://[^/?]*([^?]*)', 1), '/+$', '') AS path, list_filter(string_split(regexp_extract(u, '\?(.*)$', 1), '&'), lambda p: p <> '') AS params FROM url_given),
+url_pairs AS (SELECT *, list_sort(list_filter(list_transform(params, lambda p: [url_decode(replace(split_part(p, '=', 1), '+', ' ')), url_decode(replace(regexp_extract(p, '^[^=]*=(.*)$', 1), '+', ' '))]), lambda x: NOT regexp_matches(lower(x[1]), '^(utm_|fbclid|gclid|mc_|_ga)'))) AS kept FROM url_parts),
 urls AS (
-  SELECT page_id, concat(scheme, '://', regexp_replace(regexp_replace(lower(split_part(split_part(rest, '?', 1), '/', 1)), '^www\.', ''), ':(80|443)$', ''), regexp_replace(regexp_extract(split_part(rest, '?', 1), '^[^/]*(.*)$', 1), '/+$', ''),
-    CASE WHEN len(kept) > 0 THEN concat('?', array_to_string(list_sort(kept), '&')) ELSE '' END) AS url_norm
-  FROM (SELECT *, list_filter(string_split(regexp_extract(rest, '\?(.*)$', 1), '&'), lambda p: p <> '' AND NOT regexp_matches(p, '^(utm_|fbclid|gclid|mc_|_ga)')) AS kept FROM url_parts))"""
+  SELECT page_id, concat(scheme, '://', CASE scheme WHEN 'https' THEN regexp_replace(host, ':443$', '') WHEN 'http' THEN regexp_replace(host, ':80$', '') ELSE host END, CASE WHEN path = '' THEN '/' ELSE path END,
+    CASE WHEN len(kept) > 0 THEN concat('?', array_to_string(list_transform(kept, lambda x: concat(replace(url_encode(x[1]), '%20', '+'), '=', replace(url_encode(x[2]), '%20', '+'))), '&')) ELSE '' END) AS url_norm FROM url_pairs)"""
+
+
+def spelled(d: Data) -> DataFrame:
+    """Page addresses, four of six spelled anew: ports, cases, parameters that track, escapes and fragments."""
+    host, k = tx.registrable_domain(F.col("url")), F.col("page_id") % 6
+    say = lambda front, back: F.concat(F.lit(front), host, F.lit(back))
+    url = F.when(k == 0, say("HTTP://WWW.", ":80/")).when(k == 1, say("https://", ":443?UTM_Source=x&b=2&a=1%202&a=1")).when(k == 2, say("http://", ":443/p//?q=%C3%A9+*~&gclid=7&z#frag?x=1")).when(k == 3, say("https://", "/A/B/?k==&&_ga=1")).otherwise(F.col("url"))
+    return d.pages.select("page_id", url.alias("url"))
 
 
 @query("url_normalise", "SELECT page_id, url_norm FROM urls", ctes=_URL)
 def url_normalise(d: Data) -> DataFrame:
-    return d.pages.select("page_id", tx.normalise_url(F.col("url")).alias("url_norm"))
+    return spelled(d).select("page_id", tx.normalise_url(F.col("url")).alias("url_norm"))
 
 
 @query("url_hash", "SELECT page_id, sha256(url_norm) AS url_hash FROM urls", ctes=_URL)
 def url_hash(d: Data) -> DataFrame:
-    return d.pages.select("page_id", tx.url_hash(F.col("url")).alias("url_hash"))
+    return spelled(d).select("page_id", tx.url_hash(F.col("url")).alias("url_hash"))
 
 
 @query("distinct_on_url", "SELECT url_norm, min(page_id) AS page_id FROM urls GROUP BY 1", ctes=_URL)
@@ -617,3 +645,6 @@ def runtime_estimate(d: Data) -> DataFrame:
 @query("confirmation_rates", f"SELECT city, category, arg_min(round(CAST(confirmed AS DOUBLE) / crawled, 3), run_id) AS rate FROM ({_RUNS}) WHERE crawled > 0 GROUP BY 1, 2")
 def confirmation_rates(d: Data) -> DataFrame:
     return health.confirmation_rates(d.runs)
+
+
+from tallyfold.plans import enrichment, landing, service  # noqa: E402, F401 (registers its queries)

@@ -9,12 +9,12 @@ from pyspark.sql import functions as F
 from tallyfold.functions import phones, web
 from tallyfold.functions.fuzzy import token_set_ratio
 from tallyfold.functions.text import normalise_name, normalise_url
-from tallyfold.operators import dedupe, export, health
+from tallyfold.operators import dedupe, health
 from tallyfold.plans import registry
 from tallyfold.sources import payload
 
 DIR = "/root/testdata/sf0.001"
-SOME = ["lead_score", "score_order_stats", "rank_owner_first", "rank_whatsapp_only", "results_default", "results_page", "batch_counts", "export_rows_41", "extract_top30", "dedupe_candidates", "url_normalise", "breaker_streaks", "ingest_fold"]
+SOME = ["lead_score", "score_order_stats", "rank_owner_first", "rank_whatsapp_only", "results_default", "results_page", "batch_counts", "export_rows_41", "extract_top30", "dedupe_candidates", "url_normalise", "name_norm", "breaker_streaks", "ingest_fold", "payload_records", "directory_listings", "directory_walk", "decoded_bodies", "phones_in_notes", "social_links", "site_findings", "site_merge", "social_merge", "mail_merge", "directory_merge", "backfill", "pull_metrics", "clipboard", "ledger_list", "facet_values", "results_page_json", "dedupe_chains", "dedupe_survivors", "degradation", "run_states"]
 
 
 @pytest.fixture(scope="session")
@@ -65,7 +65,7 @@ def test_page():
     html = '<html><body><script>var x="0300-1111111"</script><a href="https://wa.me/923001234567">chat</a><a href="tel:042-35772057">call</a><div class="whatsapp-chat" data-phone="03217654321"></div><a href="mailto:Info@Salon.pk?x=1">m</a><a href="/contact-us">Contact</a><a href="https://facebook.com/salon">f</a><p>WhatsApp 0333-1234567</p><script type="application/ld+json">{"@type":"LocalBusiness","name":"A","telephone":"0312-1234567","founder":{"name":"Sana"}}</script></body></html>'
     p = web.read_page("https://www.salon.pk/", html)
     assert p["chat"] == ["+923001234567"] and p["tel"] == ["+924235772057"] and p["widget"] == ["+923217654321"]
-    assert p["emails"] == ["info@salon.pk"] and p["targets"] == ["/contact-us"] and p["people"] == ["Sana"] and p["facebook"] == "https://facebook.com/salon"
+    assert p["emails"] == ["info@salon.pk"] and p["targets"] == ["https://www.salon.pk/contact-us"] and p["people"] == ["Sana"] and p["facebook"] == "https://facebook.com/salon"
     assert {n["e164"]: n["signal"] for n in p["numbers"]}["+923331234567"] == "text_proximity" and "0300-1111111" not in p["text"]
 
 
@@ -82,6 +82,8 @@ def test_payload(spark):
 def test_names_and_addresses(spark):
     rows = spark.createDataFrame([("Café  Déjà-Vu (Pvt) Ltd", "HTTP://WWW.Example.com:80/A/?b=2&utm_source=x&a=1#top")], "n string, u string")
     assert tuple(rows.select(normalise_name(F.col("n")), normalise_url(F.col("u"))).first()) == ("cafe deja vu", "http://example.com/A?a=1&b=2")
+    names = spark.createDataFrame([("Škoda Žižkov Straße",), ("ﬁne Ⅷ ½ Co.",)], "n string").select(normalise_name(F.col("n")).alias("n")).collect()
+    assert [r.n for r in names] == ["skoda zizkov strasse", "fine viii 1 2"]
 
 
 def test_breaker():
@@ -89,9 +91,6 @@ def test_breaker():
     assert [b.see(t, k) for t, k in ((0, "failure"), (1, "failure"), (2, "failure"), (3, "success"), (2000, "success"))] == ["throttled", "throttled", "tripped", "skipped", "ok"]
 
 
-def test_components_and_csv(spark):
+def test_components(spark):
     groups = dedupe.components(spark.createDataFrame([(1, 2), (2, 3), (5, 9)], "a long, b long"))
     assert {(r.node, r.component) for r in groups.collect()} == {(1, 1), (2, 1), (3, 1), (5, 5), (9, 5)}
-    rows = spark.createDataFrame([("Ä, b", "+923001234567", None)], "business_name string, phone_1 string, area string")
-    assert "".join(export.iter_csv(rows, ["business_name", "phone_1", "area"])) == '﻿business_name,phone_1,area\r\n"Ä, b","=""+923001234567""",\r\n'
-    assert len(export.COLUMNS) == 41

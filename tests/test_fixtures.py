@@ -1,8 +1,15 @@
 """Operators without SQL on small fixtures: survivors of a merge, contacts that move, and the two stream functions."""
 
+import csv
 import datetime as dt
+import glob
+import io
 
-from tallyfold.operators import dedupe, health
+import pytest
+from pyspark.sql import functions as F
+
+from tallyfold.functions import social, web
+from tallyfold.operators import dedupe, export, health, ledger, requests, sites
 from tallyfold.streaming import breaker
 
 BUSINESS = "business_id long, run_id int, name string, arrival int, address string, area string, city string, category string, subcategory string, lat double, lng double, place_id string, website string, rating double, review_count int"
@@ -80,5 +87,78 @@ def test_verdicts_and_match_by_place(spark):
     pairs = spark.createDataFrame([(1, 1, 2, "fuzzy_name_geo"), (1, 1, 3, "exact_phone"), (1, 1, 4, "domain"), (1, 4, 5, "place_id")], "run_id int, a long, b long, tier string")
     got = {(r.a, r.b): r.verdict for r in dedupe.verdicts(pairs, places).collect()}
     assert got == {(1, 2): "merge", (1, 3): "rejected_name", (1, 4): "rejected_distance", (4, 5): "merge"}
-    listings = spark.createDataFrame([(10, "Paragon Salon", 33.7001, 73.0), (11, "Burger Hut", 33.9, 73.0), (12, "Tailor", 33.7, 73.0), (13, "Paragon Salon", None, None)], "listing_id long, name string, lat double, lng double")
-    assert [(r.listing_id, r.business_id) for r in dedupe.match_located(listings, places).collect()] == [(10, 1)]
+    listed = [
+        (10, "Paragon Salon", 33.7001, 73.0, None), (11, "Burger Hut", 33.9, 73.0, None), (12, "Tailor", 33.7, 73.0, None), (13, "Paragon Salon", None, None, "+921"),
+        (14, "Burger Hut Express DHA", 33.7, 73.0, None), (15, "Burger House", 33.7, 73.0, "+922"), (16, "Paragon Men Salon", 33.8, 73.0, None), (17, "x", None, None, "+923"), (18, "x", None, None, "+924"),
+    ]
+    listings = spark.createDataFrame(listed, "listing_id long, name string, lat double, lng double, phone string")
+    contacts = spark.createDataFrame([(1, "phone", "+921"), (3, "phone", "+922"), (1, "phone", "+923"), (3, "phone", "+923")], "business_id long, kind string, value_e164 string")
+    got = {r.listing_id: (r.business_id, r.tier, r.refusal) for r in dedupe.match_listings(listings, places.replace({"Paragon Salon": "Paragon Women Salon"}, subset="name").where("business_id = 4").unionByName(places.where("business_id <> 4")), contacts).collect()}
+    assert got[10] == (1, "fuzzy_name_geo", None) and got[11] == (None, None, "rejected_distance") and got[12] == (None, None, "rejected_name")
+    assert got[13] == (1, "phone_unlocated", None) and got[17] == (None, None, "ambiguous") and got[18] == (None, None, "no_candidate")
+    assert got[14][0] == 3 and got[15] == (3, "corroborated_geo", None) and got[16] == (None, None, "rejected_segment")
+
+
+def test_requests():
+    q = requests.parse({"batch": "B01, unbatched,delivery-nosite", "sort": "nope", "order": "asc", "min_score": "7", "run": ["1", "2"], "has_website": "false", "limit": "10"})
+    assert q.batches == ("delivery-nosite", "unbatched") and q.sort == "lead_score" and not q.descending and q.min_score == 7 and q.runs == (1, 2) and q.has_website is False and q.limit == 10
+    assert requests.parse({}) == requests.ResultQuery(collapse=False)
+    for bad in ({"batch": "b99"}, {"min_score": "101"}, {"limit": "0"}):
+        with pytest.raises(ValueError):
+            requests.parse(bad)
+    assert requests.batch_of(" b06 ") == "reputation" and requests.batch_of("x") is None
+
+
+def test_export_in_parts(spark, tmp_path):
+    columns = {c: None for c in export.COLUMNS}
+    rows = [columns | {"business_name": 'A "b", c', "phone_1": "+92300", "rating": 4.5, "scraped_at": dt.datetime(2024, 3, 1, 12, 0), "review_count": 0}, columns | {"business_name": "Straße\nx"}]
+    kinds = {"rating": "double", "review_count": "int", "scraped_at": "timestamp"}
+    df = spark.createDataFrame([tuple(r.values()) for r in rows], ", ".join(f"{c} {kinds.get(c, 'string')}" for c in export.COLUMNS))
+    path = str(tmp_path / "csv")
+    export.write_csv(df.coalesce(1), path)
+    (part,) = glob.glob(f"{path}/part-*")
+    text = open(part, encoding="utf-8", newline="").read()
+    assert text.startswith("\ufeffbusiness_name,category,") and text.count("\r\n") == 3 and text == "".join(export.csv_text(df.coalesce(1)))
+    got = list(csv.DictReader(io.StringIO(text.removeprefix("\ufeff"))))
+    assert got[0]["business_name"] == 'A "b", c' and got[0]["phone_1"] == '="+92300"' and got[0]["rating"] == "4.5" and got[0]["scraped_at"].startswith("2024-03-01T12:00:00") and got[0]["review_count"] == "0" and got[0]["area"] == ""
+    assert got[1]["business_name"] == "Straße\nx" and export.file_name("Lahore City", None, "20240301", 2) == "lahore_city_all_20240301_2leads.csv"
+    assert export.COLUMNS[9] == "phone_count" and export.COLUMNS[10] == "phone_1" and export.COLUMNS[30] == "email" and export.COLUMNS[-1] == "scraped_at" and len(export.COLUMNS) == 41
+
+
+def test_suppression_list(spark):
+    known = spark.createDataFrame([("+921", None, None, "")], "value_e164 string, email string, domain string, reason string")
+    more = ledger.suppression_added(known, email=" A@B.pk ", reason="asked")
+    assert sorted((r.value_e164, r.email) for r in more.collect() if r.email) == [(None, "a@b.pk")] and ledger.suppression_added(more, value_e164="+921").count() == 2
+    assert ledger.suppression_removed(more, email="a@b.pk").count() == 1
+    with pytest.raises(ValueError):
+        ledger.suppression_added(known)
+
+
+def test_breaker_status():
+    b = health.Breaker(empties=25)
+    for t in range(24):
+        assert b.see(t, "empty") == "ok"
+    assert b.see(25, "empty") == "tripped" and b.status(30) == "circuit_open" and b.status(99_999) == "ok" and b.status(99_999, 5, 5) == "blocked"
+
+
+def test_social_profile(spark):
+    html = '<meta property="og:title" content="Salon X"><meta name="description" content="WhatsApp 0300-1234567 or 042-35772057"><a href="https:\\/\\/api.whatsapp.com\\/send?phone=923217654321">x</a> https:\\/\\/l.facebook.com\\/l.php?u=https\\u00253A\\u00252F\\u00252Fwww.salonx.pk\\u00252F&amp;h=2 \\ud83d\\ude00'.replace("\\\\", "\\")
+    df = spark.createDataFrame([("https://facebook.com/x", html, "facebook"), ("https://facebook.com/y", "<p>shell</p>", "facebook")], "url string, html string, platform string")
+    read = df.select("url", "platform", *(c.alias(n) for n, c in social.read_profile(F.col("url"), F.col("html"), F.col("platform")).items()))
+    x, y = sorted(read.collect(), key=lambda r: r.url)
+    assert x.rendered and x.buttons == ["+923217654321"] and x.bio_link == "https://www.salonx.pk/" and not y.rendered and y.bio_link is None
+    assert df.select(social.unescaped(F.col("html")).alias("u")).first().u.endswith("😀")
+    found = [(r.e164, r.wa_evidence, r.confidence, r.line_type) for r in sites.profile_findings(read).orderBy("place").collect()]
+    assert found == [("+923217654321", 0.9, 0.9, "mobile"), ("+923001234567", 0.75, 0.6, "mobile"), ("+924235772057", 0.75, 0.6, "landline")]
+    assert sites.bio_routes(read).collect()[0].website == "https://www.salonx.pk/"
+
+
+def test_site_of_parsed_pages(spark):
+    home = '<body><a href="tel:0300-1234567">c</a> 042-35772057 <a href="/x">Contact us</a><a href="/y">x</a><a href="/team">t</a><div class="ht-ctc"><p><b data-telephone="0321-7654321"></b></p></div></body>'
+    contact = '<a href="https://wa.me/923001234567">w</a> mail a@salon.pk <script type="application/ld+json">{"@graph":[{"@type":"HairSalon","telephone":["042-35772057"],"founder":{"name":" Sana "}}]}</script>'
+    rows = [("https://salon.pk/", 0, "https://salon.pk/", home), ("https://salon.pk/", 1, "https://salon.pk/x", contact)]
+    pages = spark.createDataFrame(rows, "site string, page int, url string, html string").select("site", "page", "url", web.parse_page("url", "html").alias("p"))
+    got = {r.e164: r for r in sites.site_findings(*sites.site_pages(pages)).collect()}
+    a, b, c = got["+923001234567"], got["+924235772057"], got["+923217654321"]
+    assert (a.confidence, a.wa_evidence, a.evidence_url, a.source_url) == (0.95, 1.0, "https://salon.pk/x", "https://salon.pk/") and (b.confidence, b.wa_evidence, b.person_name, b.evidence_url) == (0.9, 0.0, "Sana", "https://salon.pk/")
+    assert (c.confidence, c.wa_evidence) == (0.95, 0.95) and pages.where("page = 0").select("p.targets").first().targets == ["https://salon.pk/x", "https://salon.pk/team"]
