@@ -5,9 +5,12 @@ into n2 parts; a signature is the sum of the scrambled features that lie in one
 Two sets that differ in at most k features differ in at most k2 of them in some partition, so at most k2 of its parts
 differ and some choice of the others agrees: similar sets share a signature for certain.
 
-Many texts of one group would make a pair of each two. So of the documents that share a signature each is first tied to the
-least one, one pair a document, and these pairs are verified. Only signatures under which documents of different groups
-then still meet give further pairs, between groups. So components are found without a look at the pairs inside a group.
+Equal sets are one set, known by a 64-bit name; one of the documents that have it is signed and compared.
+
+Many sets of one group would make a pair of each two. So of the sets that share a signature each is first tied to that of
+the least document, one pair a set, and these pairs are verified. Where sets of different groups still meet under a signature,
+each is then tied to one of the least group. Only signatures under which groups meet even so give all pairs between groups.
+So components are found without a look at the pairs inside a group.
 
 The links themselves all lie inside components. They are counted there, over all pairs of different sets of a component, in
 blocks of sets; equal sets count by how many rows have them. Of a component of two sets the one link is known.
@@ -28,12 +31,13 @@ from pyspark.sql import types as T
 
 from tallyfold.llm.components import components
 from tallyfold.llm.scratch import drop, partitions, release, settle
-from tallyfold.llm.textbytes import U, Words, mix, pieces, seeded, shingles
+from tallyfold.llm.textbytes import U, Words, lean, mix, pieces, shingles
 
 SKETCH = 8  # words of 64 bits
 PAIRS = 256  # pairs of one document that a task verifies
-PART = 256, 1 << 19  # sets and features of a block whose links a task counts
-BLOCK = 1024  # documents of one signature that a task compares with the others
+PART = 512, 1 << 20  # sets and features of a block whose links a task counts
+BLOCK = 1024  # sets of one signature that a task compares with the others
+BITS = 1 << 27  # of the largest bitmap that goes to all tasks: 16 MB
 
 
 @lru_cache(maxsize=None)
@@ -105,7 +109,8 @@ def signatures(features: np.ndarray, percent: int) -> np.ndarray:
     return np.concatenate(out) if out else np.zeros(0, U)
 
 
-SUMMARY = "doc_id bigint, n int, h1 bigint, h2 bigint, " + ", ".join(f"s{i} bigint" for i in range(SKETCH)) + ", parity binary"
+SUMMARY = "doc_id bigint, n int, name bigint, " + ", ".join(f"s{i} bigint" for i in range(SKETCH)) + ", parity binary"
+TRAITS = ["n", *(f"s{i}" for i in range(SKETCH)), "parity"]
 
 
 def _parity(features: np.ndarray) -> bytes:
@@ -119,65 +124,81 @@ def _joined(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([*sets, np.zeros(0, U)]), np.repeat(np.arange(len(sets)), [len(x) for x in sets])
 
 
+def _names(sets: list[np.ndarray]) -> pa.Array:
+    every, row = _joined(sets)
+    out = np.zeros(len(sets), U)
+    with np.errstate(over="ignore"):
+        np.add.at(out, row, mix(every + U(7)))
+    return pa.array(mix(out + np.array([len(x) for x in sets], U)).view(np.int64))
+
+
 def _summary(k: int):
-    """Per document the size of its set, two sums that name the set, and the parity of its features over 512 bits and over more."""
+    """Per document the size and name of its set, and the parity of its features over 512 bits and over more."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in pieces(whole, "text", 1 << 19):
                 sets = shingles(Words(batch.column("text")), k)
                 every, row = _joined(sets)
-                names, sketch = [np.zeros(len(sets), U) for _ in range(2)], np.zeros((len(sets), SKETCH * 64), np.uint8)
-                with np.errstate(over="ignore"):
-                    for i, out in enumerate(names):
-                        np.add.at(out, row, mix(every + U(i + 7)))
                 bit = (mix(every ^ U(0xA5A5A5A5)) % U(SKETCH * 64)).astype(np.int64)
-                np.add.at(sketch.reshape(-1), row * (SKETCH * 64) + bit, np.uint8(1))
+                sketch = np.bincount(row * (SKETCH * 64) + bit, minlength=len(sets) * SKETCH * 64).astype(np.uint8).reshape(len(sets), -1)
                 packed = np.packbits(sketch & 1, axis=1).view(np.int64)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id"), pa.array(np.bincount(row, minlength=len(sets)).astype(np.int32)), *(pa.array(x.view(np.int64)) for x in names), *(pa.array(packed[:, i].copy()) for i in range(SKETCH)), pa.array([_parity(x) for x in sets], pa.binary())],
-                    names=["doc_id", "n", "h1", "h2", *(f"s{i}" for i in range(SKETCH)), "parity"],
-                )
+                sizes = pa.array(np.array([len(x) for x in sets], np.int32))
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), sizes, _names(sets), *(pa.array(packed[:, i].copy()) for i in range(SKETCH)), pa.array([_parity(x) for x in sets], pa.binary())], names=["doc_id", "n", "name", *TRAITS[1:]])
+
+    return lean(run)
+
 
-    return run
+def _held(batch: pa.RecordBatch, wanted: bytes) -> pa.RecordBatch:
+    """The rows whose doc_id is in a bitmap of ids modulo its size; it only saves work."""
+    bits = np.frombuffer(wanted, np.uint8)
+    ids = batch.column("doc_id").to_numpy(zero_copy_only=False) & (8 * len(bits) - 1)
+    return batch.filter(pa.array((bits[ids >> 3] >> (ids & 7).astype(np.uint8) & 1).astype(bool)))
 
 
-def _signed(k: int, percent: int):
+def _signed(k: int, percent: int, wanted: bytes):
+    """(sig, name) of the sets of the documents in the bitmap. A signature keeps 48 bits: chance meetings stay rare, and it takes less room."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in pieces(whole, "text", 1 << 19):
-                every, row = _joined([signatures(x, percent) for x in shingles(Words(batch.column("text")), k)])
+            for batch in pieces(_held(whole, wanted), "text", 1 << 19):
+                sets = shingles(Words(batch.column("text")), k)
+                every, row = _joined([signatures(x, percent) for x in sets])
                 if len(row):
-                    yield pa.RecordBatch.from_arrays([pa.array(every.view(np.int64)), batch.column("doc_id").take(pa.array(row))], names=["sig", "doc_id"])
+                    yield pa.RecordBatch.from_arrays([pa.array((every >> U(16)).view(np.int64)), _names(sets).take(pa.array(row))], names=["sig", "name"])
 
-    return run
+    return lean(run)
 
 
 def _sets(k: int, wanted: bytes):
-    """The sets, as sorted 64-bit hashes, of documents whose id is in a bitmap of ids modulo its size; it only saves work."""
+    """(doc_id, name, features): the sets, as sorted 64-bit hashes, of the documents in the bitmap."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.unpackbits(np.frombuffer(wanted, np.uint8), bitorder="little")
         for whole in batches:
-            ids = whole.column("doc_id").fill_null(-1).to_numpy(zero_copy_only=False)
-            whole = whole.filter(pa.array(bits[ids % len(bits)].astype(bool)))
-            for batch in pieces(whole, "text", 1 << 19):
+            for batch in pieces(_held(whole, wanted), "text", 1 << 19):
                 found = shingles(Words(batch.column("text")), k)
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([x.tobytes() for x in found], pa.binary())], names=["doc_id", "features"])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), _names(found), pa.array([x.tobytes() for x in found], pa.binary())], names=["doc_id", "name", "features"])
 
-    return run
+    return lean(run)
 
 
 def _bitmap(ids: DataFrame) -> bytes:
-    """2^23 bits: 1 MB at any size of the input."""
-    place = F.pmod("doc_id", F.lit(1 << 23))
+    """A bitmap of doc_id, 16 bits a row up to BITS; whatever its size, it holds all ids."""
+    bits = min(BITS, max(1 << 16, 1 << (16 * ids.count()).bit_length()))
+    place = F.pmod("doc_id", F.lit(bits))
     maps = ids.groupBy(F.bitmap_bucket_number(place + 1).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place + 1)).alias("bits")).collect()
-    out = bytearray(1 << 20)
+    out = bytearray(bits // 8)
     for r in maps:
         out[(r.bucket - 1) * 4096 : r.bucket * 4096] = r.bits
     return bytes(out)
 
 
+def _fetched(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
+    """The columns of `wanted` (name, rep and others) and the features of each set: those of a document `rep` that has it. Repeated rows bring a set again."""
+    found = docs.mapInArrow(_sets(k, _bitmap(wanted.select(F.col("rep").alias("doc_id")))), "doc_id bigint, name bigint, features binary")
+    return found.join(wanted.withColumnRenamed("rep", "doc_id"), ["doc_id", "name"]).drop("doc_id")
+
+
 def _similar(percent: int):
     @F.arrow_udf("boolean")
     def similar(a: pa.Array, b: pa.Array) -> pa.Array:
@@ -208,29 +229,29 @@ def _distinct(pairs: DataFrame) -> DataFrame:
     return pairs.select("a", "b").repartition(partitions(pairs.sparkSession), "a", "b").distinct()
 
 
-def _likely(pairs: DataFrame, parities: DataFrame, percent: int) -> DataFrame:
+def _likely(pairs: DataFrame, traits: DataFrame, percent: int) -> DataFrame:
     """Without pairs whose parities show that they differ in too many features. Each feature that only one set has flips one bit at most."""
-    side = lambda c: parities.select(F.col("doc_id").alias(c), F.col("parity").alias(f"p{c}"), F.col("n").cast("bigint").alias(f"n{c}"))
+    side = lambda c: traits.select(F.col("name").alias(c), F.col("parity").alias(f"p{c}"), F.col("n").cast("bigint").alias(f"n{c}"))
     found = pairs.join(side("b"), "b").join(side("a"), "a")
     return _distinct(found.where(_flips("pa", "pb") * (100 + percent) <= (F.col("na") + F.col("nb")) * (100 - percent)))
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets are similar. A document that stands in many pairs as `a` is dealt over several keys."""
+def _verified(pairs: DataFrame, docs: DataFrame, same: DataFrame, k: int, percent: int) -> DataFrame:
+    """The pairs (a, b) of names whose sets are similar. A set that stands in many pairs as `a` is dealt over several keys."""
     spark = docs.sparkSession
     pairs = settle(pairs)
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id"))
-    # Dealt by doc_id once and kept so: no later join moves the sets that it looks up.
-    sets = docs.mapInArrow(_sets(k, _bitmap(ids)), "doc_id bigint, features binary").repartition(partitions(spark), "doc_id")
-    sets = sets.join(ids.distinct(), "doc_id", "left_semi").persist(StorageLevel.DISK_ONLY)
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("name")).distinct()
+    wanted = settle(same.select("name", "rep").join(ids, "name"))
+    # Dealt by name once and kept so: no later join moves the sets that it looks up.
+    sets = _fetched(docs, wanted, k).repartition(partitions(spark), "name").dropDuplicates(["name"]).persist(StorageLevel.DISK_ONLY)
     heads = pairs.groupBy("a").agg(F.ceil(F.count("*") / PAIRS).cast("int").alias("salts"))
     left = pairs.join(heads, "a").withColumn("salt", F.pmod(F.xxhash64("b"), F.col("salts")).cast("int")).drop("salts")
-    left = left.join(sets.select(F.col("doc_id").alias("b"), F.col("features").alias("fb")), "b")
-    right = heads.join(sets.select(F.col("doc_id").alias("a"), F.col("features").alias("fa")), "a")
+    left = left.join(sets.select(F.col("name").alias("b"), F.col("features").alias("fb")), "b")
+    right = heads.join(sets.select(F.col("name").alias("a"), F.col("features").alias("fa")), "a")
     right = right.select("a", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), "fa")
-    out = settle(left.join(right, ["a", "salt"]).where(_similar(percent)("fa", "fb")).select("a", "b").distinct())
+    out = settle(left.join(right, ["a", "salt"]).where(_similar(percent)("fa", "fb")).select("a", "b"))
     sets.unpersist()
-    drop(pairs)
+    drop(pairs, wanted)
     return out
 
 
@@ -252,20 +273,7 @@ def _shared(p: list[np.ndarray], q: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def _named_sets(k: int, wanted: bytes):
-    """(doc_id, h1, h2, features): the sets that `_sets` gives, with the sums that name them in `_summary`."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _sets(k, wanted)(batches):
-            found = [np.frombuffer(x.as_buffer(), U) for x in batch.column("features")]
-            with np.errstate(over="ignore"):
-                names = [pa.array(np.array([mix(x + U(i + 7)).sum(dtype=U) for x in found], U).view(np.int64)) for i in range(2)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *names, batch.column("features")], names=["doc_id", "h1", "h2", "features"])
-
-    return run
-
-
-COUNTED = "h1 bigint, h2 bigint, links bigint"
+COUNTED = "name bigint, links bigint"
 
 
 def _counted(percent: int):
@@ -275,47 +283,47 @@ def _counted(percent: int):
         other = p if q is None else q
         if not p or not other:
             return
-        shared = _shared([x[3] for x in p], [x[3] for x in other])
-        n, m = (np.array([len(x[3]) for x in side], np.int64) for side in (p, other))
+        shared = _shared([x[2] for x in p], [x[2] for x in other])
+        n, m = (np.array([len(x[2]) for x in side], np.int64) for side in (p, other))
         link = 100 * shared >= percent * (n[:, None] + m - shared)
         if q is None:
             np.fill_diagonal(link, False)
-        many, more = (np.array([x[2] for x in side], np.int64) for side in (p, other))
+        many, more = (np.array([x[1] for x in side], np.int64) for side in (p, other))
         for side, links in [(p, link @ more)] if q is None else [(p, link @ more), (q, many @ link)]:
-            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in side], pa.int64()), pa.array([x[1] for x in side], pa.int64()), pa.array(links, pa.int64())], names=["h1", "h2", "links"])
+            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in side], pa.int64()), pa.array(links, pa.int64())], names=["name", "links"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group, sides, last = None, ([], []), None
         for batch in batches:
-            rows = zip(*(batch.column(c).to_pylist() for c in ("component", "i", "j", "block", "h1", "h2", "docs")), batch.column("features"), strict=True)
-            for component, i, j, block, h1, h2, docs, features in rows:
+            rows = zip(*(batch.column(c).to_pylist() for c in ("component", "i", "j", "block", "name", "docs")), batch.column("features"), strict=True)
+            for component, i, j, block, name, docs, features in rows:
                 if group != (component, i, j):
                     if group is not None:
                         yield from count(sides[0], sides[1] if group[1] != group[2] else None)
                     group, sides, last = (component, i, j), ([], []), None
-                if last != (h1, h2):  # a repeated row brings its set again
-                    sides[int(block != i)].append((h1, h2, docs, np.frombuffer(features.as_buffer(), U)))
-                last = h1, h2
+                if last != name:  # a repeated row brings its set again
+                    sides[int(block != i)].append((name, docs, np.frombuffer(features.as_buffer(), U)))
+                last = name
         if group is not None:
             yield from count(sides[0], sides[1] if group[1] != group[2] else None)
 
-    return run
+    return lean(run)
 
 
 def _links(least: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """(h1, h2, links) of the sets that link with different ones: how many rows have a set that links with theirs. `least` has h1, h2, n,
-    rep, docs and component_id of each set."""
+    """(name, links) of the sets that link with different ones: how many rows have a set that links with theirs. `least` has name, n,
+    rep, docs and component of each set."""
     spark = docs.sparkSession
-    sizes = least.groupBy("component_id").agg(F.count("*").alias("sets"), F.sum(F.col("n").cast("bigint")).alias("features"), F.sum("docs").alias("rows")).where("sets > 1")
-    grouped = settle(least.join(sizes, "component_id"))
-    two = grouped.where("sets = 2").select("h1", "h2", (F.col("rows") - F.col("docs")).alias("links"))
+    sizes = least.groupBy("component").agg(F.count("*").alias("sets"), F.sum(F.col("n").cast("bigint")).alias("features"), F.sum("docs").alias("rows")).where("sets > 1")
+    grouped = settle(least.join(sizes, "component"))
+    two = grouped.where("sets = 2").select("name", (F.col("rows") - F.col("docs")).alias("links"))
     salts = F.ceil(F.greatest(F.col("sets") / PART[0], F.col("features") / PART[1])).cast("int")
-    more = settle(grouped.where("sets > 2").select("h1", "h2", F.col("rep").alias("doc_id"), "docs", F.col("component_id").alias("component"), salts.alias("salts")))
-    found = docs.mapInArrow(_named_sets(k, _bitmap(more)), "doc_id bigint, h1 bigint, h2 bigint, features binary").join(more, ["doc_id", "h1", "h2"])
-    found = found.withColumn("block", F.pmod(F.xxhash64("h1", "h2"), F.col("salts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
-    found = found.select("component", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "h1", "h2", "docs", "features")
-    dealt = found.repartition(partitions(spark), "component", "i", "j").sortWithinPartitions("component", "i", "j", "block", "h1", "h2")
-    out = settle(dealt.mapInArrow(_counted(percent), COUNTED).unionAll(two).groupBy("h1", "h2").agg(F.sum("links").alias("links")))
+    more = settle(grouped.where("sets > 2").select("name", "rep", "docs", "component", salts.alias("salts")))
+    found = _fetched(docs, more, k)
+    found = found.withColumn("block", F.pmod(F.xxhash64("name"), F.col("salts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
+    found = found.select("component", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "name", "docs", "features")
+    dealt = found.repartition(partitions(spark), "component", "i", "j").sortWithinPartitions("component", "i", "j", "block", "name")
+    out = settle(dealt.mapInArrow(_counted(percent), COUNTED).unionAll(two).groupBy("name").agg(F.sum("links").alias("links")))
     drop(grouped, more)
     return out
 
@@ -336,56 +344,68 @@ def jaccard_join(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     equal texts included. Texts that are null or without words have an empty set and link
     with nothing, not with each other. Repeated rows come back repeated; rows of one doc_id with different texts are linked
     each by its own text. A null doc_id comes back with its n_shingles and a null component and null n_links. Other columns are ignored; an
-    empty table gives an empty one. Shingles are compared by 64-bit hashes.
+    empty table gives an empty one. Very long texts are compared whole, the longer the more signatures they have. Shingles and
+    sets are compared by 64-bit hashes.
     """
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text")
     known = settle(docs.mapInArrow(_summary(k), SUMMARY))
-    # Equal sets link; their least doc_id stands for them.
-    same = settle(known.where("n > 0 AND doc_id IS NOT NULL").groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("rep"), F.count("*").alias("docs")))
-    copies = known.join(same.where("docs > 1"), ["h1", "h2", "n"]).where("doc_id <> rep").select("doc_id", "rep").distinct()
-    copies = settle(copies)
+    same = settle(known.where("n > 0 AND doc_id IS NOT NULL").groupBy("name").agg(F.min("doc_id").alias("rep"), F.count("*").alias("docs"), *(F.any_value(c).alias(c) for c in TRAITS)))
 
     by_sig = Window.partitionBy("sig")
     whole = docs.where("doc_id IS NOT NULL")
-    met = whole.mapInArrow(_signed(k, percent), "sig bigint, doc_id bigint")
-    met_rows = settle(met.withColumns({"least": F.min("doc_id").over(by_sig), "most": F.max("doc_id").over(by_sig)}).where("least < most").select("sig", "doc_id", "least"))
+    met = whole.mapInArrow(_signed(k, percent, _bitmap(same.select(F.col("rep").alias("doc_id")))), "sig bigint, name bigint")
+    met = settle(met.withColumns({"least": F.min("name").over(by_sig), "most": F.max("name").over(by_sig)}).where("least < most").select("sig", "name"))
     release(spark)
-    met = met_rows.join(copies, "doc_id", "left_anti")
-    tied = met.where("least < doc_id").groupBy("doc_id").agg(F.min("least").alias("a"))
-    sketch = known.where("n > 0").select("doc_id", "n", *(f"s{i}" for i in range(SKETCH))).dropDuplicates(["doc_id", "n"])
-    tied = tied.join(sketch.alias("x"), "doc_id").join(sketch.withColumnRenamed("doc_id", "a").alias("y"), "a").where(_may_link(percent))
-    parities = known.where("n > 0").select("doc_id", "n", "parity").dropDuplicates(["doc_id", "n"])
-    near = _verified(_likely(_distinct(tied.select("a", F.col("doc_id").alias("b"))), parities, percent), whole, k, percent)
+    sketch = same.drop("rep", "docs", "parity")
+
+    def likely(tied: DataFrame) -> DataFrame:
+        """Of (name, a) the pairs that sketches and parities let through."""
+        wide = tied.join(sketch.alias("x"), "name").join(sketch.withColumnRenamed("name", "a").alias("y"), "a").where(_may_link(percent))
+        return _likely(_distinct(wide.select("a", F.col("name").alias("b"))), same, percent)
+
+    def grouped(edges: DataFrame) -> DataFrame:
+        """The rows of `met` under whose signature several groups meet, with the label of their group, the least of them, and how many sets share the signature."""
+        label = components(edges, "a", "b").select(F.col("node").alias("name"), F.col("component").alias("label"))
+        rows = met.select("sig", "name").join(label, "name", "left").withColumn("label", F.coalesce("label", "name"))
+        rows = rows.withColumns({"low": F.min("label").over(by_sig), "high": F.max("label").over(by_sig), "sets": F.count("*").over(by_sig)}).where("low < high")
+        return settle(rows.select("sig", "name", "label", "low", "sets"))
+
+    def chosen(rows: DataFrame) -> DataFrame:
+        """Of the partners (name, least) of each set the one with which it shares most signatures."""
+        often = rows.groupBy("name", "least").agg(F.count("*").alias("n"))
+        return often.groupBy("name").agg(F.max_by("least", F.struct("n", "least")).alias("a"))
+
+    first = met.join(same.select("name", "rep"), "name").withColumn("least", F.min(F.struct("rep", "name")).over(by_sig)["name"])
+    near = _verified(likely(chosen(first.where("least <> name"))), whole, same, k, percent)
     release(spark)
-
-    # One document points at one smaller one, so following the pointers a few times gathers most of a group under one label.
-    label = near.select(F.col("b").alias("doc_id"), F.col("a").alias("label"))
-    for _ in range(2):
-        after = label.select(F.col("doc_id").alias("label"), F.col("label").alias("next"))
-        label = label.join(after, "label", "left").select("doc_id", F.coalesce("next", "label").alias("label"))
-    label = settle(label.groupBy("doc_id").agg(F.min("label").alias("label")))
-    split = met.select("sig", "doc_id").join(label, "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id"))
-    split = split.withColumns({"low": F.min("label").over(by_sig), "high": F.max("label").over(by_sig), "docs": F.count("*").over(by_sig)}).where("low < high")
-    split = settle(split.select("sig", "doc_id", "label", "docs"))
+    split = grouped(near)
+    least = split.withColumn("least", F.min(F.when(F.col("label") == F.col("low"), F.col("name"))).over(by_sig))
+    more = _verified(likely(chosen(least.where("label <> low"))), whole, same, k, percent)
+    drop(split)
+    edges = settle(near.unionAll(more))
+    split = grouped(edges)
+    wide = settle(split.select("sig", "name", "label", F.ceil(F.col("sets") / BLOCK).cast("int").alias("salts")).join(sketch, "name"))
+    drop(met, split, near, more)
     release(spark)
-    wide = settle(split.join(sketch, "doc_id").withColumn("salts", F.ceil(F.col("docs") / BLOCK).cast("int")))
-    left = wide.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.col("salts")).cast("int")).alias("x")
+    left = wide.withColumn("salt", F.pmod(F.xxhash64("name"), F.col("salts")).cast("int")).alias("x")
     right = wide.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).alias("y")
-    apart_yet = (F.col("x.label") != F.col("y.label")) & (F.col("x.doc_id") < F.col("y.doc_id"))
+    apart_yet = (F.col("x.label") != F.col("y.label")) & (F.col("x.name") < F.col("y.name"))
     pairs = left.join(right, (F.col("x.sig") == F.col("y.sig")) & (F.col("x.salt") == F.col("y.salt")) & apart_yet & _may_link(percent))
-    far = _verified(_likely(pairs.select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b")).distinct(), parities, percent), whole, k, percent)
-
-    drop(met_rows, label, split, wide)
+    far = _verified(_likely(pairs.select(F.col("x.name").alias("a"), F.col("y.name").alias("b")).distinct(), same, percent), whole, same, k, percent)
+    drop(wide)
     release(spark)
 
-    linked = components(near.unionAll(far), "a", "b")
-    least = settle(same.join(linked.withColumnRenamed("node", "rep"), "rep", "left").select("h1", "h2", "n", "rep", "docs", F.coalesce("component", "rep").alias("component_id")))
+    linked = components(edges.unionAll(far), "a", "b")
+    least = settle(same.select("name", "n", "rep", "docs").join(linked.withColumnRenamed("node", "name"), "name", "left").withColumn("component", F.coalesce("component", "name")))
     links = _links(least, whole, k, percent)
-    least_links = least.join(links, ["h1", "h2"], "left").select("h1", "h2", "n", "component_id", (F.col("docs") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
-    every = known.select("doc_id", "n", "h1", "h2").join(least_links, ["h1", "h2", "n"], "left")
+    ends = least.groupBy("component").agg(F.min("rep").alias("component_id"))
+    told = least.join(ends, "component").join(links, "name", "left").select("name", "component_id", (F.col("docs") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
+    # Texts without words are dealt by their ids, so that they don't all meet in one task.
+    some = F.col("n") > 0
+    every = known.select("doc_id", "n", F.when(some, F.col("name")).otherwise(F.xxhash64("doc_id")).alias("name")).join(told, "name", "left")
     given = lambda c: F.when(F.col("doc_id").isNotNull(), c)
-    out = settle(every.select("doc_id", F.col("n").cast("bigint").alias("n_shingles"), given(F.coalesce("component_id", "doc_id")).alias("component_id"), given(F.coalesce("n_links", F.lit(0))).cast("bigint").alias("n_links")))
-    drop(known, same, copies, near, far, least, links)
+    out = settle(every.select("doc_id", F.col("n").cast("bigint").alias("n_shingles"), given(F.when(some, F.col("component_id")).otherwise(F.col("doc_id"))).alias("component_id"), given(F.when(some, F.col("n_links")).otherwise(0)).cast("bigint").alias("n_links")))
+    drop(known, same, edges, far, least, links)
     release(spark)
     return out
