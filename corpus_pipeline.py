@@ -10,41 +10,48 @@ from tallyfold.llm.byte_bpe import bpe_encode
 from tallyfold.llm.jaccard_join import jaccard_join
 from tallyfold.llm.mixing import mixed
 from tallyfold.llm.quality_rules import quality_rules
-from tallyfold.llm.scratch import settle, small_batches
+from tallyfold.llm.registry import plain_words
+from tallyfold.llm.scratch import drop, fresh, settle, small_batches
 from tallyfold.llm.secrets import secret_scan, train
 
 
+def whole(docs: DataFrame) -> DataFrame:
+    """Each row as one column beside its text, so that no column's name can clash with one of an operator's own."""
+    return docs.select(F.struct(*docs.columns).alias("row"), "text")
+
+
 def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep."""
-    return quality_rules(docs, keep=tuple(docs.columns)).where("kept").select(docs.columns)
+    """Documents that the quality rules keep, repeated rows repeated; null and empty texts go."""
+    return quality_rules(whole(docs), keep=("row",)).where("kept").select("row.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of similar ones: the one with the least doc_id. Documents without words link with none and stay, as do
-    all rows without a doc_id. Of repeated rows of one doc_id and text one stays."""
+    """One document of each group of similar ones: the one with the least doc_id, with all its texts if rows of one doc_id differ. Documents
+    without words link with none and stay, as do all rows without a doc_id. Of repeated rows of one doc_id and text one stays."""
     small_batches(spark)
-    least = settle(jaccard_join(docs).groupBy("doc_id").agg(F.count("*").alias("rows"), F.bool_or(F.col("doc_id") == F.col("component_id")).alias("least")).where("least"))
-    once = docs.join(least.where("rows = 1").select("doc_id"), "doc_id", "left_semi").select(docs.columns)
+    least = settle(jaccard_join(docs).where("doc_id = component_id").select("doc_id").distinct())
+    # Texts move once, at any size of the two sides.
+    kept = docs.where("doc_id IS NOT NULL").join(least.hint("shuffle_hash"), "doc_id", "left_semi").select(docs.columns)
     rest = [c for c in docs.columns if c not in ("doc_id", "text")]
     first = F.row_number().over(Window.partitionBy("doc_id", "text").orderBy(*rest or ["doc_id"]))
-    again = docs.join(settle(least.where("rows > 1").select("doc_id")), "doc_id", "left_semi").withColumn("_nth", first).where("_nth = 1").select(docs.columns)
-    return once.unionAll(again).unionAll(docs.where("doc_id IS NULL"))
+    nth = fresh(docs, "_nth")
+    return kept.withColumn(nth, first).where(F.col(nth) == 1).select(docs.columns).unionAll(docs.where("doc_id IS NULL"))
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with [SECRET] for each secret in the text."""
-    rest = [c for c in docs.columns if c != "text"]
-    found = secret_scan(docs, train(spark), keep=tuple(rest)).withColumnRenamed("redacted", "text")
-    return found.withColumn("n_chars", F.when(F.col("n_secrets") > 0, F.length("text").cast("bigint")).otherwise(F.col("n_chars"))).select(docs.columns)
+    """All documents, with [SECRET] for each secret in the text and n_chars counted anew there; null texts stay null."""
+    found = secret_scan(whole(docs).withColumn("row", F.col("row").dropFields("text")), train(spark, plain_words()), keep=("row",))
+    changed = {"text": F.col("redacted"), "n_chars": F.when(F.col("n_secrets") > 0, F.length("redacted").cast("bigint")).otherwise(F.col("row.n_chars"))}
+    return found.select(*(changed.get(c, F.col(f"row.{c}")).alias(c) for c in docs.columns))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix of sources takes them: none, one or two times."""
+    """Documents as often as the mix of sources takes them: none, one or two times. Those without words are never taken."""
     return mixed(docs)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of each document, and digests of them and of what they decode to."""
+    """Token ids of each document, and digests of them and of what they decode to. A null text has no ids, as an empty one; a copy is coded as often as it is there."""
     small_batches(spark)
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     coded = bpe_encode(docs, path, public_tokenizers.PATTERN, ("doc_id", "source"), decode=True)
@@ -67,5 +74,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages, each written and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for _, stage in STAGES:
-        docs = settle(stage(spark, docs, sf_dir))
+        older, docs = docs, settle(stage(spark, docs, sf_dir))
+        drop(older)  # nothing for the documents themselves
     return docs
