@@ -179,13 +179,13 @@ def send_ranks(table: DataFrame) -> DataFrame:
     No task sorts a batch: rows of equal reviews and score are numbered among themselves, after all that counts say lie before.
     """
     level = ["batch", "review_count", "lead_score"]
-    sent = table.where("batch <> 'unbatched'")
+    sent = F.col("batch") != "unbatched"
     down = Window.partitionBy("batch").orderBy(F.desc_nulls_last("review_count"), F.desc_nulls_last("lead_score")).rowsBetween(Window.unboundedPreceding, -1)
-    before = sent.groupBy(*level).agg(F.count("*").alias("n")).withColumn("before", F.coalesce(F.sum("n").over(down), F.lit(0))).select(*(F.col(c).alias(f"_{c}") for c in level), "before")
-    own = F.row_number().over(Window.partitionBy(*level).orderBy("business_id"))
+    before = table.where(sent).groupBy(*level).agg(F.count("*").alias("n")).withColumn("before", F.coalesce(F.sum("n").over(down), F.lit(0))).select(*(F.col(c).alias(f"_{c}") for c in level), "before")
+    alone = F.when(~sent, F.col("business_id"))  # rows without a place don't meet in one task
+    own = F.row_number().over(Window.partitionBy(*level, alone).orderBy("business_id"))
     same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in level]
-    placed = sent.withColumn("_own", own).join(before, same).withColumn("send_rank", (F.col("before") + F.col("_own")).cast("int")).select(*table.columns, "send_rank")
-    return placed.unionByName(table.where("batch = 'unbatched'").withColumn("send_rank", F.lit(None).cast("int")))
+    return table.withColumn("_own", own).join(before, same, "left").select(*table.columns, F.when(sent, F.col("before") + F.col("_own")).cast("int").alias("send_rank"))
 
 
 def visible_view(businesses: DataFrame, contacts: DataFrame, numbers: DataFrame, emails: DataFrame, domains: DataFrame, preference: str = "owner_first") -> DataFrame:

@@ -5,17 +5,22 @@ The same text makes them in Spark and in the SQL that checks a query; only integ
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 from pyspark.sql import DataFrame, SparkSession
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "pages")
 
 
-def _ctes(div: str) -> str:
+COUNTS = "SELECT c.n, p.n_part, g.n_pages FROM (SELECT count(*) AS n FROM customer) c, (SELECT count(*) AS n_part FROM part) p, (SELECT count(*) AS n_pages FROM pages) g"
+
+
+def _ctes(div: str, counts: str = COUNTS) -> str:
     def d(a: str, b: str) -> str:
         return f"(({a}) {div} ({b}))"
 
     return f"""
-consts AS (SELECT c.n, p.n_part, g.n_pages FROM (SELECT count(*) AS n FROM customer) c, (SELECT count(*) AS n_part FROM part) p, (SELECT count(*) AS n_pages FROM pages) g),
+consts AS ({counts}),
 order_counts AS (SELECT o_custkey, CAST(count(*) AS BIGINT) AS n_orders FROM orders GROUP BY o_custkey),
 placed AS (
   SELECT c_custkey AS k, c_mktsegment, c_nationkey, consts.*, c_custkey % {d("n", "25")} AS m, {d("c_custkey", d("n", "25"))} AS j FROM customer, consts),
@@ -59,10 +64,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@lru_cache(maxsize=64)
+def _counted(session: SparkSession, sf_dir: str) -> str:
+    """The three sizes that the spine goes by, counted from the files' footers once instead of with every frame."""
+    n, parts, pages = (table(session, sf_dir, t).count() for t in ("customer", "part", "pages"))
+    return f"SELECT CAST({n} AS BIGINT) AS n, CAST({parts} AS BIGINT) AS n_part, CAST({pages} AS BIGINT) AS n_pages"
+
+
 def frame(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One frame of the spine by name; Catalyst drops what it doesn't need of the others."""
     used = {t: table(spark, sf_dir, t) for t in ("customer", "part", "pages", "orders", "nation", "region")}
-    text = _ctes("div")
+    text = _ctes("div", _counted(spark, sf_dir))
     for t in used:
         text = text.replace(f"FROM {t} ", f"FROM {{{t}}} ").replace(f"FROM {t})", f"FROM {{{t}}})").replace(f"FROM {t},", f"FROM {{{t}}},").replace(f"JOIN {t} ", f"JOIN {{{t}}} ")
     return spark.sql(f"WITH {text.lstrip()} SELECT * FROM {name}", **used)
