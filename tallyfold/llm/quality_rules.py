@@ -121,8 +121,9 @@ def quality_rules(docs: DataFrame, rules: tuple[Rule, ...] = RULES, keep: tuple[
 
     One projection without shuffle. Null and empty texts count zero words and are not kept; repeated rows come back
     repeated; extra columns are left out unless named in `keep`; an empty table gives an empty one. Windows of words are
-    compared by 64-bit hashes within a text.
+    compared by 64-bit hashes within a text. A kept column with the name of a result is a ValueError.
     """
+    unlike(keep, OUT)
     counted = docs.select(*(F.col(c) for c in keep), *(x.alias(f"_{name}") for name, x in metrics(F.col("text")).items()))
     flat = counted.select(
         *keep, F.col("_parts.n_words").alias("n_words"), F.col("_word_chars").alias("word_chars"), F.col("_n_symbols").alias("n_symbols"), F.col("_lines.n_dup_lines").alias("n_dup_lines"),

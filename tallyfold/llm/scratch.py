@@ -37,6 +37,22 @@ def settle(df: DataFrame) -> DataFrame:
     return back
 
 
+class Pile:
+    """A settled table that grows part by part, however many there are."""
+
+    def __init__(self, spark: SparkSession, schema: str) -> None:
+        self.spark, self.path = spark, f"{folder(spark)}/tallyfold-{uuid.uuid4().hex}"
+        spark.createDataFrame([], schema).write.parquet(self.path)
+        self.schema = schema
+        _left.append((spark, self.path))
+
+    def add(self, df: DataFrame) -> None:
+        df.write.mode("append").parquet(self.path)
+
+    def read(self) -> DataFrame:
+        return self.spark.read.schema(self.schema).parquet(self.path)
+
+
 def _remove(spark: SparkSession, path: str) -> None:
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(at, True)

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyfold.llm.scratch import drop, settle
+from tallyfold.llm.scratch import Pile, drop, settle
 
 BLOCK = 2048  # queries that are sent to all tasks at once; with their length this bounds the broadcast
 BINS = 128
@@ -129,13 +129,13 @@ def top_k(table: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     every query, in blocks of BLOCK queries that are sent to all tasks; global histograms of the scores are refined until
     each query's k-th value is known, then the candidates at or above it are kept and ranked. A row is no candidate for
     itself. Vectors that are null, empty, or hold null or non-finite components take no part, nor do candidates of another
-    length than the query. Repeated rows are candidates each. Scores beyond 64 bits are held at their bounds. An empty
+    length than the query. Repeated rows are candidates each; of queries with one vec_id the least vector counts. Scores beyond 64 bits are held at their bounds. An empty
     table gives an empty result; other columns are ignored.
     """
     spark = table.sparkSession
-    table, wanted = settle(_usable(table)), settle(_usable(queries).dropDuplicates(["vec_id"]))
+    table, wanted = settle(_usable(table)), settle(_usable(queries).groupBy("vec_id").agg(F.min("embedding").alias("embedding")))
     reach = table.agg(F.max(F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + F.pow(F.floor(x * 256), F.lit(2)))))).first()[0] or 0.0
-    parts, schema = [], "query_id bigint, rank int, vec_id bigint, score bigint"
+    out = Pile(spark, "query_id bigint, rank int, vec_id bigint, score bigint")
     lengths = [r[0] for r in wanted.select(F.size("embedding")).distinct().collect()]
     for n in sorted(lengths):
         last = None
@@ -149,9 +149,6 @@ def top_k(table: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
             bound = _bounds(table, own, q, reach, k)
             best = table.mapInArrow(_scored((own, q), _Best(own, bound, k)), "query_id bigint, vec_id bigint, score bigint")
             order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-            parts.append(settle(best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")))
+            out.add(best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score"))
     drop(table, wanted)
-    out = spark.createDataFrame([], schema)
-    for p in parts:
-        out = out.unionAll(p)
-    return out
+    return out.read()
