@@ -86,7 +86,7 @@ def repeated_chunks(docs: DataFrame, bits: int = 4, least: int = 32, most: int =
     return found.join(several, ["d1", "d2"]).select("doc_id", "start", "size", F.col("at.doc_id").alias("first_doc"), F.col("at.start").alias("first_start"), "copies")
 
 
-def substring_dedup(docs: DataFrame, bits: int = 4, least: int = 32, most: int = 256, shortest: int = 64) -> DataFrame:
+def substring_dedup(docs: DataFrame, bits: int = 4, least: int = 32, most: int = 256, shortest: int = 96) -> DataFrame:
     """(doc_id, n_spans, repeated_bytes, removed_bytes, spans, sources) of each document that holds a repeated passage.
 
     Neighbouring repeated chunks form a span; spans of fewer than `shortest` bytes count as chance and don't matter. spans

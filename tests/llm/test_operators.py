@@ -224,7 +224,7 @@ def test_substring_dedup_brute_force(spark):
     assert {x for x in want if x[0] != 5} == {x for x in got if x[0] != 5} and (72, 0, 4, 71, 0) in got
     for r in substring_dedup.substring_dedup(df).collect():
         own = sorted((a, n, (i, a) == first) for i, a, n, *first in got for first in [tuple(first)] if i == r.doc_id)
-        assert all(any(s.start <= a and a + n <= s.start + s.size and s["first"] == f for s in r.spans) or n < 64 for a, n, f in own)
+        assert all(any(s.start <= a and a + n <= s.start + s.size and s["first"] == f for s in r.spans) or n < 96 for a, n, f in own)
 
 
 def test_substring_dedup_within_a_document(spark):
