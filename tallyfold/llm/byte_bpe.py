@@ -15,7 +15,7 @@ import re
 from collections import Counter
 from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
-from itertools import chain
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -24,8 +24,8 @@ from pyspark.sql import DataFrame
 
 from tallyfold.llm.textbytes import lean, pieces
 
-WIDTH = 1 << 8  # ranks of one range of the index
-SLICE = 1 << 21  # bytes of text whose words are replayed together; a longer text is a slice of its own
+WIDTH = 1 << 7  # ranks of one range of the index
+SLICE = 1 << 22  # bytes of text whose words are replayed together; a longer text is a slice of its own
 CACHE = 1 << 25  # bytes that a worker remembers, of chunks that it met twice and their ids
 SHORT = 64  # characters of the longest chunk that it remembers
 
@@ -100,16 +100,18 @@ class Vocabulary:
                 return
             at = np.maximum(rank[places] // WIDTH, least)
             order = np.argsort(at, kind="stable")
-            found, first = np.unique(at[order], return_index=True)
-            for r, some in zip(found.tolist(), np.split(places[order], first[1:]), strict=True):
+            at = at[order]
+            first = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
+            for r, some in zip(at[first].tolist(), np.split(places[order], first[1:]), strict=True):
                 index.setdefault(r, []).append(some)
 
         put(np.flatnonzero(rank < gap), 0)
         while index:
             r = min(index)
             # What the index holds may be merged meanwhile, or stand there twice.
-            p = np.unique(np.concatenate(index.pop(r)))
-            p = p[rank[p] < min(gap, (r + 1) * WIDTH)]
+            p = np.concatenate(index.pop(r))
+            p = np.sort(p[rank[p] < min(gap, (r + 1) * WIDTH)])
+            p = p[np.append(True, p[1:] != p[:-1])[: len(p)]]
             if not len(p):
                 continue
             new = np.append(True, word[p[1:]] != word[p[:-1]])
@@ -151,12 +153,19 @@ class Vocabulary:
             self._known.clear()
             self._room = CACHE
         found, seen = self._known, Counter(chain.from_iterable(texts))
-        parts = {c: [w.encode() for w in split(c)] for c in seen.keys() - found.keys()}
-        words = list(set().union(*parts.values()))
-        ids = dict(zip(words, self.replay(words), strict=True))
-        once = {}
-        for c, own in parts.items():
-            x = ids[own[0]] if len(own) == 1 else b"".join(map(ids.__getitem__, own))
+        fresh, flat, counts, once = list(seen.keys() - found.keys()), [], [], {}
+        for c in fresh:
+            own = split(c)
+            flat += own
+            counts.append(len(own))
+        raw = [w.encode() for w in flat]
+        # As the libraries do, a word that is a token as a whole is that token.
+        ids = {w: self.ranks[w].to_bytes(4, "little") for w in set(raw) & self.ranks.keys()}
+        words = list(set(raw).difference(ids))
+        ids.update(zip(words, self.replay(words), strict=True))
+        each = map(ids.__getitem__, raw)
+        for c, n in zip(fresh, counts, strict=True):
+            x = next(each) if n == 1 else b"".join(islice(each, n))
             if seen[c] > 1 and len(c) <= SHORT:
                 found[c] = x
                 self._room -= 200 + 4 * len(c) + len(x)  # what the two objects take, roughly
@@ -175,7 +184,8 @@ def splitters(pattern: str) -> tuple[Callable[[str], list[str]], Callable[[str],
     words = regex.compile(pattern).findall
     if pattern != BLANK_FIRST:
         return words, lambda x: [x]
-    return re.compile(r"(?<=\S)(?= \S)").split, words
+    plain = re.compile(" ?[A-Za-z]+").fullmatch  # one match of the pattern for certain
+    return re.compile(r"(?<=\S)(?= \S)").split, lambda c: [c] if plain(c) else words(c)
 
 
 @lru_cache(maxsize=4)
