@@ -96,7 +96,7 @@ def facts(contacts: DataFrame, preference: str = "owner_first") -> DataFrame:
     table = ranked_beside(contacts, preference).withColumns({"number": F.coalesce("value_e164", "value_raw"), "label": wa_label(F.col("wa_evidence")), "clean": F.coalesce(clean_number(F.col("value_e164")), clean_number(F.col("value_raw")))})
     urls = [c for c in ("source_url", "wa_evidence_url") if c in contacts.columns]
     per = table.groupBy("business_id").agg(
-        *contact_signals(), F.bool_or(phone).alias("had"), F.bool_or(phone & seen).alias("has"),
+        *contact_signals(), F.collect_set("source").alias("any_sources"), F.bool_or(phone).alias("had"), F.bool_or(phone & seen).alias("has"),
         export.held(table.columns, seen).alias("held"), F.max(F.when(seen, F.col("scraped_at"))).alias("scraped_at"),
         F.array_sort(F.collect_set(F.when(seen, F.col("source")))).alias("sources"), export.pipe(["source"], "contact_id", seen).alias("sources_pipe"), export.pipe(urls, "contact_id", seen).alias("evidence_urls"),
         F.min_by("value_raw", F.when(seen & (F.col("kind") == "email"), F.col("contact_id"))).alias("email"),
@@ -123,7 +123,7 @@ def matches(query: ResultQuery) -> Column:
         ok &= ~blank if query.has_website else blank
     if query.min_score is not None:
         ok &= F.coalesce(F.col("lead_score") >= query.min_score, F.lit(False))
-    for column, wanted in (("labels", query.labels), ("line_types", query.line_types), ("sources", query.sources)):
+    for column, wanted in (("labels", query.labels), ("line_types", query.line_types), ("any_sources", query.sources)):
         if wanted:
             ok &= F.coalesce(F.arrays_overlap(column, F.array(*map(F.lit, wanted))), F.lit(False))
     if query.has_person is not None:

@@ -162,6 +162,11 @@ def profile_targets(businesses: DataFrame, budget: int = 1) -> DataFrame:
     return every.withColumn("_n", F.row_number().over(Window.partitionBy("business_id").orderBy("place"))).where(F.col("_n") <= budget).drop("_n")
 
 
+def on_targets(found: DataFrame, targets: DataFrame) -> DataFrame:
+    """What a profile (url) gave, for every business whose target it is: one read serves all that name it."""
+    return found.join(targets.select("business_id", "platform", "url"), "url")
+
+
 def profile_findings(profiles: DataFrame) -> DataFrame:
     """(url, place and FINDING) of profiles (url, platform, bio, buttons, bio_phones): buttons before numbers in the bio, each number once, PER_PROFILE at the most."""
     kind = "array<struct<e164:string,raw:string,line_type:string,operator:string,wa_evidence:double,confidence:double>>"

@@ -164,3 +164,11 @@ def directory_located_near(d: Data) -> DataFrame:
 @query("directory_verdicts", why="no token-set similarity in SQL; every outcome is tested on a fixture")
 def directory_verdicts(d: Data) -> DataFrame:
     return dedupe.match_listings(d.listings, d.businesses, d.contacts)
+
+
+@query("shared_profiles", "SELECT b.business_id, c.url FROM (SELECT business_id, concat('https://facebook.com/p', business_id % 12) AS url FROM businesses WHERE business_id % 2 = 0) b JOIN (SELECT DISTINCT concat('https://facebook.com/p', business_id % 9) AS url FROM businesses) c USING (url)")
+def shared_profiles(d: Data) -> DataFrame:
+    """A profile is read once and serves every business that names it."""
+    url = lambda n: F.concat(F.lit("https://facebook.com/p"), (F.col("business_id") % n).cast("string"))
+    targets = sites.profile_targets(d.businesses.withColumns({"facebook_url": F.when(F.col("business_id") % 2 == 0, url(12)), "instagram_url": F.lit(None).cast("string")}))
+    return sites.on_targets(d.businesses.select(url(9).alias("url")).distinct(), targets).select("business_id", "url")

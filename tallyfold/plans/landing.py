@@ -11,7 +11,7 @@ from tallyfold.functions import text as tx
 from tallyfold.functions import web
 from tallyfold.operators import sites
 from tallyfold.plans.registry import DOMAIN, Data, query
-from tallyfold.sources import payload
+from tallyfold.sources import payload, taxonomy
 
 # --- payloads -----------------------------------------------------------------------------------
 
@@ -202,3 +202,42 @@ def profile_urls(d: Data) -> DataFrame:
 @query("page_contacts", why="a parser with ancestry; tested on inline pages")
 def page_contacts(d: Data) -> DataFrame:
     return d.pages.select("page_id", web.parse_page("url", "html").alias("p")).select("page_id", web.has_any_contact(F.col("p")).alias("any"), F.size("p.offers").alias("n_offers"), F.size("p.owners").alias("n_owners"))
+
+
+@query("archive_lookup", "SELECT url, found.event_id IS NOT NULL AS hit, found.event_id FROM (SELECT concat('https://h.pk/', page_id % 30) AS url, page_id % 30 AS k FROM pages) LEFT JOIN (SELECT event_id % 25 AS k, max({'ts': ts, 'event_id': event_id}) AS found FROM events WHERE ts + CASE WHEN event_id % 2 = 0 THEN INTERVAL 7 DAY ELSE INTERVAL 30 DAY END > TIMESTAMP '2024-01-30 00:00:00' GROUP BY 1) USING (k)")
+def archive_lookup(d: Data) -> DataFrame:
+    """Wanted pages against archived bodies, found by the hash of their address whatever its spelling."""
+    n = F.col("event_id")
+    rows = d.events.select(F.concat(F.lit("HTTPS://WWW.h.pk:443/"), (n % 25).cast("string"), F.lit("/?utm_source=x")).alias("url"), "event_id", F.when(n % 2 == 0, "listing").otherwise("detail").alias("kind"), F.col("ts").alias("fetched_at"))
+    wanted = d.pages.select(F.concat(F.lit("https://h.pk/"), (F.col("page_id") % 30).cast("string")).alias("url"))
+    return payload.looked_up(wanted, payload.archive_rows(rows), F.lit("2024-01-30 00:00:00").cast("timestamp_ntz")).select("url", "hit", "event_id")
+
+
+@query("payload_strings", "SELECT n_nationkey, path, value FROM (SELECT n_nationkey, unnest(['$[0]', '$[1][1][name]', '$[1][2][0]']) AS path, unnest([n_name, r_name, 'x']) AS value FROM nation JOIN region ON n_regionkey = r_regionkey)")
+def payload_strings(d: Data) -> DataFrame:
+    table = d.nation.join(d.region, F.col("n_regionkey") == F.col("r_regionkey"))
+    doc = F.format_string('["%s", [1, {"name": "%s", "n": null}, ["x"]]]', F.col("n_name"), F.col("r_name"))
+    return table.select("n_nationkey", F.explode(payload.walk_strings(doc)).alias("s")).select("n_nationkey", "s.path", "s.value")
+
+
+@query("url_slugs", "SELECT page_id, CASE WHEN page_id % 2 = 0 THEN 'cafes' ELSE url END AS slug FROM pages")
+def url_slugs(d: Data) -> DataFrame:
+    url = F.when(F.col("page_id") % 2 == 0, F.concat("url", F.lit("/category/cafes/city:x"))).otherwise(F.col("url"))
+    return d.pages.select("page_id", payload.url_slug(url).alias("slug"))
+
+
+@query("distinct_sample", "SELECT business_id, website FROM businesses WHERE website <> '' QUALIFY row_number() OVER (PARTITION BY website ORDER BY business_id) = 1 ORDER BY md5(concat('7 ', website)), website LIMIT 20")
+def distinct_sample(d: Data) -> DataFrame:
+    return taxonomy.sampled(d.businesses.where("website <> ''"), "website", 20, 7).select("business_id", "website")
+
+
+@query("query_counts", "SELECT r_name AS city, 'salon' AS category, count(*) * 3 AS queries FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY 1")
+def query_counts(d: Data) -> DataFrame:
+    tiles = d.nation.join(d.region, F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("r_name").alias("city"), F.col("n_name").alias("tile"))
+    words = d.spark.sql("SELECT 'salon' AS category, explode(array('salon', 'barber', 'spa')) AS word")
+    return taxonomy.query_counts(tiles, words)
+
+
+@query("excluded_sources", "SELECT * FROM (VALUES " + ", ".join(f"('{k}', '{v}')" for k, v in taxonomy.EXCLUDED.items()) + ") t(source, reason)")
+def excluded_sources(d: Data) -> DataFrame:
+    return taxonomy.excluded(d.spark)

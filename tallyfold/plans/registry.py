@@ -15,7 +15,7 @@ from tallyfold.operators import dedupe, evidence, export, health, ledger, result
 from tallyfold.operators.rank import ranked, wa_label
 from tallyfold.operators.results import ResultQuery
 from tallyfold.operators.score import order_statistics, report, scored, terms
-from tallyfold.sources import payload, spine
+from tallyfold.sources import payload, spine, taxonomy
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -231,7 +231,7 @@ def results_filtered(d: Data) -> DataFrame:
     return results.view(d.view, q).select(*_SHOWN.split(", "))
 
 
-@query("results_source_person", f"SELECT {_SHOWN} FROM batched WHERE contact_person IS NOT NULL AND business_id IN (SELECT business_id FROM visible WHERE source = 'google_maps')", ctes=VIEW)
+@query("results_source_person", f"SELECT {_SHOWN} FROM batched WHERE contact_person IS NOT NULL AND business_id IN (SELECT business_id FROM contacts WHERE source = 'google_maps')", ctes=VIEW)
 def results_source_person(d: Data) -> DataFrame:
     return results.view(d.view, ResultQuery(sources=("google_maps",), has_person=True, collapse=False)).select(*_SHOWN.split(", "))
 
@@ -622,10 +622,10 @@ def query_plan(d: Data) -> DataFrame:
     return health.query_plan(tiles, d.spark.sql("SELECT explode(array('salon', 'barber', 'spa')) AS word"))
 
 
-@query("route_lookup", "SELECT category, strength, count(*) AS n FROM businesses JOIN (VALUES ('food', 'strong'), ('real_estate', 'strong'), ('salon', 'none'), ('car_services', 'weak'), ('fashion', 'none')) r(category, strength) USING (category) GROUP BY 1, 2")
+@query("route_lookup", "SELECT category, strength, volume, count(*) AS n FROM businesses JOIN (VALUES " + ", ".join(f"('{c}', '{s}', '{'|'.join(v)}')" for c, (_, s, v) in taxonomy.ROUTES.items()) + ") r(category, strength, volume) USING (category) GROUP BY 1, 2, 3")
 def route_lookup(d: Data) -> DataFrame:
-    routes = d.spark.sql("SELECT * FROM VALUES ('food', 'strong'), ('real_estate', 'strong'), ('salon', 'none'), ('car_services', 'weak'), ('fashion', 'none') AS r(category, strength)")
-    return d.businesses.join(routes, "category").groupBy("category", "strength").agg(F.count("*").alias("n"))
+    found = d.businesses.join(F.broadcast(taxonomy.routes(d.spark)), "category")  # one row a category
+    return found.groupBy("category", "strength", F.array_join("volume", "|").alias("volume")).agg(F.count("*").alias("n"))
 
 
 _RUNS = "SELECT CAST(n_nationkey AS BIGINT) AS run_id, concat('city', n_regionkey % 3) AS city, CASE WHEN n_nationkey % 2 = 0 THEN 'food' ELSE 'salon' END AS category, n_nationkey % 9 AS queries, CAST((n_nationkey * 37) % 200 AS DOUBLE) AS elapsed, n_nationkey % 4 * 10 AS crawled, n_nationkey % 7 AS confirmed FROM nation"

@@ -6,12 +6,12 @@ import json
 import re
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallyfold.functions.phones import extract_phones
-from tallyfold.functions.text import normalise_name
+from tallyfold.functions.text import normalise_name, url_hash
 
 #: Where a record holds its fields, and where a payload holds its records.
 CP1252 = "".join(map(chr, range(0x80, 0xA0))), bytes(range(0x80, 0xA0)).decode("cp1252", "replace")
@@ -171,6 +171,50 @@ def fresh(archive: DataFrame, now: Column, ignore_ttl: bool = False) -> DataFram
     return archive if ignore_ttl else archive.where(F.col("fetched_at") + days > now)
 
 
+def archive_rows(fetches: DataFrame) -> DataFrame:
+    """stored() with what finds a body again: the hash of its address, by whose first two digits the archive is parted."""
+    key = url_hash(F.col("url"))
+    return fetches.withColumns({"url_hash": key, "shard": F.substring(key, 1, 2)})
+
+
+def write_archive(rows: DataFrame, path: str) -> None:
+    """Adds rows to the archive. Spark's writer renames finished files only, so a body is there as a whole or not."""
+    archive_rows(rows).write.mode("append").partitionBy("shard").parquet(path)
+
+
+def read_archive(spark: SparkSession, path: str) -> DataFrame:
+    """The archive; files that can't be read are as if they weren't there."""
+    return spark.read.option("ignoreCorruptFiles", "true").parquet(path)
+
+
+def looked_up(wanted: DataFrame, archive: DataFrame, now: Column, ignore_ttl: bool = False) -> DataFrame:
+    """Wanted addresses (url) with the latest body that the archive has for them and that is still fresh; `hit` tells whether there is one."""
+    asked = wanted.withColumn("url_hash", url_hash(F.col("url")))
+    fields = [c for c in archive.columns if c not in ("url", "url_hash", "shard")]
+    latest = fresh(archive, now, ignore_ttl).groupBy("url_hash").agg(F.max_by(F.struct(*fields), "fetched_at").alias("found"))
+    return asked.join(latest, "url_hash", "left").select("url", F.col("found").isNotNull().alias("hit"), *(F.col(f"found.{c}").alias(c) for c in fields))
+
+
+@F.arrow_udf(T.ArrayType(T.StructType([T.StructField("path", T.StringType()), T.StructField("value", T.StringType())])))
+def walk_strings(document: pa.Array) -> pa.Array:
+    """Every string of a JSON document with the path of indices and keys that leads to it, in the order of the document; none of a bad one."""
+
+    def walked(text: str | None) -> list[dict]:
+        try:
+            pile, out = [("$", json.loads(text or "null"))], []
+        except ValueError:
+            return []
+        while pile:
+            path, node = pile.pop()
+            if isinstance(node, str):
+                out.append({"path": path, "value": node})
+            inner = enumerate(node) if isinstance(node, list) else node.items() if isinstance(node, dict) else ()
+            pile += [(f"{path}[{k}]", x) for k, x in inner][::-1]
+        return out
+
+    return pa.array([walked(x) for x in document.to_pylist()], pa.list_(pa.struct([("path", pa.string()), ("value", pa.string())])))
+
+
 def stored(fetches: DataFrame) -> DataFrame:
     """Archive rows of fetches (url, final_url, status, content_type, body): under both addresses, but nothing of a server's error."""
     return fetches.where("status < 500").select(F.explode(F.array_distinct(F.array("url", F.coalesce("final_url", "url")))).alias("url"), "status", "content_type", "body")

@@ -4,12 +4,17 @@ import csv
 import datetime as dt
 import glob
 import io
+import os
+import shutil
+import subprocess
+import sys
 
 import pytest
 from pyspark.sql import functions as F
 
 from tallyfold.functions import social, web
 from tallyfold.operators import dedupe, export, health, ledger, requests, sites
+from tallyfold.sources import payload, taxonomy
 from tallyfold.streaming import breaker
 
 BUSINESS = "business_id long, run_id int, name string, arrival int, address string, area string, city string, category string, subcategory string, lat double, lng double, place_id string, website string, rating double, review_count int"
@@ -162,3 +167,37 @@ def test_site_of_parsed_pages(spark):
     a, b, c = got["+923001234567"], got["+924235772057"], got["+923217654321"]
     assert (a.confidence, a.wa_evidence, a.evidence_url, a.source_url) == (0.95, 1.0, "https://salon.pk/x", "https://salon.pk/") and (b.confidence, b.wa_evidence, b.person_name, b.evidence_url) == (0.9, 0.0, "Sana", "https://salon.pk/")
     assert (c.confidence, c.wa_evidence) == (0.95, 0.95) and pages.where("page = 0").select("p.targets").first().targets == ["https://salon.pk/x", "https://salon.pk/team"]
+
+
+def test_entry_without_corpus_operators(tmp_path):
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    shutil.copytree(f"{root}/tallyfold", tmp_path / "tallyfold", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    shutil.copy(f"{root}/__spark_entry__.py", tmp_path)
+    said = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; print(len(e.queries()), len(e.oracle_sql()), 'pipeline' in e.queries())"], cwd=tmp_path, env=os.environ | {"PYTHONPATH": str(tmp_path)}, capture_output=True, text=True, check=True)
+    n, with_sql, pipeline = said.stdout.split()
+    assert int(n) > int(with_sql) > 120 and pipeline == "False"
+
+
+def test_config(spark, tmp_path):
+    (tmp_path / "cities.yaml").write_text("# places\nLahore:\n  tier: 1\n  area_code: '042'\n  tiles: [DHA, Model Town,  # the south\n          F-7]\n\nQuetta:\n  area_code: \"081\"\n")
+    (tmp_path / "words.yaml").write_text("salon:\n  - hair salon\n  - 'beauty parlour'\nfood: [karahi, bbq]\nnone:\n")
+    tiles, words = taxonomy.cities(spark, str(tmp_path / "cities.yaml")), taxonomy.synonyms(spark, str(tmp_path / "words.yaml"))
+    assert [tuple(r) for r in tiles.collect()] == [("Lahore", 1, "042", 0, "DHA"), ("Lahore", 1, "042", 1, "Model Town"), ("Lahore", 1, "042", 2, "F-7"), ("Quetta", 3, "081", 0, None)]
+    assert [tuple(r) for r in words.collect()] == [("salon", 0, "hair salon"), ("salon", 1, "beauty parlour"), ("food", 0, "karahi"), ("food", 1, "bbq")]
+    assert {r.query for r in taxonomy.query_plan(tiles, words, 2, 1).collect()} == {f"{w} in {t}, Lahore" for w in ("hair salon", "karahi") for t in ("DHA", "Model Town")}
+    assert taxonomy.read_config("") == {}
+
+
+def test_archive(spark, tmp_path):
+    path, at = str(tmp_path / "archive"), dt.datetime(2024, 1, 1)
+    schema = "url string, status int, body string, kind string, fetched_at timestamp"
+    payload.write_archive(spark.createDataFrame([("http://a.pk/x", 200, "old", "detail", at), ("http://b.pk", 404, "gone", "listing", at)], schema), path)
+    payload.write_archive(spark.createDataFrame([("http://a.pk/x?utm_source=y", 200, "new", "detail", at + dt.timedelta(days=3))], schema), path)
+    broken = sorted(glob.glob(f"{path}/shard=*/part-*.parquet"))
+    wanted = spark.createDataFrame([("http://www.a.pk/x/",), ("http://b.pk/",), ("http://c.pk/",)], "url string")
+    now = F.lit(at + dt.timedelta(days=10))
+    read = lambda **more: {r.url: (r.hit, r.body) for r in payload.looked_up(wanted, payload.read_archive(spark, path), now, **more).collect()}
+    assert read() == {"http://www.a.pk/x/": (True, "new"), "http://b.pk/": (False, None), "http://c.pk/": (False, None)} and read(ignore_ttl=True)["http://b.pk/"] == (True, "gone")
+    victim = next(b for b in broken if spark.read.parquet(b).where("body = 'new'").count())
+    open(victim, "r+b").truncate(20)
+    assert read()["http://www.a.pk/x/"] == (True, "old")
