@@ -46,6 +46,22 @@ def candidates(businesses: DataFrame, contacts: DataFrame) -> DataFrame:
     return proposals(businesses, contacts).groupBy("run_id", "a", "b").agg(F.min_by("tier", F.element_at(order, F.col("tier"))).alias("tier"))
 
 
+def merge_candidates(businesses: DataFrame, contacts: DataFrame) -> DataFrame:
+    """The pairs of candidates() that can be merged, without those that distance rejects anyway, so a chain of branches with one phone makes no pairs of
+    all its branches. Places are tied to their least business: whoever shares a place ends in one group all the same."""
+    places = businesses.where("place_id <> ''").select("run_id", "place_id", "business_id")
+    least = places.groupBy("run_id", "place_id").agg(F.min("business_id").alias("a"))
+    stars = places.join(least, ["run_id", "place_id"]).where("a < business_id").select("run_id", "a", F.col("business_id").alias("b"), F.lit("place_id").alias("tier"))
+    near = near_pairs(businesses).drop("tier")
+    phones = contacts.where("kind = 'phone' AND value_e164 <> ''").select("business_id", "value_e164").distinct()
+    side = lambda s: phones.select(F.col("business_id").alias(s), "value_e164")
+    shared = near.join(side("a"), "a").join(side("b"), ["b", "value_e164"]).select("run_id", "a", "b").distinct().withColumn("phone", F.lit(True))
+    site = lambda s: businesses.select(F.col("business_id").alias(s), registrable_domain(F.col("website")).alias(f"{s}_domain"))
+    wide = near.join(shared, ["run_id", "a", "b"], "left").join(site("a"), "a").join(site("b"), "b")
+    tier = F.when(F.col("phone"), "exact_phone").when(F.col("a_domain") == F.col("b_domain"), "domain").otherwise("fuzzy_name_geo")
+    return stars.unionByName(wide.select("run_id", "a", "b", tier.alias("tier")))
+
+
 def verdicts(pairs: DataFrame, businesses: DataFrame, fuzzy: int = 88, corroborated: int = 75) -> DataFrame:
     """Pairs with their verdict. Names go to the similarity only where place and segment let a pair through; the pairs are read once."""
     side = lambda s: businesses.select(F.col("business_id").alias(s), *(F.col(c).alias(f"{s}_{c}") for c in ("lat", "lng")), normalise_name(F.col("name")).alias(f"{s}_name"))

@@ -116,12 +116,17 @@ def dedupe_chains(d: Data) -> DataFrame:
     return dedupe.components(pairs.select("a", "b"))
 
 
-@query("dedupe_groups", why="no token-set similarity in SQL; components have theirs in dedupe_chains")
+@query("dedupe_groups", why="no token-set similarity in SQL; tested against the components of all candidates")
 def dedupe_groups(d: Data) -> DataFrame:
-    pairs = dedupe.verdicts(dedupe.candidates(d.businesses, d.contacts), d.businesses)
+    pairs = dedupe.verdicts(dedupe.merge_candidates(d.businesses, d.contacts), d.businesses)
     return dedupe.components(pairs.where("verdict = 'merge'").select("a", "b"))
 
 
+@query("merge_candidates", "SELECT run_id, a, b, arg_min(tier, list_position(['exact_phone', 'domain', 'fuzzy_name_geo'], tier)) AS tier FROM proposed JOIN (SELECT run_id, a, b FROM proposed WHERE tier = 'fuzzy_name_geo') USING (run_id, a, b) WHERE tier <> 'place_id' GROUP BY 1, 2, 3 UNION ALL SELECT run_id, a, b, 'place_id' FROM (SELECT run_id, min(business_id) OVER (PARTITION BY run_id, place_id) AS a, business_id AS b FROM businesses WHERE place_id IS NOT NULL) WHERE a < b", ctes=PAIRS)
+def merge_candidates(d: Data) -> DataFrame:
+    return dedupe.merge_candidates(d.businesses, d.contacts)
+
+
 # --- runs and their health ----------------------------------------------------------------------
 
 

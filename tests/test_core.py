@@ -14,7 +14,7 @@ from tallyfold.plans import registry
 from tallyfold.sources import payload
 
 DIR = "/root/testdata/sf0.001"
-SOME = ["lead_score", "score_order_stats", "rank_owner_first", "rank_whatsapp_only", "results_default", "results_page", "batch_counts", "export_rows_41", "extract_top30", "dedupe_candidates", "url_normalise", "name_norm", "breaker_streaks", "ingest_fold", "payload_records", "directory_listings", "directory_walk", "decoded_bodies", "phones_in_notes", "social_links", "site_findings", "site_merge", "social_merge", "mail_merge", "directory_merge", "backfill", "pull_metrics", "clipboard", "ledger_list", "facet_values", "results_page_json", "dedupe_chains", "dedupe_survivors", "degradation", "run_states"]
+SOME = ["lead_score", "score_order_stats", "rank_owner_first", "rank_whatsapp_only", "results_default", "results_page", "batch_counts", "export_rows_41", "extract_top30", "dedupe_candidates", "url_normalise", "name_norm", "breaker_streaks", "ingest_fold", "payload_records", "directory_listings", "directory_walk", "decoded_bodies", "phones_in_notes", "social_links", "site_findings", "site_merge", "social_merge", "mail_merge", "directory_merge", "backfill", "pull_metrics", "clipboard", "ledger_list", "facet_values", "results_page_json", "dedupe_chains", "merge_candidates", "dedupe_survivors", "degradation", "run_states"]
 
 
 @pytest.fixture(scope="session")
@@ -94,3 +94,11 @@ def test_breaker():
 def test_components(spark):
     groups = dedupe.components(spark.createDataFrame([(1, 2), (2, 3), (5, 9)], "a long, b long"))
     assert {(r.node, r.component) for r in groups.collect()} == {(1, 1), (2, 1), (3, 1), (5, 5), (9, 5)}
+
+
+def test_groups_need_no_far_pairs(spark):
+    """The groups of the pairs that can be merged are those of all candidates."""
+    d = registry.Data(spark, DIR)
+    every = dedupe.verdicts(dedupe.candidates(d.businesses, d.contacts), d.businesses).where("verdict = 'merge'")
+    want = dedupe.components(every.select("a", "b")).collect()
+    assert sorted(map(tuple, registry.QUERIES["dedupe_groups"](spark, DIR).collect())) == sorted(map(tuple, want)) and len(want) > 20
