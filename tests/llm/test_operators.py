@@ -2,6 +2,7 @@
 
 import itertools
 import json
+import math
 import random
 import re
 
@@ -402,3 +403,66 @@ def test_tool_order(spark):
         assert (r.at_turn, r.at_seq, r.depth) == want and ("cycle" in r.faults) == (r.kind == "call" and x not in depth)
     for x in depth:
         assert all((at[y], depth[y]) < (at[x], depth[x]) or not tight[x] and at[y] < at[x] for y in waits[x] if y in depth and x[0] in late)
+
+
+def test_mixing_brute_force(docs):
+    """The whole sample again in plain Python: targets shared anew until none is above its bound, certain copies, and the rest in order of random odds."""
+    rows = mixing._sized(docs, 8).collect()
+    sources = sorted({r.source for r in rows}, key=lambda s: (s is None, s or ""))
+    size = {s: sum(r.size for r in rows if r.source == s) for s in sources}
+    weight = {s: (3, 1, 2)[i % 3] for i, s in enumerate(sources)}
+    free, target, left = list(sources), {}, 1.5 * sum(size.values())
+    while free:
+        share = left / sum(weight[s] for s in free)
+        full = [s for s in free if weight[s] * share >= 2 * size[s]]
+        if not full:
+            target |= {s: weight[s] * share for s in free}
+            break
+        for s in full:
+            target[s] = 2 * size[s]
+            left -= target[s]
+            free.remove(s)
+    want = {}
+    for s in sources:
+        copies = min(2, int(target[s] / size[s] + 1e-12)) if size[s] else 0
+        rest = 0 if copies == 2 else target[s] - copies * size[s]
+        scale = rest / sum(math.floor(r.size**1.5) for r in rows if r.source == s) if size[s] else 0
+
+        def odds(r, scale=scale):
+            p = min(scale * r.size**0.5, 1 - 1e-9)
+            return r.u / (1 - r.u) / (p / (1 - p)), r.tie
+
+        ranked = sorted((r for r in rows if r.source == s and r.size and rest), key=odds)
+        sums = list(itertools.accumulate(r.size for r in ranked))
+        once = {id(r) for r, upto in zip(ranked, sums, strict=True) if upto - r.size / 2 <= rest}
+        for r in rows:
+            if r.source == s:
+                want.setdefault((r.doc_id, r.size), []).append(r.size * (copies + (id(r) in once)))
+    got = {}
+    for r in mixing.mix_sources(docs).collect():
+        got.setdefault((r.doc_id, r.size), []).append(r.taken)
+    assert {k: sorted(v) for k, v in got.items()} == {k: sorted(v) for k, v in want.items()} and any(v[0] == 2 * k[1] for k, v in got.items())
+
+
+def test_forest_in_sql(spark):
+    """The trees as expressions give what a walk down each gives."""
+    rng = np.random.default_rng(4)
+    x, y = rng.random((300, len(secrets.NAMES))).round(3), rng.integers(0, 2, 300)
+    forest = secrets.fit_forest(x, y, trees=5, depth=4)
+
+    def walk(node, row):
+        while isinstance(node, tuple):
+            j, cut, left, right = node
+            node = left if row[j] <= cut else right
+        return node
+
+    df = spark.createDataFrame([(i, *map(float, r)) for i, r in enumerate(x)], ["i", *secrets.NAMES])
+    got = {r.i: r.s for r in df.select("i", secrets.forest_score(forest, F.col).alias("s")).collect()}
+    assert all(abs(got[i] - np.mean([walk(t, r) for t in forest])) < 1e-9 for i, r in enumerate(x)) and len(set(got.values())) > 5
+
+
+def test_dictionary_coverage(spark):
+    words = tuple(f" {' '.join(w for w in ('correct', 'horse', 'token', 'house') if w[0] == c)} " for c in secrets.LOWER)
+    values = {"correct-horse9": 12, "correcthorse": 12, "xKqWvZbT": 0, "HOUSE_token": 10, "aHouse1": 5, "": 0, "horses": 0}
+    df = spark.createDataFrame([(v,) for v in values], "v string")
+    assert {r.v: r.n for r in df.select("v", secrets.covered(F.col("v"), words).alias("n")).collect()} == values
