@@ -48,6 +48,13 @@ def site_mails(d: Data) -> DataFrame:
     return sites.site_mails(mails)
 
 
+@query("site_profiles", "SELECT source_url AS site, arg_min(concat('f', contact_id % 4), contact_id % 4) FILTER (contact_id % 4 % 2 = 1) AS facebook, arg_min(concat('i', contact_id % 4), contact_id % 4) FILTER (contact_id % 4 > 1) AS instagram FROM contacts GROUP BY 1")
+def site_profiles(d: Data) -> DataFrame:
+    page = F.col("contact_id") % 4
+    named = lambda letter, when: F.when(when, F.concat(F.lit(letter), page.cast("string")))
+    return sites.site_profiles(d.contacts.select(F.col("source_url").alias("site"), page.alias("page"), named("f", page % 2 == 1).alias("facebook"), named("i", page > 1).alias("instagram")))
+
+
 @query("shared_sites", "SELECT business_id, concat('https://', h, '.pk/') AS site, n FROM (SELECT business_id, concat('s', business_id % 20) AS h FROM businesses WHERE business_id % 3 = 0) JOIN (SELECT concat('https://s', business_id % 20, '.pk/') AS site, count(*) AS n FROM businesses GROUP BY 1) ON site = concat('https://', h, '.pk/')")
 def shared_sites(d: Data) -> DataFrame:
     """One crawl a domain, whatever the spelling of the businesses that name it."""

@@ -324,6 +324,11 @@ def extract_all(d: Data) -> DataFrame:
     return ledger.extract(results.collapsed(d.view), d.ledger, None)
 
 
+@query("extractable_numbers", "SELECT business_id, string_agg(number, '|' ORDER BY rank) AS numbers FROM held WHERE label IN ('confirmed', 'likely') GROUP BY 1", ctes=VIEW)
+def extractable_numbers(d: Data) -> DataFrame:
+    return ledger.extractable_numbers(d.phones()).select("business_id", F.array_join("numbers", "|").alias("numbers"))
+
+
 @query("ledger_append", "SELECT business_id FROM ledger UNION SELECT business_id FROM collapsed", ctes=VIEW)
 def ledger_append(d: Data) -> DataFrame:
     return ledger.append(d.ledger, results.collapsed(d.view).select("business_id"))
@@ -462,9 +467,15 @@ def registrable_domain(d: Data) -> DataFrame:
     return d.pages.select("page_id", tx.registrable_domain(F.col("url")).alias("domain"))
 
 
-@query("site_url_split", f"SELECT page_id, CASE WHEN {DOMAIN.format('url')} IN ('instagram.com', 'instagr.am') THEN 'instagram' WHEN {DOMAIN.format('url')} IN ('facebook.com', 'fb.com', 'fb.me', 'm.facebook.com') THEN 'facebook' ELSE 'website' END AS kind FROM pages")
+_ROUTED = "SELECT page_id, CASE page_id % 4 WHEN 0 THEN concat('https://www.instagram.com/u', page_id) WHEN 1 THEN concat('HTTP://M.Facebook.com:80/', page_id) WHEN 2 THEN url END AS u FROM pages"
+_KIND = f"CASE WHEN {DOMAIN.format('u')} IN ('instagram.com', 'instagr.am') THEN 'i' WHEN {DOMAIN.format('u')} IN ('facebook.com', 'fb.com', 'fb.me', 'm.facebook.com') THEN 'f' WHEN u IS NOT NULL THEN 'w' END"
+
+
+@query("site_url_split", f"SELECT page_id, CASE WHEN k = 'w' THEN u END AS website, CASE WHEN k = 'f' THEN u END AS facebook_url, CASE WHEN k = 'i' THEN u END AS instagram_url FROM (SELECT *, {_KIND} AS k FROM ({_ROUTED}))")
 def site_url_split(d: Data) -> DataFrame:
-    return d.pages.select("page_id", tx.site_kind(F.col("url")).alias("kind"))
+    n, text = F.col("page_id") % 4, F.col("page_id").cast("string")
+    url = F.when(n == 0, F.concat(F.lit("https://www.instagram.com/u"), text)).when(n == 1, F.concat(F.lit("HTTP://M.Facebook.com:80/"), text)).when(n == 2, F.col("url"))
+    return d.pages.select("page_id", *(c.alias(name) for name, c in tx.site_columns(url).items()))
 
 
 _SPELLED = "CASE page_id % 6 WHEN 0 THEN concat('HTTP://WWW.', {0}, ':80/') WHEN 1 THEN concat('https://', {0}, ':443?UTM_Source=x&b=2&a=1%202&a=1') WHEN 2 THEN concat('http://', {0}, ':443/p//?q=%C3%A9+*~&gclid=7&z#frag?x=1') WHEN 3 THEN concat('https://', {0}, '/A/B/?k==&&_ga=1') ELSE url END"

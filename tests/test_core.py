@@ -86,6 +86,12 @@ def test_names_and_addresses(spark):
     assert [r.n for r in names] == ["skoda zizkov strasse", "fine viii 1 2"]
 
 
+def test_masked_mail(spark):
+    masked = "5a" + "".join(f"{b ^ 0x5A:02x}" for b in b"info@salon.pk")
+    assert spark.createDataFrame([(masked,)], "t string").select(web.decode_cfemail(F.col("t"))).first()[0] == "info@salon.pk"
+    assert web.read_page("https://x.pk", f'<a data-cfemail="{masked}">x</a>')["emails"] == ["info@salon.pk"]
+
+
 def test_breaker():
     b = health.Breaker()
     assert [b.see(t, k) for t, k in ((0, "failure"), (1, "failure"), (2, "failure"), (3, "success"), (2000, "success"))] == ["throttled", "throttled", "tripped", "skipped", "ok"]

@@ -124,6 +124,9 @@ def test_export_in_parts(spark, tmp_path):
     (part,) = glob.glob(f"{path}/part-*")
     text = open(part, encoding="utf-8", newline="").read()
     assert text.startswith("\ufeffbusiness_name,category,") and text.count("\r\n") == 3 and text == "".join(export.csv_text(df.coalesce(1)))
+    view = df.select(F.lit(1).alias("business_id"), F.lit(None).cast("string").alias("place_id"), F.lit(70).alias("lead_score_"), *(c for c in df.columns if c != "maps_url")).withColumnRenamed("sources", "sources_pipe").withColumns({"lead_score": F.lit(70), "batch": F.lit("unbatched")})
+    into, n = requests.exported(view, requests.ResultQuery(collapse=False), str(tmp_path), "20240301", "Lahore", "food")
+    assert n == 2 and into.endswith("/lahore_food_20240301_2leads.csv") and len(glob.glob(f"{into}/part-*")) >= 1
     got = list(csv.DictReader(io.StringIO(text.removeprefix("\ufeff"))))
     assert got[0]["business_name"] == 'A "b", c' and got[0]["phone_1"] == '="+92300"' and got[0]["rating"] == "4.5" and got[0]["scraped_at"].startswith("2024-03-01T12:00:00") and got[0]["review_count"] == "0" and got[0]["area"] == ""
     assert got[1]["business_name"] == "Straße\nx" and export.file_name("Lahore City", None, "20240301", 2) == "lahore_city_all_20240301_2leads.csv"
