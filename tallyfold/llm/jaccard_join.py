@@ -5,7 +5,7 @@ into n2 parts; a signature is the sum of the scrambled features that lie in one
 Two sets that differ in at most k features differ in at most k2 of them in some partition, so at most k2 of its parts
 differ and some choice of the others agrees: similar sets share a signature for certain.
 
-Equal sets are one set, known by a 64-bit name; one of the documents that have it is signed and compared.
+Equal sets are one set, known by a 64-bit name: a task signs it once, and one of the documents that have it is compared.
 
 Many sets of one group would make a pair of each two. So of the sets that share a signature each is first tied to that of
 the least document, one pair a set, and these pairs are verified. Where sets of different groups still meet under a signature,
@@ -156,16 +156,20 @@ def _held(batch: pa.RecordBatch, wanted: bytes) -> pa.RecordBatch:
     return batch.filter(pa.array((bits[ids >> 3] >> (ids & 7).astype(np.uint8) & 1).astype(bool)))
 
 
-def _signed(k: int, percent: int, wanted: bytes):
-    """(sig, name) of the sets of the documents in the bitmap. A signature keeps 48 bits: chance meetings stay rare, and it takes less room."""
+def _signed(k: int, percent: int):
+    """(sig, name) of the sets of a task, each signed once however many of its documents have it. A signature keeps 48 bits: chance meetings
+    stay rare, and it takes less room."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for whole in batches:
-            for batch in pieces(_held(whole, wanted), "text", 1 << 19):
+            for batch in pieces(whole, "text", 1 << 19):
                 sets = shingles(Words(batch.column("text")), k)
-                every, row = _joined([signatures(x, percent) for x in sets])
+                names = _names(sets)
+                new = [i for i, name in enumerate(names.to_pylist()) if name not in seen and not seen.add(name)]
+                every, row = _joined([signatures(sets[i], percent) for i in new])
                 if len(row):
-                    yield pa.RecordBatch.from_arrays([pa.array((every >> U(16)).view(np.int64)), _names(sets).take(pa.array(row))], names=["sig", "name"])
+                    yield pa.RecordBatch.from_arrays([pa.array((every >> U(16)).view(np.int64)), names.take(pa.array(new)).take(pa.array(row))], names=["sig", "name"])
 
     return lean(run)
 
@@ -354,8 +358,9 @@ def jaccard_join(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
 
     by_sig = Window.partitionBy("sig")
     whole = docs.where("doc_id IS NOT NULL")
-    met = whole.mapInArrow(_signed(k, percent, _bitmap(same.select(F.col("rep").alias("doc_id")))), "sig bigint, name bigint")
-    met = settle(met.withColumns({"least": F.min("name").over(by_sig), "most": F.max("name").over(by_sig)}).where("least < most").select("sig", "name"))
+    met = whole.mapInArrow(_signed(k, percent), "sig bigint, name bigint")
+    # Tasks may have signed the same set.
+    met = settle(met.withColumns({"least": F.min("name").over(by_sig), "most": F.max("name").over(by_sig)}).where("least < most").select("sig", "name").distinct())
     release(spark)
     sketch = same.drop("rep", "docs", "parity")
 
