@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -67,15 +69,24 @@ class Breaker:
 
 
 def breaker(events: DataFrame) -> DataFrame:
-    """(source, event_id, ts, outcome) of events (source, event_id, ts, kind), in order of time within a source."""
+    """(source, event_id, ts, outcome) of events (source, event_id, ts, kind), in order of time within a source.
+
+    Events go through in sorted batches and a source's state is all that is kept; a source's own events are a sequence, so one task takes them.
+    """
 
-    def run(key, group: pd.DataFrame) -> pd.DataFrame:
-        own = Breaker(empties=EMPTIES.get(key[0], 5))
-        group = group.sort_values(["ts", "event_id"])
-        return group.assign(outcome=[own.see(t.timestamp(), k) for t, k in zip(group.ts, group.kind, strict=True)])[["source", "event_id", "ts", "outcome"]]
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        own, source = None, None
+        for frame in frames:
+            out = []
+            for s, t, kind in zip(frame.source, frame.ts, frame.kind, strict=True):
+                if own is None or s != source:
+                    own, source = Breaker(empties=EMPTIES.get(s, 5)), s
+                out.append(own.see(t.timestamp(), kind))
+            yield frame.assign(outcome=out)[["source", "event_id", "ts", "outcome"]]
 
     kind = events.schema["source"].dataType.simpleString()
-    return events.select("source", "event_id", "ts", "kind").groupBy("source").applyInPandas(run, f"source {kind}, event_id bigint, ts timestamp, outcome string")
+    dealt = events.select("source", "event_id", "ts", "kind").repartition("source").sortWithinPartitions("source", "ts", "event_id")
+    return dealt.mapInPandas(run, f"source {kind}, event_id bigint, ts timestamp, outcome string")
 
 
 def source_health(reports: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ import datetime as dt
 import glob
 import io
 import os
+import random
 import shutil
 import subprocess
 import sys
@@ -142,6 +143,20 @@ def test_suppression_list(spark):
         ledger.suppression_added(known)
 
 
+def test_breaker_over_batches(spark):
+    """Events of several sources in one partition and small batches, against one loop a source."""
+    start, rng = dt.datetime(2024, 1, 1), random.Random(3)
+    rows = [(f"s{i % 5}" if i % 5 else "business_website", i, start + dt.timedelta(seconds=37 * i), rng.choice(["failure", "empty", "empty", "empty", "success", "blocked"] if i % 7 else ["empty"])) for i in range(600)]
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "17")
+    try:
+        got = {r.event_id: r.outcome for r in health.breaker(spark.createDataFrame(rows[::-1], "source string, event_id long, ts timestamp, kind string")).collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    own = {s: health.Breaker(empties=health.EMPTIES.get(s, 5)) for s, *_ in rows}
+    assert got == {i: own[s].see(t.timestamp(), k) for s, i, t, k in rows} and {"tripped", "skipped", "ok"} <= set(got.values())
+
+
 def test_breaker_status():
     b = health.Breaker(empties=25)
     for t in range(24):
