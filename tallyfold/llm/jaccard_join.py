@@ -33,7 +33,7 @@ from tallyfold.llm.components import components
 from tallyfold.llm.scratch import drop, partitions, release, settle
 from tallyfold.llm.textbytes import U, Words, lean, mix, pieces, shingles
 
-SKETCH = 8  # words of 64 bits
+SKETCH = 16  # words of 64 bits
 PAIRS = 256  # pairs of one document that a task verifies
 PART = 512, 1 << 20  # sets and features of a block whose links a task counts
 BLOCK = 1024  # sets of one signature that a task compares with the others
@@ -133,7 +133,7 @@ def _names(sets: list[np.ndarray]) -> pa.Array:
 
 
 def _summary(k: int):
-    """Per document the size and name of its set, and the parity of its features over 512 bits and over more."""
+    """Per document the size and name of its set, and the parity of its features over 1024 bits and over more."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
