@@ -17,7 +17,8 @@ from tallyfold.sources import payload, taxonomy
 
 
 def payload_bodies(d: Data) -> DataFrame:
-    """One body a run with its businesses as records; odd runs wrap theirs as text under "d" and put another document behind it, some records stand twice."""
+    """The captures of a run, numbered by page: a hundred ids of businesses go into one body, of which about twenty are of the run (as many as a
+    captured page of results holds); odd runs wrap theirs as text under "d" and put another document behind it, some records stand twice."""
     null = F.lit("null")
     js = lambda c: F.coalesce(F.expr(f"substring(to_json(struct({c} AS x)), 6, length(to_json(struct({c} AS x))) - 6)"), null)
     gap = lambda n: F.lit(",".join(["null"] * n))
@@ -31,10 +32,10 @@ def payload_bodies(d: Data) -> DataFrame:
     wrapped = F.concat(F.lit("[null,"), record, F.lit("]"))
     items = F.transform(F.array_sort(F.collect_list(F.struct("business_id", wrapped.alias("r")))), lambda x: x.r)
     twice = d.businesses.withColumn("again", F.explode(F.when(F.col("business_id") % 10 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))))
-    per = twice.groupBy("run_id").agg(F.array_join(items, ",").alias("items"))
+    per = twice.groupBy("run_id", F.expr("business_id div 100").alias("page")).agg(F.array_join(items, ",").alias("items"))
     doc = F.concat(F.lit(")]}'\n["), gap(64), F.lit(",["), F.col("items"), F.lit("]]"))
     nested = F.concat(F.expr("concat('{\"c\":0,', substring(to_json(named_struct('d', doc)), 2))"), F.lit('/*""*/{"c":1}'))
-    return per.withColumn("doc", doc).select(F.col("run_id").alias("arrival"), F.when(F.col("run_id") % 2 == 1, nested).otherwise(F.col("doc")).alias("body"))
+    return per.withColumn("doc", doc).select(F.col("run_id").alias("arrival"), "page", F.when(F.col("run_id") % 2 == 1, nested).otherwise(F.col("doc")).alias("body"))
 
 
 _LANDED = "SELECT run_id AS arrival, name, place_id, address, lat, lng, website, rating, CAST(review_count AS INTEGER) AS review_count, subcategory AS category, row_number() OVER (PARTITION BY run_id, coalesce(place_id, concat_ws('|', name, address)) ORDER BY business_id) AS o FROM businesses"

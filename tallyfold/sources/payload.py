@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import json
 import re
+from collections.abc import Callable, Iterator
+from typing import Any
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -17,17 +19,21 @@ from tallyfold.functions.text import normalise_name, url_hash
 CP1252 = "".join(map(chr, range(0x80, 0xA0))), bytes(range(0x80, 0xA0)).decode("cp1252", "replace")
 PATHS = {"name": "$[11]", "place_id": "$[78]", "address": "$[39]", "lat": "$[9][2]", "lng": "$[9][3]", "phone_raw": "$[178][0][0]", "website": "$[7][0]", "rating": "$[4][7]", "review_text": "$[4][3][1]", "price_range": "$[4][2]", "category": "$[13][0]"}
 RESULTS = 64
+#: Characters of records after which the reader hands on what it has.
+BATCH = 4 << 20
 
 
 DEEPEST = 4
+_READ = json.JSONDecoder().raw_decode
+_BLANKS = re.compile(r"[ \t\n\r]*")
 _GUARD = re.compile(r"\)\]\}'")
 _BETWEEN = re.compile(r"(?:\s|/\*.*?\*/)*", re.S)
 
 
-def documents(raw: str) -> list[str]:
-    """JSON documents of a body: guards, blanks and comments between them skipped, texts under "d" opened up to four deep; a bad one ends
-    the text that holds it. What is still to be read lies on a pile, the innermost text on top."""
-    read, pile, out = json.JSONDecoder().raw_decode, [(_GUARD.sub("", raw).strip(), 0)], []
+def _opened(raw: str, read: Callable[[str, int], tuple[Any, int]]) -> Iterator[Any]:
+    """Documents of a body as `read` gives them (with the place where one ends): guards, blanks and comments between them skipped, texts under "d"
+    opened up to four deep; a bad one ends the text that holds it. What is still to be read lies on a pile, the innermost text on top."""
+    pile = [(_GUARD.sub("", raw).strip(), 0)]
     while pile:
         text, at = pile.pop()
         at = _BETWEEN.match(text, at).end()
@@ -40,30 +46,88 @@ def documents(raw: str) -> list[str]:
         pile.append((text, at))
         inner = node.get("d") if isinstance(node, dict) else None
         if not isinstance(inner, str):
-            out.append(json.dumps(node))
+            yield node
         elif len(pile) <= DEEPEST:
             pile.append((_GUARD.sub("", inner).strip(), 0))
-    return out
 
 
-@F.arrow_udf(T.ArrayType(T.StringType()))
-def payload_documents(raw: pa.Array) -> pa.Array:
-    return pa.array([documents(x or "") for x in raw.to_pylist()], pa.list_(pa.string()))
+def documents(raw: str) -> list[str]:
+    """JSON documents of a body."""
+    return [json.dumps(node) for node in _opened(raw, _READ)]
+
+
+def _walk(text: str, at: int, each: Callable[[int, int], int]) -> int:
+    """Reads the array that begins at `at` and says where it ends: `each` gets the number and the place of an element and says where that ends."""
+    skip, n = lambda at: _BLANKS.match(text, at).end(), 0
+    at = skip(at + 1)
+    if text.startswith("]", at):
+        return at + 1
+    while True:
+        at = skip(each(n, at))
+        if text.startswith("]", at):
+            return at + 1
+        if not text.startswith(",", at):
+            raise ValueError(f"neither comma nor end at {at}")
+        n, at = n + 1, skip(at + 1)
+
+
+def _results(text: str, at: int) -> tuple[Any, int]:
+    """A document and where it ends; of an array only its records (pos, JSON), of which one at a time is more than text."""
+    if not text.startswith("[", at):
+        return _READ(text, at)
+    found = []
+
+    def wrapper(pos: int, at: int) -> int:
+        node, end = _READ(text, at)
+        if isinstance(node, list) and len(node) > 1:
+            found.append((pos, json.dumps(node[1])))
+        return end
+
+    end = _walk(text, at, lambda n, at: _walk(text, at, wrapper) if n == RESULTS and text.startswith("[", at) else _READ(text, at)[1])
+    return found, end
+
+
+def records(raw: str) -> Iterator[tuple[int, int, str]]:
+    """(doc, pos, JSON) of the records of a body, those of a bad document left out."""
+    for doc, found in enumerate(_opened(raw, _results)):
+        if isinstance(found, list):
+            yield from ((doc, pos, r) for pos, r in found)
+
+
+def _read_bodies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    names = ["arrival", "page", "doc", "pos", "record"]
+    for batch in batches:
+        arrival, page, body = (batch.column(c) for c in ("arrival", "page", "body"))
+        rows, size = [], 0
+
+        def full() -> pa.RecordBatch:
+            of, doc, pos, r = zip(*rows)
+            of = pa.array(of, pa.int64())
+            return pa.RecordBatch.from_arrays([arrival.take(of), page.take(of), pa.array(doc, pa.int32()), pa.array(pos, pa.int32()), pa.array(r, pa.string())], names)
+
+        for i in range(len(batch)):
+            for doc, pos, r in records(body[i].as_py() or ""):
+                rows.append((i, doc, pos, r))
+                size += len(r)
+                if size >= BATCH:
+                    yield full()
+                    rows, size = [], 0
+        if rows:
+            yield full()
 
 
 def search_results(bodies: DataFrame) -> DataFrame:
-    """Records of payloads (body, arrival), each place once a body, the first wins. Drift gives nulls, never an error."""
-    docs = bodies.select("arrival", F.posexplode(payload_documents("body")).alias("doc", "json"))
-    parsed = docs.select("arrival", "doc", F.try_parse_json("json").alias("v"))
-    spark = bodies.sparkSession
-    parsed.createOrReplaceTempView("tallyfold_payloads")
-    items = spark.sql(f"SELECT arrival, doc, x.pos, variant_get(x.value, '$[1]') AS r FROM tallyfold_payloads p, LATERAL variant_explode(try_variant_get(p.v, '$[{RESULTS}]')) x")
+    """Records of payloads (body, arrival, and page where an arrival has several), each place once an arrival, the first wins. Drift gives nulls,
+    never an error. Records leave the reader one by one: neither a document's size nor an arrival's is bounded by what Variant or a task holds."""
+    page = (F.col("page") if "page" in bodies.columns else F.lit(0)).cast("bigint").alias("page")
+    schema = T.StructType([bodies.schema["arrival"], *(T.StructField(n, k) for n, k in (("page", T.LongType()), ("doc", T.IntegerType()), ("pos", T.IntegerType()), ("record", T.StringType())))])
+    items = bodies.select("arrival", page, "body").mapInArrow(_read_bodies, schema).select("arrival", "page", "doc", "pos", F.try_parse_json("record").alias("r"))
     kinds = {"lat": "double", "lng": "double", "rating": "double"}
-    table = items.select("arrival", "doc", "pos", *(F.try_variant_get("r", path, kinds.get(n, "string")).alias(n) for n, path in PATHS.items()))
+    table = items.select("arrival", "page", "doc", "pos", *(F.try_variant_get("r", path, kinds.get(n, "string")).alias(n) for n, path in PATHS.items()))
     table = table.where("name IS NOT NULL OR place_id IS NOT NULL").withColumn("review_count", F.regexp_replace(F.regexp_extract("review_text", r"([\d,]+)", 1), ",", "").try_cast("int")).drop("review_text")
     key = F.coalesce("place_id", F.concat_ws("|", "name", "address"))
-    first = F.row_number().over(Window.partitionBy("arrival", key).orderBy("doc", "pos"))
-    return table.withColumn("_n", first).where("_n = 1").drop("_n")
+    first = F.row_number().over(Window.partitionBy("arrival", key).orderBy("page", "doc", "pos"))
+    return table.withColumn("_n", first).where("_n = 1").drop("_n", "page")
 
 
 def merged_results(results: DataFrame) -> DataFrame:

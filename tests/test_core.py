@@ -10,7 +10,7 @@ from tallyfold.functions import phones, web
 from tallyfold.functions.fuzzy import token_set_ratio
 from tallyfold.functions.text import normalise_name, normalise_url
 from tallyfold.operators import dedupe, health
-from tallyfold.plans import registry
+from tallyfold.plans import landing, registry
 from tallyfold.sources import payload
 
 DIR = "/root/testdata/sf0.001"
@@ -79,6 +79,48 @@ def test_payload(spark):
     assert [(r.name, r.place_id, r.lat, r.rating, r.review_count) for r in rows] == [("Salon", "p1", 31.5, 4.7, 1435)]
 
 
+def capture(*names):
+    body = [None] * 65
+    body[64] = [[None, [None] * 11 + [n] + [None] * 66 + [f"p {n}"]] for n in names]
+    return json.dumps(body)
+
+
+def test_payload_pages_of_an_arrival(spark):
+    """A place stands once an arrival, as the page with the least number has it."""
+    page = lambda name: capture(name).replace(f"p {name}", "p1")
+    rows = spark.createDataFrame([(1, 3, page("c")), (1, 2, page("b")), (1, 1, "broken"), (2, 9, page("d"))], "arrival int, page long, body string").repartition(3)
+    assert sorted((r.arrival, r.name) for r in payload.search_results(rows).collect()) == [(1, "b"), (2, "d")]
+
+
+def test_payload_bodies_do_not_grow_with_the_table(spark):
+    longest = [landing.payload_bodies(registry.Data(spark, d)).agg(F.max(F.length("body"))).first()[0] for d in (DIR, "/root/testdata/sf0.01")]
+    assert longest[1] < 2 * longest[0]
+
+
+def test_payload_document_of_more_than_a_variant_holds(spark):
+    """Variant holds 128 MiB; a document of more gave no records and no error."""
+    head, tail = capture("a", "b").split("null", 1)
+    body = F.concat(F.lit(head + '"'), F.repeat(F.lit("x" * 1000), 140_000), F.lit('"' + tail))
+    rows = payload.search_results(spark.range(1).select(F.col("id").alias("arrival"), body.alias("body"))).select("name").collect()
+    assert sorted(r.name for r in rows) == ["a", "b"]
+
+
+def test_payload_records_are_those_of_whole_documents():
+    """Read record by record, a body has the records that its documents have as a whole, wherever it is cut or spoilt."""
+
+    def whole(raw):
+        docs = [json.loads(x) for x in payload.documents(raw)]
+        results = [(i, d[64]) for i, d in enumerate(docs) if isinstance(d, list) and len(d) > 64 and isinstance(d[64], list)]
+        return [(i, pos, json.dumps(w[1])) for i, found in results for pos, w in enumerate(found) if isinstance(w, list) and len(w) > 1]
+
+    short = "[" + "0 , " * 64 + '[[1, ["a", {"b": [2.50, "]"]}]], null, [], [ 1 ], [null, null], {"x": 1}, [3, "é\\ud800"] ] , 7 ]'
+    raw = ")]}'\n" + short + '/* x */ 5 {"c":0,"d":' + json.dumps(")]}'" + short + " " + json.dumps({"d": short})) + '}/*""*/[] [1] ' + short
+    assert len(whole(raw)) == 12 == len(list(payload.records(raw)))
+    for cut in range(len(raw)):
+        for spoilt in (raw[:cut], raw[:cut] + raw[cut + 1 :], raw[:cut] + "," + raw[cut:], raw[:cut] + "]" + raw[cut:]):
+            assert list(payload.records(spoilt)) == whole(spoilt)
+
+
 def test_names_and_addresses(spark):
     rows = spark.createDataFrame([("Café  Déjà-Vu (Pvt) Ltd", "HTTP://WWW.Example.com:80/A/?b=2&utm_source=x&a=1#top")], "n string, u string")
     assert tuple(rows.select(normalise_name(F.col("n")), normalise_url(F.col("u"))).first()) == ("cafe deja vu", "http://example.com/A?a=1&b=2")
